@@ -6,8 +6,8 @@ those with -) predicts the sign.  The margins of a line are the means over its w
 takes the language whose codeword has the least logistic loss, and the distance to the second one says how
 sure that is.  Lines that are too close to call take the language of their section.
 
-The classifiers are fitted on the fixed sample sentences and at most ``max_rows`` labelled rows, chosen by a
-hash of the id.  As labels may be wrong, the rows count only line by line: first those lines on which the
+The classifiers are fitted on the fixed sample sentences and about ``max_rows`` labelled rows (twice as many
+at most), chosen by a hash of the id.  As labels may be wrong, the rows count only line by line: first those lines on which the
 classifier of the sample sentences agrees with the label, then those that the second classifier is sure of.
 """
 
@@ -197,8 +197,10 @@ def label_languages(sections: DataFrame, samples: DataFrame, *, id_col: str = "s
     own = [(r[0].strip().lower(), r[1]) for r in samples.where(F.col(sample_lang).isNotNull() & F.col(sample_text).isNotNull()).select(sample_lang, sample_text).limit(100_000).collect()]
     if not own:
         raise ValueError("there are no sample sentences")
-    picked = sections.select(clean_label(F.col(label_col)).alias("x"), F.col(text_col).alias("t"), F.xxhash64(F.col(id_col)).alias("h")).where("x IS NOT NULL AND t IS NOT NULL").orderBy("h").limit(max_rows)
-    model = fit(own, [(r[0], r[1]) for r in picked.select("x", "t").collect()], bits)
+    labelled = sections.select(clean_label(F.col(label_col)).alias("x"), F.col(text_col).alias("t"), F.xxhash64(F.col(id_col)).alias("h")).where("x IS NOT NULL AND t IS NOT NULL")
+    share = min(1.0, max_rows / max(sections.count(), 1))
+    picked = labelled.where(F.pmod("h", F.lit(1 << 30)) < int(share * (1 << 30)) + 1).limit(2 * max_rows)
+    model = fit(own, sorted((r[0], r[1]) for r in picked.select("x", "t").collect()), bits)
     shared = spark.sparkContext.broadcast(model)
     kind = dict(sections.dtypes)[id_col]
     schema = f"i {kind}, label string, lang string, confidence float, n_langs int, lines array<struct<line_no:int,lang:string,confidence:float,ambiguous:boolean>>"
