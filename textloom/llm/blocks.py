@@ -103,7 +103,7 @@ def weak_labels(lines: list[str], recurrent: set[str]) -> list[int]:
             out.append(FRAME)
         elif not closed and len(parts := re.split(r" [>»/] ", s)) > 2 and len(parts[0]) <= 24:
             out.append(FRAME)  # a breadcrumb, whatever the title at its end
-        elif residue and not (closed and n >= 14 and not lorem):
+        elif residue and not (closed and n >= 24 and not lorem):
             out.append(RESIDUE)
         elif key and key in recurrent:
             out.append(FRAME)
