@@ -1 +1 @@
-
+"""Column functions and plain text functions."""

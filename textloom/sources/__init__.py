@@ -1 +1 @@
-
+"""Sources of documents: files, archives, package registries, sitemaps and web pages."""

@@ -1 +1 @@
-
+"""Streams of file changes."""
