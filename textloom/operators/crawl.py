@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 from typing import Protocol
+from urllib.parse import urljoin, urlsplit
+from urllib.robotparser import RobotFileParser
 
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -30,11 +33,8 @@ class TablePages:
 
 
 @F.pandas_udf(T.StringType())
-def join_url(base, link):  # noqa: ANN001, ANN201
+def join_url(base: pd.Series, link: pd.Series) -> pd.Series:
     """``urllib.parse.urljoin``; a link that cannot be resolved gives null."""
-    import pandas as pd
-    from urllib.parse import urljoin
-
     def one(b, x):  # noqa: ANN001, ANN202
         try:
             return urljoin(b, x)
@@ -46,13 +46,8 @@ def join_url(base, link):  # noqa: ANN001, ANN201
 
 def robots_filter(urls: DataFrame, rules: dict[str, str], agent: str = "RAG-Indexer") -> DataFrame:
     """URLs that robots.txt allows; ``rules`` has the text by scheme and host, and hosts without one allow all."""
-    import pandas as pd
-
     @F.pandas_udf(T.BooleanType())
     def ok(u: pd.Series) -> pd.Series:
-        from urllib.parse import urlsplit
-        from urllib.robotparser import RobotFileParser
-
         parsed: dict = {}
 
         def one(x: str) -> bool:
