@@ -19,6 +19,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from textloom.plans.materialize import materialize
 from textloom.plans.tables import table
 
 MARK = re.compile(r"\s*(?:\[\s*(?:\.{3}|…)\s*\]|\(\s*(?:\.{3}|…)\s*\)|…|\.{3}|[\[(<](?:truncated|cut|continued|more|snip)[\])>])$", re.I)
@@ -128,7 +129,7 @@ def truncated(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text"
     very long texts are read whole; an empty table gives an empty result.  Only the three named columns are
     read, so other columns may have any names.
     """
-    ends = tails(docs, id_col, text_col, source_col)
+    ends = materialize(tails(docs, id_col, text_col, source_col), "tails")  # read four times below
     trie = vocabulary_trie(docs, text_col).withColumnRenamed("prefix", "p")
     limits = length_limits(ends)
     at = {u: limits.where(F.col("unit") == u).select(F.col("source").alias(f"s_{u}"), F.col("limit").alias(f"l_{u}")) for u in ("chars", "bytes")}
