@@ -324,7 +324,7 @@ class Labeller:
         g["emb"] = demb
         return g
 
-    def train(self, pages: list[Page], labels: list[list[int]], epochs: int = 8, batch: int = 64, rate: float = 0.015) -> None:
+    def train(self, pages: list[Page], labels: list[list[int]], epochs: int = 8, batch: int = 64, rate: float = 0.015, least_steps: int = 240) -> None:
         """Adam over the cross entropy of the labelled lines; classes are weighted against their frequency."""
         make, rng = Features(), np.random.default_rng(self.seed)
         keep = [k for k in range(len(pages)) if len(pages[k].at)]
@@ -336,6 +336,7 @@ class Labeller:
             data.append((feats, np.array([labels[k][x] for k in g for x in pages[k].at.tolist()], dtype=np.int64)))
         if not data:
             return
+        epochs = max(epochs, -(-least_steps // len(data)))
         count = np.bincount(np.concatenate([y[y >= 0] for _, y in data]), minlength=CLASSES)
         weight = np.clip(np.sqrt(count.max() / np.maximum(count, 1)), 1, 8).astype(np.float32)
         m = {k: np.zeros_like(v) for k, v in self.w.items()}

@@ -27,7 +27,7 @@ BROKEN = "�"
 CLOSERS = "\"'»”“’*_)]>"
 STOPS = ".!?。！？"
 TAIL = re.compile(r"[^\W_]+$")
-SCHEMA = "id {id}, source string, n_chars bigint, n_bytes bigint, kind string, marked boolean, broken boolean, token string, mask string, lower_start boolean, n_words int, closed_before boolean"
+SCHEMA = "id {id}, source string, n_chars bigint, n_bytes bigint, kind string, marked boolean, broken boolean, token string, mask string, lower_start boolean, n_words int, closed_before boolean, digest bigint"
 
 
 def mask(line: str) -> str:
@@ -88,11 +88,11 @@ def tails(docs: DataFrame, id_col: str, text_col: str, source_col: str) -> DataF
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         names = [x.strip().split(" ")[0] for x in SCHEMA.split(",")]
         for pdf in batches:
-            rows = [(i, s, len(t), len(t.encode("utf-8", "replace")), *tail(t)) for i, s, t in zip(pdf["id"], pdf["source"], pdf["t"])]
+            rows = [(i, s, len(t), len(t.encode("utf-8", "replace")), *tail(t), h) for i, s, t, h in zip(pdf["id"], pdf["source"], pdf["t"], pdf["h"])]
             yield pd.DataFrame(rows, columns=names)
 
     kept = docs.where(F.col(text_col).isNotNull() & F.col(text_col).rlike(r"\S"))
-    return kept.select(F.col(id_col).alias("id"), F.col(source_col).cast("string").alias("source"), F.col(text_col).alias("t")).mapInPandas(run, SCHEMA.format(id=dict(docs.dtypes)[id_col]))
+    return kept.select(F.col(id_col).alias("id"), F.col(source_col).cast("string").alias("source"), F.col(text_col).alias("t"), F.xxhash64(text_col).alias("h")).mapInPandas(run, SCHEMA.format(id=dict(docs.dtypes)[id_col]))
 
 
 def vocabulary_trie(docs: DataFrame, text_col: str) -> DataFrame:
@@ -138,7 +138,8 @@ def truncated(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text"
         e = e.join(at[u], e["source"].eqNullSafe(F.col(f"s_{u}")) & (F.col(f"n_{u}") == F.col(f"l_{u}")), "left")
     e = e.withColumn("at_limit", F.col("l_chars").isNotNull() | F.col("l_bytes").isNotNull())
     total = ends.agg(F.count("*").alias("all_rows"))
-    masks = e.groupBy(F.col("mask").alias("m")).agg(F.count("*").alias("k"), F.avg(F.col("at_limit").cast("int")).alias("share")).crossJoin(F.broadcast(total))  # one row
+    # copies of one text say nothing about its last line, so different texts are counted
+    masks = e.where(F.col("n_words") <= 8).groupBy(F.col("mask").alias("m")).agg(F.countDistinct("digest").alias("k"), F.avg(F.col("at_limit").cast("int")).alias("share")).crossJoin(F.broadcast(total))  # one row
     formula = masks.where((F.col("k") >= F.greatest(F.lit(formula_rows), F.col("all_rows") * formula_share)) & (F.col("share") < 0.3)).select("m", F.lit(True).alias("known_line"))
     e = e.join(formula, F.col("mask") == F.col("m"), "left").join(trie, F.col("token") == F.col("p"), "left")
     alpha = F.col("token").rlike(r"^\p{L}+$")
