@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -19,17 +19,31 @@ def watched(events: DataFrame) -> DataFrame:
     return events.where(F.col("ts").isNotNull() & F.col("kind").isin(*KINDS) & supported(F.col("path")))
 
 
-def bursts(events: DataFrame, quiet: str = "2 seconds", late: str | None = None) -> DataFrame:
-    """(start, last, n_events, n_paths): watched events that follow each other by at most ``quiet``.
+def bursts(events: DataFrame, quiet: float = 2.0, late: str | None = None, bucket: int = 3600) -> DataFrame:
+    """(start, last, n_events, n_paths): watched events that follow each other by at most ``quiet`` seconds.
 
-    On a stream give ``late``, how long late events are waited for; later ones are dropped.  The same plan runs
-    on a table, where nothing is late.  Repeated events count; repeated paths count once.
+    On a stream these are session windows; give ``late``, how long late events are waited for; later ones are
+    dropped.  On a table nothing is late, and the timeline is cut into buckets of ``bucket`` seconds, so that no
+    task sorts all events: bursts are found within the buckets, and only one row for each bucket is needed to
+    carry a burst over their ends.  Repeated events count; repeated paths count once.
     """
     e = watched(events)
-    if late:
-        e = e.withWatermark("ts", late)
-    s = e.groupBy(F.session_window("ts", quiet).alias("w")).agg(F.count("*").alias("n_events"), F.size(F.collect_set("path")).alias("n_paths"), F.max("ts").alias("last"))
-    return s.select(F.col("w.start").alias("start"), "last", "n_events", "n_paths")
+    if events.isStreaming:
+        e = e.withWatermark("ts", late or "0 seconds").withColumn("all", F.length("path") >= 0)  # sessions need a key
+        s = e.groupBy("all", F.session_window("ts", f"{quiet} seconds").alias("w")).agg(F.count("*").alias("n_events"), F.size(F.collect_set("path")).alias("n_paths"), F.max("ts").alias("last"))
+        return s.select(F.col("w.start").alias("start"), "last", "n_events", "n_paths")
+    kind = dict(events.dtypes)["ts"]
+    micros = F.unix_micros(F.col("ts").cast("timestamp"))
+    e = e.select("ts", "path", micros.alias("us"), F.floor(micros / (bucket * 1_000_000)).alias("bucket"))
+    gap = F.lit(int(quiet * 1_000_000))
+    ends = e.groupBy("bucket").agg(F.max("us").alias("end")).withColumn("before", F.lag("end").over(Window.orderBy("bucket"))).select("bucket", "before")
+    order = Window.partitionBy("bucket").orderBy("us")
+    e = e.join(ends, "bucket").withColumn("prev", F.coalesce(F.lag("us").over(order), "before"))
+    e = e.withColumn("opens", F.when(F.col("prev").isNull() | (F.col("us") - F.col("prev") > gap), F.col("us")))
+    e = e.withColumn("own", F.max("opens").over(order.rangeBetween(Window.unboundedPreceding, 0)))
+    carried = e.groupBy("bucket").agg(F.max("opens").alias("opened")).withColumn("open", F.last("opened", ignorenulls=True).over(Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1))).select("bucket", "open")
+    s = e.join(carried, "bucket").withColumn("start", F.coalesce("own", "open"))
+    return s.groupBy(F.timestamp_micros("start").cast(kind).alias("start")).agg(F.max("ts").alias("last"), F.count("*").alias("n_events"), F.countDistinct("path").cast("int").alias("n_paths"))
 
 
 def event_stream(spark: SparkSession, folder: str, kind: str = "parquet") -> DataFrame:
@@ -37,7 +51,7 @@ def event_stream(spark: SparkSession, folder: str, kind: str = "parquet") -> Dat
     return spark.readStream.schema(EVENTS).format(kind).load(folder)
 
 
-def watch(events: DataFrame, on_burst: Callable[[int], None], checkpoint: str, *, quiet: str = "2 seconds", late: str = "10 seconds", trigger: dict | None = None) -> StreamingQuery:
+def watch(events: DataFrame, on_burst: Callable[[int], None], checkpoint: str, *, quiet: float = 2.0, late: str = "10 seconds", trigger: dict | None = None) -> StreamingQuery:
     """Start a query that calls ``on_burst(number of bursts)`` for each batch with closed bursts.
 
     A failing call is reported and does not end the stream.
