@@ -44,7 +44,7 @@ RESIDUE_SEEDS = (
     r"\{\{.*?\}\}|\{%.*?%\}|<%.*?%>|@@[\w.]+@@|\[\[[\w.]+\]\]|%\([\w.]+\)s|%[a-z_.]{3,}%|[$#]\{[\w.]+\}|\[your [\w.]+\]|\[insert [\w.]+ here\]|<[\w.]+ goes here>|\b__[\w.]+?__|(?<![\w{])\{[\w.]+\}(?![\w}])|"
     r"lorem ipsum|placeholder|^tbd\W*$|^xxx\b|\basdf\b|^enter heading|text coming soon|sample text|add your description|here goes the|click here to edit|blindtext|texte provisoire|"
     r"not found|nicht gefunden|introuvable|не найдена|n'existe pas|gibt es nicht|^0\W*$|^0 (?:bad|service|internal|forbidden|gateway|not)|bad gateway|no valid answer|internal server|server error|temporarily unavailable|"
-    r"could not be|cannot be (?:shown|displayed|found|processed)|was refused|not available|did not respond|has been removed|something went wrong|request id|slow down and retry|do not have permission|ne répond pas|access denied|permission to (?:view|access)|session expired|log in again|account has been suspended|hosting desk|"
+    r"could not be|cannot be (?:shown|displayed|found|processed)|was refused|not available|did not respond|has been removed|something went wrong|request id|slow down and retry|too many requests|out of order|do not have permission|ne répond pas|access denied|permission to (?:view|access)|session expired|log in again|account has been suspended|hosting desk|"
     r"planned maintenance|be right back|database connection|traceback \(most|fatal error|^warning: include|^\w+error:|^file \"/|interner fehler|später noch einmal|код ошибки|checking your browser|takes up to 0 seconds|link goes nowhere|moved or deleted|"
     r"javascript (?:is|in your|to run|aktivieren|pour afficher)|aktivieren sie javascript|включить javascript|^noscript|requires scripts|scripts are (?:switched|disabled|required|needed|off)|scripting has been|^loading\W*$|allow it for|switch it on|scripts are allowed|client code is|active content is|(?:script|code|browser)\w* .{0,20}(?:switched off|disabled|blocked)|go to the start page|(?:please )?(?:try again|come back) later|^oops\b|the (?:page|document|address|file|article)\b.{0,40}\b(?:found|shown|exist)"
 )

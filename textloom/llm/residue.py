@@ -66,7 +66,7 @@ def known_residue(core: str) -> bool:
     hits = 0
     for x in lines:
         words = B.WORD.findall(x.lower())
-        if B.RESIDUE_RE.search(B.bare(x)) or words and sum(w in B.LOREM for w in words) >= 0.7 * len(words):
+        if len(words) <= 24 and B.RESIDUE_RE.search(B.bare(re.sub(r"`[^`]*`", " ", x))) or words and sum(w in B.LOREM for w in words) >= 0.7 * len(words):
             hits += 1
     return bool(lines) and hits == len(lines)
 
