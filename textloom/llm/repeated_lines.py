@@ -89,8 +89,8 @@ def common_prefixes(order: np.ndarray, rounds: list[np.ndarray]) -> np.ndarray:
 def block_counts(urls: np.ndarray, keys: list[np.ndarray], max_block: int) -> pd.DataFrame:
     """(key, length, urls, head): number of distinct URLs of each block of lines that a block of pages holds.
 
-    ``key`` identifies the sequence of line identifiers; blocks are prefixes of suffixes of the lengths 1 and,
-    where neighbours share more, the longest common prefix up to ``max_block``.
+    ``key`` identifies the sequence of line identifiers; blocks are prefixes of suffixes of length 1 and of
+    the powers of two up to ``max_block`` that neighbours share.
     """
     size = np.array([len(k) for k in keys], dtype=np.int64)
     if not size.sum():
@@ -119,9 +119,8 @@ def block_counts(urls: np.ndarray, keys: list[np.ndarray], max_block: int) -> pd
     one["length"] = 1
     out = [one[["key", "length", "urls"]]]
     # maximal intervals of longer common prefixes, by the lengths that occur between neighbours
-    for length in sorted({int(x) for x in np.unique(np.minimum(lcp, max_block)) if x > 1}):
-        if length & (length - 1):
-            continue  # lengths double; a longer block shows in each power of two below it
+    top_length = min(int(lcp.max(initial=0)), max_block)
+    for length in (1 << k for k in range(1, top_length.bit_length())):  # a longer block shows in each power of two below it
         g = np.cumsum(np.r_[True, lcp[1:] < length])
         many = np.bincount(g)[g] > 1
         if not many.any():
