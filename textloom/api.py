@@ -103,7 +103,7 @@ class Engine:
         if isinstance(queries, str):
             row = (0, queries, one.get("n_results", 5), one.get("category"), one.get("filename"), one.get("collection", SETTINGS.default_collection))
             queries = self.spark.createDataFrame([row], QUERIES)
-        return search(queries, self.store.chunks(), embedder=self.embedder, reranker=self.reranker)
+        return search(queries, self.store.chunks(), embedder=self.embedder, reranker=self.reranker, index=self.store.bm25_index())
 
     def status(self, collection: str = SETTINGS.default_collection) -> DataFrame:
         return stats.status(self.store.chunks(collection))

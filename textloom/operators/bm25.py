@@ -6,6 +6,11 @@ inverse document frequency over all terms of the collection.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -13,13 +18,24 @@ from textloom.functions.text import tokens
 
 
 def postings(chunks: DataFrame, *, key: str = "chunk_id", text: str = "text", collection: str | None = "collection") -> DataFrame:
-    """(collection, key, term, tf, dl) of each term of each chunk.  Null and blank texts give no row."""
+    """(collection, key, term, tf, dl) of each term of each chunk.  Null and blank texts give no row.
+
+    Terms are counted in the task that reads the chunk, batch by batch on whole columns, so nothing is shuffled
+    and the cost grows with the length of a text.
+    """
     coll = F.col(collection) if collection else F.lit("all")
-    t = chunks.select(coll.alias("collection"), F.col(key).alias("key"), tokens(F.col(text)).alias("w"))
-    # terms of a chunk are counted where the chunk is; nothing is shuffled for it
-    t = t.select("collection", "key", F.size("w").alias("dl"), F.array_sort("w").alias("w"))
-    counted = t.select("collection", "key", "dl", F.explode(F.transform(F.array_distinct("w"), lambda x: F.struct(x.alias("term"), F.size(F.filter("w", lambda y: y == x)).alias("tf")))).alias("p"))
-    return counted.select("collection", "key", "p.term", "p.tf", "dl")
+    t = chunks.select(coll.cast("string").alias("collection"), F.col(key).alias("key"), tokens(F.col(text)).alias("w")).where(F.size("w") > 0)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            size = pc.list_value_length(batch.column(2)).to_numpy().astype(np.int64)
+            enc = pc.dictionary_encode(batch.column(2).flatten())
+            width = max(len(enc.dictionary), 1)
+            pair, tf = np.unique(np.repeat(np.arange(len(size)), size) * width + enc.indices.to_numpy(), return_counts=True)
+            doc = pa.array(pair // width)
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(doc), batch.column(1).take(doc), enc.dictionary.take(pa.array(pair % width)), pa.array(tf.astype(np.int32)), pa.array(size.astype(np.int32)).take(doc)], names=["collection", "key", "term", "tf", "dl"])
+
+    return t.mapInArrow(count, f"collection string, key {dict(chunks.dtypes)[key]}, term string, tf int, dl int")
 
 
 def doc_stats(chunks: DataFrame, *, text: str = "text", collection: str | None = "collection") -> DataFrame:
@@ -37,14 +53,14 @@ def term_stats(post: DataFrame, stats: DataFrame, epsilon: float = 0.25) -> Data
     return raw.join(mean, "collection").select("collection", "term", "df", F.when(F.col("raw") < 0, epsilon * F.col("mean")).otherwise(F.col("raw")).alias("idf"))
 
 
-def bm25_scores(queries: DataFrame, chunks: DataFrame, *, key: str = "chunk_id", text: str = "text", collection: str | None = "collection", k1: float = 1.5, b: float = 0.75, epsilon: float = 0.25) -> DataFrame:
+def bm25_scores(queries: DataFrame, chunks: DataFrame, *, key: str = "chunk_id", text: str = "text", collection: str | None = "collection", k1: float = 1.5, b: float = 0.75, epsilon: float = 0.25, index: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
     """(query_id, key, score) of each chunk that shares a term with a query of its collection.
 
     Repeated query terms count as often as they occur.  Queries without terms and chunks without terms give no
-    row.  The query's terms reach the postings by a join on (collection, term).
+    row.  The query's terms reach the postings by a join on (collection, term).  ``index`` gives stored postings
+    and document statistics in place of the chunks' own.
     """
-    post = postings(chunks, key=key, text=text, collection=collection)
-    stats = doc_stats(chunks, text=text, collection=collection)
+    post, stats = index or (postings(chunks, key=key, text=text, collection=collection), doc_stats(chunks, text=text, collection=collection))
     coll = F.col("collection") if collection else F.lit("all")
     q = queries.select("query_id", coll.alias("collection"), F.explode(tokens(F.col("query"))).alias("term")).groupBy("query_id", "collection", "term").agg(F.count("*").alias("qtf"))
     # statistics of the asked terms only; the mean over all terms comes with them

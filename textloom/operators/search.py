@@ -27,19 +27,20 @@ def rerank(short: DataFrame, model: Reranker, chars: int = 8000) -> DataFrame:
     return short.withColumn("rerank_score", score(F.col("query"), F.substring(F.coalesce(F.col("text"), F.lit("")), 1, chars)))
 
 
-def search(queries: DataFrame, chunks: DataFrame, *, key: str = "chunk_id", embedder: Embedder | None = None, reranker: Reranker | None = None, default_n: int = 5) -> DataFrame:
+def search(queries: DataFrame, chunks: DataFrame, *, key: str = "chunk_id", embedder: Embedder | None = None, reranker: Reranker | None = None, default_n: int = 5, index: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
     """Ranked results of each query: (query_id, rank, key, filename, heading, category, text, final_score, rendered).
 
     ``queries`` has query_id, query, n_results, category, filename and collection.  Null and blank queries and
     queries without candidates give no row; a null n_results counts as ``default_n`` and less than one as one;
-    empty and null filters do not filter.  Keys of ``chunks`` must be unique.
+    empty and null filters do not filter.  Keys of ``chunks`` must be unique.  ``index`` has
+    stored postings and statistics of the same chunks.
     """
     asked = queries.where(F.col("query").rlike(r"\S")).withColumn("n", F.greatest(F.lit(1), F.coalesce("n_results", F.lit(default_n))))
     model = embedder or HashEmbedder()
     variants = embed(fusion.expand_queries(asked).withColumn("fetch", F.col("n") * SETTINGS.fetch_factor), "variant_query", model)
     vectors = embed(chunks, "text", model)
     found = vector_topk(variants, vectors, "fetch", key=key, filters=[("collection", "collection"), ("category", "category"), ("filename", "filename")])
-    scores = bm25_scores(asked, chunks, key=key)
+    scores = bm25_scores(asked, chunks, key=key, index=index)
     fused = fusion.fuse(fusion.with_bm25(fusion.merge_variants(found, key), scores), SETTINGS.rrf_k)
     short = fusion.shortlist(fused.join(asked.select("query_id", "query", "n"), "query_id"), "n", SETTINGS.rerank_factor)
     texts = chunks.select(F.col(key).alias("key"), "filename", "heading", "parent_heading", "category", "text")

@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textloom.config import CollectionError
+from textloom.operators.bm25 import doc_stats, postings
 from textloom.operators.manifest import diff, upsert
 from textloom.schema import CHUNKS, MANIFEST
 
@@ -41,6 +42,9 @@ class Store:
             w = df.write
             (w.partitionBy("collection") if name == "chunks" else w).parquet(path)
             state[name] = path
+        self._point(state)
+
+    def _point(self, state: dict[str, str]) -> None:
         temp, final = self._path(f"{self.folder}/current.json.{uuid.uuid4().hex}"), self._path(f"{self.folder}/current.json")
         out = self._fs.create(temp, True)
         out.write(bytearray(json.dumps(state), "utf-8"))
@@ -59,6 +63,19 @@ class Store:
         path = self._current().get("manifest")
         return self.spark.read.schema(MANIFEST).parquet(path) if path else self.spark.createDataFrame([], MANIFEST)
 
+    def bm25_index(self) -> tuple[DataFrame, DataFrame]:
+        """Stored postings and document statistics; they are written again when the chunks have changed since."""
+        state = self._current()
+        if not state.get("chunks") or state.get("indexed") != state["chunks"]:
+            chunks, tag = self.chunks(), uuid.uuid4().hex
+            # terms of a collection lie together, so a scan for a few terms skips most row groups
+            postings(chunks).repartition("collection", F.pmod(F.xxhash64("term"), F.lit(64))).sortWithinPartitions("collection", "term").write.parquet(f"{self.folder}/postings-{tag}")
+            doc_stats(chunks).write.parquet(f"{self.folder}/doc_stats-{tag}")
+            state |= {"postings": f"{self.folder}/postings-{tag}", "doc_stats": f"{self.folder}/doc_stats-{tag}", "indexed": state.get("chunks", "")}
+            if state["indexed"]:
+                self._point(state)
+        return self.spark.read.parquet(state["postings"]), self.spark.read.parquet(state["doc_stats"])
+
     def collections(self) -> DataFrame:
         return self.chunks().groupBy("collection").agg(F.count("*").alias("chunks"))
 
