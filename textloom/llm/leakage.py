@@ -114,4 +114,12 @@ def p7_items(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"p7_found": p7_found, "p7_items": p7_items}
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    "p7_found": r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM documents WHERE text IS NOT NULL),
+b AS (SELECT item_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM benchmark WHERE text IS NOT NULL),
+dg AS (SELECT doc_id, unnest(list_transform(generate_series(1, len(w) - 11), lambda i: array_to_string(w[i : i + 11], ' '))) AS g FROM d WHERE len(w) >= 12),
+bg AS (SELECT item_id, unnest(list_transform(generate_series(1, len(w) - 11), lambda i: array_to_string(w[i : i + 11], ' '))) AS g FROM b WHERE len(w) >= 12)
+SELECT DISTINCT doc_id, item_id FROM dg JOIN bg USING (g)
+""",
+}

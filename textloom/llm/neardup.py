@@ -339,12 +339,13 @@ def similar_sets(docs: DataFrame, *, id_col: str = "section_id", text_col: str =
 def similar_pairs(docs: DataFrame, *, id_col: str = "section_id", **how) -> DataFrame:
     """({id_col}_a, {id_col}_b), a < b: every pair of rows whose texts reach the similarity.
 
-    Rows with equal sets of shingles are pairs too.  Null texts and texts of fewer than k words give no pair;
+    Rows with equal sets of shingles are pairs too; a row that is repeated with its id counts once.  Null texts and texts of fewer than k words give no pair;
     an empty table gives an empty result; other columns are not read, whatever their names.
     """
     members, pairs = similar_sets(docs, id_col=id_col, **how)
+    members = members.select("id", "set_id").distinct()  # repeated rows of one id are one row
     a, b = members.select(F.col("set_id").alias("sa"), F.col("id").alias("x")), members.select(F.col("set_id").alias("sb"), F.col("id").alias("y"))
-    across = pairs.join(a, "sa").join(b, "sb").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+    across = pairs.join(a, "sa").join(b, "sb").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).where("a < b")
     copied = members.groupBy("set_id").agg(F.count("*").alias("c")).where("c > 1").select("set_id")
     own = members.join(copied, "set_id", "left_semi")
     within = own.select("set_id", F.col("id").alias("a")).join(own.select("set_id", F.col("id").alias("b")), "set_id").where("a < b").select("a", "b")
@@ -376,4 +377,12 @@ def p4_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"p4_found": p4_found, "p4_groups": p4_groups}
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    "p4_found": r"""
+WITH w AS (SELECT section_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM sections WHERE text IS NOT NULL),
+s AS (SELECT DISTINCT section_id, unnest(list_transform(generate_series(1, len(w) - 2), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) AS g FROM w WHERE len(w) >= 3),
+n AS (SELECT section_id, count(*) AS n FROM s GROUP BY section_id),
+o AS (SELECT a.section_id AS a, b.section_id AS b, count(*) AS o FROM s a JOIN s b ON a.g = b.g AND a.section_id < b.section_id GROUP BY ALL)
+SELECT a AS section_id_a, b AS section_id_b FROM o JOIN n x ON x.section_id = a JOIN n y ON y.section_id = b WHERE 10 * o >= 7 * (x.n + y.n - o)
+""",
+}
