@@ -44,7 +44,7 @@ def join_url(base: pd.Series, link: pd.Series) -> pd.Series:
     return pd.Series([one(b, x) for b, x in zip(base, link)])
 
 
-def robots_filter(urls: DataFrame, rules: dict[str, str], agent: str = "RAG-Indexer") -> DataFrame:
+def robots_filter(urls: DataFrame, rules: dict[str, str], agent: str = "textloom") -> DataFrame:
     """URLs that robots.txt allows; ``rules`` has the text by scheme and host, and hosts without one allow all."""
     @F.pandas_udf(T.BooleanType())
     def ok(u: pd.Series) -> pd.Series:
