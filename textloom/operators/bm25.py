@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from textloom.functions.text import tokens
+from textloom.plans.materialize import materialize
 
 
 def postings(chunks: DataFrame, *, key: str = "chunk_id", text: str = "text", collection: str | None = "collection") -> DataFrame:
@@ -60,7 +61,8 @@ def bm25_scores(queries: DataFrame, chunks: DataFrame, *, key: str = "chunk_id",
     row.  The query's terms reach the postings by a join on (collection, term).  ``index`` gives stored postings
     and document statistics in place of the chunks' own.
     """
-    post, stats = index or (postings(chunks, key=key, text=text, collection=collection), doc_stats(chunks, text=text, collection=collection))
+    # the postings are read for the statistics and for the scores, so they are written once
+    post, stats = index or (materialize(postings(chunks, key=key, text=text, collection=collection), "postings"), doc_stats(chunks, text=text, collection=collection))
     coll = F.col("collection") if collection else F.lit("all")
     q = queries.select("query_id", coll.alias("collection"), F.explode(tokens(F.col("query"))).alias("term")).groupBy("query_id", "collection", "term").agg(F.count("*").alias("qtf"))
     # statistics of the asked terms only; the mean over all terms comes with them

@@ -14,6 +14,7 @@ from textloom.operators import fusion
 from textloom.operators.bm25 import bm25_scores
 from textloom.operators.dedup import greedy_dedup, ranked
 from textloom.operators.vector import Embedder, HashEmbedder, embed, vector_topk
+from textloom.plans.materialize import materialize
 
 
 class Reranker(Protocol):
@@ -40,7 +41,7 @@ def search(queries: DataFrame, chunks: DataFrame, *, key: str = "chunk_id", embe
     variants = embed(fusion.expand_queries(asked).withColumn("fetch", F.col("n") * SETTINGS.fetch_factor), "variant_query", model)
     vectors = embed(chunks, "text", model)
     found = vector_topk(variants, vectors, "fetch", key=key, filters=[("collection", "collection"), ("category", "category"), ("filename", "filename")])
-    scores = bm25_scores(asked, chunks, key=key, index=index)
+    scores = materialize(bm25_scores(asked, chunks, key=key, index=index), "scores")  # read for the best score and for the candidates
     fused = fusion.fuse(fusion.with_bm25(fusion.merge_variants(found, key), scores), SETTINGS.rrf_k)
     short = fusion.shortlist(fused.join(asked.select("query_id", "query", "n"), "query_id"), "n", SETTINGS.rerank_factor)
     texts = chunks.select(F.col(key).alias("key"), "filename", "heading", "parent_heading", "category", "text")

@@ -8,6 +8,8 @@ from typing import Protocol
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -27,16 +29,17 @@ class HashEmbedder:
         self.dim = dim
 
     def __call__(self, texts: list[str]) -> np.ndarray:
-        import re
-
-        import xxhash
-
-        out = np.zeros((len(texts), self.dim))
-        for k, t in enumerate(texts):
-            for w in re.findall(r"\w+", (t or "").lower()):
-                if len(w) > 2:
-                    h = xxhash.xxh3_64_intdigest(w)
-                    out[k, h % self.dim] += 1.0 if h >> 63 else -1.0
+        # all words of the batch at once; each distinct word is hashed once
+        clean = pc.utf8_trim_whitespace(pc.replace_substring_regex(pc.utf8_lower(pa.array([t or "" for t in texts], pa.string())), r"[^\p{L}\p{N}_]+", " "))
+        lists = pc.split_pattern(clean, " ")
+        enc = pc.dictionary_encode(lists.flatten())
+        hashes = np.array([xxhash.xxh3_64_intdigest(w) for w in enc.dictionary.to_pylist()], dtype=np.uint64)
+        long = np.array([len(w) > 2 for w in enc.dictionary.to_pylist()], dtype=bool)
+        idx = enc.indices.to_numpy()
+        row = np.repeat(np.arange(len(texts)), pc.list_value_length(lists).to_numpy())[long[idx]]
+        h = hashes[idx[long[idx]]]
+        sign = np.where(h >> np.uint64(63) == 1, 1.0, -1.0)
+        out = np.bincount(row * self.dim + (h % np.uint64(self.dim)).astype(np.int64), weights=sign, minlength=len(texts) * self.dim).reshape(len(texts), self.dim)
         norm = np.linalg.norm(out, axis=1, keepdims=True)
         return out / np.where(norm > 0, norm, 1)
 
