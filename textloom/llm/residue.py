@@ -99,7 +99,7 @@ def residue_of(labelled: DataFrame, *, id_col: str = "page_id", max_bits: int =
     pages = materialize(templates_of(labelled, id_col), "templates")
     tmpl = pages.groupBy("tmpl").agg(F.min("sim").alias("sim"), F.min("text").alias("text"), F.avg(F.col("sure").cast("int")).alias("sure"))
     keyed = tmpl.select("tmpl", "sim", F.explode(table_keys(F.col("sim"))).alias("key"))
-    other = keyed.select(F.col("tmpl").alias("b"), F.col("sim").alias("sim_b"), "key")
+    other = keyed.select(F.col("tmpl").alias("b"), F.col("sim").alias("sim_b"), "key").hint("merge")  # its rows compress well, so their shuffled size says little
     near = keyed.select(F.col("tmpl").alias("a"), "sim", "key").join(other, "key").where((F.col("a") < F.col("b")) & (F.bit_count(F.col("sim").bitwiseXOR(F.col("sim_b"))) <= max_bits)).select("a", "b").distinct()
     texts = tmpl.select(F.col("tmpl").alias("x"), "text")
     same = F.pandas_udf(lambda s, t: pd.Series([dice(p, q) for p, q in zip(s, t)]), T.DoubleType())
