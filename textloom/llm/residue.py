@@ -1,21 +1,24 @@
 """Problem 2: pages whose article is template residue, filler, an error or a demand for scripts.
 
 The block labeller separates the site's frame from the rest.  Where the rest is residue for the most part, it
-is a candidate; its text, with names, numbers and placeholders masked, gets a 64-bit SimHash.  Equal masked
-texts are one template from here on.  Templates meet in partitioned tables: the hash is cut into 8 blocks of
-8 bits and every pair of blocks is the key of one of 28 tables, so two hashes that differ in at most 6 bits
-share a key.  Pairs are verified by Hamming distance and by the words of both texts (multiset Dice, not
-shingles, as most residue is shorter than five words), and connected components carry the trusted labels:
-templates on which the labeller is sure, or that hold nothing but known residue, make their component
-residue; templates with neither stay out.
+is a candidate; its text has names, numbers and placeholders masked.  Equal masked texts are one template from
+here on.  Templates are alike by their words (multiset Dice, not shingles, as most residue is shorter than five
+words).  Labels spread from the trusted templates, those on which the labeller is sure or that hold nothing but
+known residue: each round finds every other template that is alike to one reached in the round before, until
+a round finds none, so whole components of trusted templates are residue and the others stay out.
+
+The search of a round is exact.  Two texts of n and m words with Dice t share at least t (n + m) / 2 of them,
+a repeated word counted with its number, so they share one among the first n - ceil(t n / (2 - t)) + 1 and
+m - ceil(t m / (2 - t)) + 1 in any common order (rare words first here).  Templates meet at these words, in a
+join by word; sizes and positions, both exact bounds, discard most pairs before the words are compared.
 """
 
 from __future__ import annotations
 
+import math
 import re
 from collections import Counter
 from collections.abc import Iterator
-from itertools import combinations
 
 import numpy as np
 import pandas as pd
@@ -25,13 +28,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from textloom.llm import blocks as B
-from textloom.operators.components import connected_components
 from textloom.plans.materialize import materialize
 from textloom.plans.tables import table
 
 PLACEHOLDER = re.compile(r"\{\{.*?\}\}|\{%.*?%\}|<%.*?%>|@@.*?@@|\[\[.*?\]\]|%\([\w.]+\)s|%[\w.]{2,}%|[$#]?\{[\w.]+\}|\[(?:your|insert) [^\]]*\]|<[\w.]+ goes here>|\b__[\w.]+?__", re.I)
 NAME = re.compile(r"(?<=[^\W\d_][ ,])[^\W\d_a-zа-я][^\W\d_]{3,}")
 TOKEN = re.compile(r"[^\W_]+|[{}%<>@\[\]$#]")
+#: Slots of the counts that order words.
+SLOTS = 1 << 14
 
 
 def masked(core: str) -> str:
@@ -71,43 +75,113 @@ def known_residue(core: str) -> bool:
     return bool(lines) and hits == len(lines)
 
 
+def word_ids(text: str) -> np.ndarray:
+    """64-bit identifiers of the words of a masked text; a repeated word is told apart by its number."""
+    seen: dict[str, int] = {}
+    out = []
+    for w in text.split():
+        k = seen[w] = seen.get(w, 0) + 1
+        out.append(xxhash.xxh3_64_intdigest(f"{w} {k}"))
+    return np.array(out, dtype=np.uint64)
+
+
 def templates_of(labelled: DataFrame, id_col: str) -> DataFrame:
-    """(i, tmpl, sim, text, sure) of each candidate page."""
+    """(i, tmpl, n, text, sure) of each candidate page; n is the number of words of the masked text."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             text = [masked(c) for c in pdf["core"]]
             yield pd.DataFrame(
                 {
-                    "i": pdf["i"], "tmpl": np.array([xxhash.xxh3_64_intdigest(t) for t in text], dtype=np.uint64).view(np.int64), "sim": np.array([simhash(t) for t in text], dtype=np.int64),
+                    "i": pdf["i"], "tmpl": np.array([xxhash.xxh3_64_intdigest(t) for t in text], dtype=np.uint64).view(np.int64), "n": np.array([t.count(" ") + 1 if t else 0 for t in text], dtype=np.int32),
                     "text": text, "sure": [bool(p >= 0.8) or known_residue(c) for p, c in zip(pdf["p_residue"], pdf["core"])],
                 }
             )
 
     kind = dict(labelled.dtypes)[id_col]
-    return labelled.where("core IS NOT NULL").select(F.col(id_col).alias("i"), "core", "p_residue").mapInPandas(run, f"i {kind}, tmpl bigint, sim bigint, text string, sure boolean")
+    return labelled.where("core IS NOT NULL").select(F.col(id_col).alias("i"), "core", "p_residue").mapInPandas(run, f"i {kind}, tmpl bigint, n int, text string, sure boolean")
+
+
+def word_counts(tmpl: DataFrame) -> np.ndarray:
+    """How often the words of each of ``SLOTS`` slots occur in the templates; it only orders the words."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total = np.zeros(SLOTS, dtype=np.int64)
+        for pdf in batches:
+            ids = [word_ids(t) for t in pdf["text"]]
+            if ids:
+                total += np.bincount((np.concatenate(ids) % np.uint64(SLOTS)).astype(np.int64), minlength=SLOTS)
+        at = np.flatnonzero(total)
+        yield pd.DataFrame({"slot": at.astype(np.int32), "c": total[at]})
 
+    out = np.zeros(SLOTS, dtype=np.int64)
+    for r in tmpl.select("text").mapInPandas(run, "slot int, c bigint").groupBy("slot").agg(F.sum("c").alias("c")).collect():
+        out[r["slot"]] = r["c"]
+    return out
 
-def table_keys(sim: F.Column) -> F.Column:
-    """The 28 table keys of a SimHash: each pair of its 8 blocks of 8 bits."""
-    block = [F.shiftrightunsigned(sim, 8 * k).bitwiseAND(F.lit(255)) for k in range(8)]
-    return F.array(*[F.lit(t * 65536).cast("bigint") + block[a] * 256 + block[b] for t, (a, b) in enumerate(combinations(range(8), 2))])
 
+def first_words(tmpl: DataFrame, counts: np.ndarray, t: float, name: str) -> DataFrame:
+    """(name, w, at, n) of the words at which a template can meet all that are alike, rare words first."""
 
-def residue_of(labelled: DataFrame, *, id_col: str = "page_id", max_bits: int = 6, least_dice: float = 0.8) -> DataFrame:
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            x, w, at, n = [], [], [], []
+            for i, text in zip(pdf[name], pdf["text"]):
+                ids = word_ids(text)
+                if len(ids):
+                    top = len(ids) - math.ceil(t / (2 - t) * len(ids) - 1e-9) + 1
+                    own = ids[np.lexsort((ids, counts[(ids % np.uint64(SLOTS)).astype(np.int64)]))[:top]]
+                    x.append(np.full(len(own), i, dtype=np.int64))
+                    w.append(own.view(np.int64))
+                    at.append(np.arange(len(own), dtype=np.int32))
+                    n.append(np.full(len(own), len(ids), dtype=np.int32))
+            if x:
+                yield pd.DataFrame({name: np.concatenate(x), "w": np.concatenate(w), "at": np.concatenate(at), "n": np.concatenate(n)})
+
+    return tmpl.select(F.col("tmpl").alias(name), "text").mapInPandas(run, f"{name} bigint, w bigint, at int, n int")
+
+
+def in_reach(sizes: list[int], t: float) -> F.Column:
+    """Whether a template's size n can be alike to a text of one of the sizes."""
+    spans: list[list[int]] = []
+    for n in sorted(sizes):
+        low, high = math.ceil(t / (2 - t) * n - 1e-9), math.floor((2 - t) / t * n + 1e-9)
+        if spans and low <= spans[-1][1] + 1:
+            spans[-1][1] = max(spans[-1][1], high)
+        else:
+            spans.append([low, high])
+    out = F.lit(False)
+    for low, high in spans:
+        out = out | F.col("n").between(low, high)
+    return out
+
+
+def alike_to(near: DataFrame, rest: DataFrame, least_dice: float) -> DataFrame:
+    """(tmpl) of each template of ``rest`` whose words are alike to those of one of ``near``."""
+    sizes = [r["n"] for r in near.where("n > 0").select("n").distinct().collect()]
+    rest = rest.where(in_reach(sizes, least_dice))
+    counts = word_counts(rest)
+    a = first_words(near, counts, least_dice, "a").withColumnsRenamed({"at": "at_a", "n": "n_a"})
+    b = first_words(rest, counts, least_dice, "b").hint("merge")  # its rows compress well, so their shuffled size says little
+    most = F.least(F.least("n", "n_a"), 1 + F.least(F.col("n_a") - F.col("at_a") - 1, F.col("n") - F.col("at") - 1))
+    pairs = a.join(b, "w").where(2 * most >= least_dice * (F.col("n") + F.col("n_a")) - 1e-9).select("a", "b").distinct()
+    same = F.pandas_udf(lambda s, t: pd.Series([dice(p, q) for p, q in zip(s, t)]), T.DoubleType())
+    texts = pairs.join(near.select(F.col("tmpl").alias("a"), F.col("text").alias("ta")), "a").join(rest.select(F.col("tmpl").alias("b"), F.col("text").alias("tb")), "b")
+    return texts.where(same("ta", "tb") >= least_dice).select(F.col("b").alias("tmpl")).distinct()
+
+
+def residue_of(labelled: DataFrame, *, id_col: str = "page_id", least_dice: float = 0.8) -> DataFrame:
     """(id_col) of the pages, labelled by ``label_pages``, that are residue as a whole."""
     pages = materialize(templates_of(labelled, id_col), "templates")
-    tmpl = pages.groupBy("tmpl").agg(F.min("sim").alias("sim"), F.min("text").alias("text"), F.avg(F.col("sure").cast("int")).alias("sure"))
-    keyed = tmpl.select("tmpl", "sim", F.explode(table_keys(F.col("sim"))).alias("key"))
-    other = keyed.select(F.col("tmpl").alias("b"), F.col("sim").alias("sim_b"), "key").hint("merge")  # its rows compress well, so their shuffled size says little
-    near = keyed.select(F.col("tmpl").alias("a"), "sim", "key").join(other, "key").where((F.col("a") < F.col("b")) & (F.bit_count(F.col("sim").bitwiseXOR(F.col("sim_b"))) <= max_bits)).select("a", "b").distinct()
-    texts = tmpl.select(F.col("tmpl").alias("x"), "text")
-    same = F.pandas_udf(lambda s, t: pd.Series([dice(p, q) for p, q in zip(s, t)]), T.DoubleType())
-    pairs = near.join(texts.withColumnsRenamed({"x": "a", "text": "ta"}), "a").join(texts.withColumnsRenamed({"x": "b", "text": "tb"}), "b").where(same("ta", "tb") >= least_dice).select("a", "b")
-    comp = connected_components(pairs, "a", "b").select(F.col("id").alias("tmpl"), "component")
-    label = tmpl.join(comp, "tmpl", "left").select("tmpl", F.coalesce("component", "tmpl").alias("component"), "sure")
-    trusted = label.groupBy("component").agg(F.max("sure").alias("trust")).where("trust >= 0.5").select("component")
-    bad = label.join(trusted, "component", "left_semi").select("tmpl")
+    tmpl = materialize(pages.groupBy("tmpl").agg(F.min("n").alias("n"), F.min("text").alias("text"), F.avg(F.col("sure").cast("int")).alias("sure")), "distinct")
+    near = tmpl.where("sure >= 0.5")
+    rest, bad = tmpl.where("sure < 0.5"), near.select("tmpl")
+    while True:  # each round takes at least one template out of the rest, or is the last
+        found = materialize(alike_to(near, rest, least_dice), "reached")
+        if found.isEmpty():
+            break
+        near, rest, bad = rest.join(found, "tmpl", "left_semi"), rest.join(found, "tmpl", "left_anti"), bad.unionByName(found)
+        near, rest = materialize(near, "near"), materialize(rest, "rest")
     return pages.join(bad, "tmpl", "left_semi").select(F.col("i").alias(id_col))
 
 
