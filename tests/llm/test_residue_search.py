@@ -2,6 +2,8 @@
 
 import random
 
+from pyspark.sql import functions as F
+
 from textloom.llm.residue import dice, masked, residue_of
 
 
@@ -34,3 +36,21 @@ def test_every_alike_template_is_reached(spark):
         want |= new
     assert len(sure) + 100 < len(want) < len(texts)
     assert {r.page_id for r in residue_of(df).collect()} == want
+
+
+def test_long_texts_that_look_like_articles_are_reached(spark):
+    from textloom.llm.boilerplate import label_pages
+
+    def page(k, body):
+        return f"# Title {k}\n\nSource: https://s{k % 3}.x/{k}\n\nHome | Blog | About us\n\n{body}\n\nCopyright 2024 Example Works. All rights reserved."
+
+    rows = [(k, f"https://s{k % 3}.x/{k}", page(k, f"The service number {k} reads the list of files before it writes the table. Another sentence about topic {chr(97 + k % 26)} follows here.\n\nOne more paragraph of the article explains the {'very ' * k}long option in detail.")) for k in range(60)]
+    labelled = label_pages(spark.createDataFrame(rows, "page_id bigint, url string, content string")).select("page_id", "n_article", "core", F.lit(0.1).cast("float").alias("p_residue"))
+    long = {r.page_id: masked(r.core) for r in labelled.where("n_article > 60 AND core IS NOT NULL").collect()}
+    assert len(long) > 10
+    first = min(long)
+    trusted = labelled.where(F.col("page_id") == first).select(F.lit(999).cast("bigint").alias("page_id"), "core", F.lit(0.9).cast("float").alias("p_residue"))
+    want = {k for k, t in long.items() if dice(t, long[first]) >= 0.8}
+    assert len(want) > 5
+    cases = residue_of(labelled.where("page_id <> %d" % first).drop("n_article").unionByName(trusted)).collect()
+    assert want - {first} | {999} <= {r.page_id for r in cases}

@@ -22,8 +22,6 @@ from textloom.plans.tables import table
 
 #: Probability of residue from which a line of a page that has nothing but frame is looked at.
 FAINT = 0.02
-#: Words of a body that is left to its template's neighbours even if it looks like an article.
-SHORT = 60
 
 
 def fit_labeller(pages: DataFrame, id_col: str, url_col: str, content_col: str, max_pages: int, per_site: int) -> B.Labeller:
@@ -43,8 +41,7 @@ def label_pages(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "ur
 
     ``frame`` has the numbers of the frame lines; n_article and n_residue count words of lines labelled so
     (headings, the crawler's lines and fenced code aside), p_residue is the mean probability of residue over
-    those lines, weighted by words, and ``core`` is their text where residue has at least as many words as
-    article or the text is short, else null.
+    those lines, weighted by words, and ``core`` is their text, null where there are none.
 
     Null and blank contents give no row; a null URL is a site of its own; repeated rows give repeated rows;
     very long pages are read whole; of two equal probabilities the class listed first wins; an empty table
@@ -80,7 +77,7 @@ def label_pages(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "ur
                 n_art.append(a)
                 n_res.append(r)
                 p_res.append(float((pr[body] * words).sum() / words.sum()) if len(body) and words.sum() else 0.0)
-                core.append("\n".join(lines[k].strip() for k in body) if len(body) and (r >= a or r + a <= SHORT) else None)
+                core.append("\n".join(lines[k].strip() for k in body) if len(body) else None)
             offsets = pa.array(np.r_[0, np.cumsum([len(f) for f in frame])].astype(np.int32))
             flat = pa.array(np.concatenate(frame) if frame else np.zeros(0, np.int32), pa.int32())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(offsets, flat), pa.array(n_art, pa.int32()), pa.array(n_res, pa.int32()), pa.array(p_res, pa.float32()), pa.array(core, pa.string())], names=["i", "frame", "n_article", "n_residue", "p_residue", "core"])

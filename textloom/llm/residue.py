@@ -1,8 +1,7 @@
 """Problem 2: pages whose article is template residue, filler, an error or a demand for scripts.
 
-The block labeller separates the site's frame from the rest.  Where the rest is residue for the most part, it
-is a candidate; its text has names, numbers and placeholders masked.  Equal masked texts are one template from
-here on.  Templates are alike by their words (multiset Dice, not shingles, as most residue is shorter than five
+The block labeller separates the site's frame from the rest.  The text of the rest, whatever the labeller says of
+it, has names, numbers and placeholders masked.  Equal masked texts are one template from here on.  Templates are alike by their words (multiset Dice, not shingles, as most residue is shorter than five
 words).  Labels spread from the trusted templates, those on which the labeller is sure or that hold nothing but
 known residue: each round finds every other template that is alike to one reached in the round before, until
 a round finds none, so whole components of trusted templates are residue and the others stay out.
@@ -22,6 +21,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -31,8 +32,8 @@ from textloom.llm import blocks as B
 from textloom.plans.materialize import materialize
 from textloom.plans.tables import table
 
-PLACEHOLDER = re.compile(r"\{\{.*?\}\}|\{%.*?%\}|<%.*?%>|@@.*?@@|\[\[.*?\]\]|%\([\w.]+\)s|%[\w.]{2,}%|[$#]?\{[\w.]+\}|\[(?:your|insert) [^\]]*\]|<[\w.]+ goes here>|\b__[\w.]+?__", re.I)
-NAME = re.compile(r"(?<=[^\W\d_][ ,])[^\W\d_a-zа-я][^\W\d_]{3,}")
+PLACEHOLDER = re.compile(r"(?=[{<@\[%$#_])(?:\{\{.*?\}\}|\{%.*?%\}|<%.*?%>|@@.*?@@|\[\[.*?\]\]|%\([\w.]+\)s|%[\w.]{2,}%|[$#]?\{[\w.]+\}|\[(?:your|insert) [^\]]*\]|<[\w.]+ goes here>|\b__[\w.]+?__)", re.I)
+NAME = re.compile(r"[^\W\d_a-zа-я](?<=[^\W\d_][ ,].)[^\W\d_]{3,}")
 TOKEN = re.compile(r"[^\W_]+|[{}%<>@\[\]$#]")
 #: Slots of the counts that order words.
 SLOTS = 1 << 14
@@ -67,26 +68,31 @@ def dice(a: str, b: str) -> float:
 def known_residue(core: str) -> bool:
     """Nothing but lines that the seeds know, or filler."""
     lines = [x for x in core.split("\n") if x.strip()]
-    hits = 0
     for x in lines:
         words = B.WORD.findall(x.lower())
-        if len(words) <= 24 and B.RESIDUE_RE.search(B.bare(re.sub(r"`[^`]*`", " ", x))) or words and sum(w in B.LOREM for w in words) >= 0.7 * len(words):
-            hits += 1
-    return bool(lines) and hits == len(lines)
-
-
-def word_ids(text: str) -> np.ndarray:
-    """64-bit identifiers of the words of a masked text; a repeated word is told apart by its number."""
-    seen: dict[str, int] = {}
-    out = []
-    for w in text.split():
-        k = seen[w] = seen.get(w, 0) + 1
-        out.append(xxhash.xxh3_64_intdigest(f"{w} {k}"))
-    return np.array(out, dtype=np.uint64)
+        if not (len(words) <= 24 and B.RESIDUE_RE.search(B.bare(re.sub(r"`[^`]*`", " ", x))) or words and sum(w in B.LOREM for w in words) >= 0.7 * len(words)):
+            return False
+    return bool(lines)
+
+
+def word_ids(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """(text number, 64-bit identifier) of the words of masked texts; a repeated word is told apart by its number."""
+    lists = pc.split_pattern(pa.array(texts, pa.string()), " ")
+    size = pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
+    enc = pc.dictionary_encode(lists.flatten())
+    own = np.array([xxhash.xxh3_64_intdigest(w) if w else 0 for w in enc.dictionary.to_pylist()], dtype=np.uint64)
+    doc, code = np.repeat(np.arange(len(texts)), size), enc.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+    order = np.lexsort((code, doc))
+    doc, code = doc[order], code[order]
+    new = np.r_[True, (doc[1:] != doc[:-1]) | (code[1:] != code[:-1])] if len(doc) else np.zeros(0, bool)
+    number = np.arange(len(doc)) - np.maximum.accumulate(np.where(new, np.arange(len(doc)), 0))
+    word = own[code] if len(own) else np.zeros(0, np.uint64)
+    full = word != 0
+    return doc[full], (word ^ number.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))[full]
 
 
 def templates_of(labelled: DataFrame, id_col: str) -> DataFrame:
-    """(i, tmpl, n, text, sure) of each candidate page; n is the number of words of the masked text."""
+    """(i, tmpl, n, text, sure) of each page that has more than a frame; n is the number of words of the masked text."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -108,9 +114,7 @@ def word_counts(tmpl: DataFrame) -> np.ndarray:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total = np.zeros(SLOTS, dtype=np.int64)
         for pdf in batches:
-            ids = [word_ids(t) for t in pdf["text"]]
-            if ids:
-                total += np.bincount((np.concatenate(ids) % np.uint64(SLOTS)).astype(np.int64), minlength=SLOTS)
+            total += np.bincount((word_ids(pdf["text"].tolist())[1] % np.uint64(SLOTS)).astype(np.int64), minlength=SLOTS)
         at = np.flatnonzero(total)
         yield pd.DataFrame({"slot": at.astype(np.int32), "c": total[at]})
 
@@ -125,18 +129,14 @@ def first_words(tmpl: DataFrame, counts: np.ndarray, t: float, name: str) -> Dat
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            x, w, at, n = [], [], [], []
-            for i, text in zip(pdf[name], pdf["text"]):
-                ids = word_ids(text)
-                if len(ids):
-                    top = len(ids) - math.ceil(t / (2 - t) * len(ids) - 1e-9) + 1
-                    own = ids[np.lexsort((ids, counts[(ids % np.uint64(SLOTS)).astype(np.int64)]))[:top]]
-                    x.append(np.full(len(own), i, dtype=np.int64))
-                    w.append(own.view(np.int64))
-                    at.append(np.arange(len(own), dtype=np.int32))
-                    n.append(np.full(len(own), len(ids), dtype=np.int32))
-            if x:
-                yield pd.DataFrame({name: np.concatenate(x), "w": np.concatenate(w), "at": np.concatenate(at), "n": np.concatenate(n)})
+            doc, ids = word_ids(pdf["text"].tolist())
+            order = np.lexsort((ids, counts[(ids % np.uint64(SLOTS)).astype(np.int64)], doc))
+            doc, ids = doc[order], ids[order]
+            n = np.bincount(doc, minlength=len(pdf))
+            at = np.arange(len(doc)) - (np.cumsum(n) - n)[doc]
+            top = n - np.ceil(t / (2 - t) * n - 1e-9).astype(np.int64) + 1
+            own = at < top[doc]
+            yield pd.DataFrame({name: pdf[name].to_numpy()[doc[own]], "w": ids[own].view(np.int64), "at": at[own].astype(np.int32), "n": n[doc[own]].astype(np.int32)})
 
     return tmpl.select(F.col("tmpl").alias(name), "text").mapInPandas(run, f"{name} bigint, w bigint, at int, n int")
 
@@ -189,7 +189,7 @@ def residue_pages(pages: DataFrame, *, id_col: str = "page_id", **how) -> DataFr
     """(id_col) of each page row whose article is replaced as a whole by residue.
 
     Null and blank contents give no row; pages with a frame but no other text are no case; pages whose
-    article has more words than the residue beside it are no case; repeated rows are decided alike; an empty
+    text is not alike to a trusted template, at the end of a chain or directly, are no case; repeated rows are decided alike; an empty
     table gives an empty result; other columns than those of ``label_pages`` are not read.
     """
     from textloom.llm.boilerplate import label_pages
