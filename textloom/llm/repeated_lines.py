@@ -3,9 +3,12 @@
 The pages of a site are split by a hash of their canonical URL into blocks of about ``block_urls`` URLs, so
 no task holds more than a block, however large the site, and the URL counts of the blocks add up exactly.
 In each block a suffix array is built over the concatenated line identifiers of its pages; neighbouring
-suffixes with a common prefix form blocks of repeated lines, and the least of them, prefixes of one line,
-give each line's number of URLs.  The counts of the blocks are added, lines (and multi-line blocks) that span
-enough URLs of the site are kept, and their occurrences are deleted by a join back to the pages.
+suffixes with a common first line give each line's number of URLs.  The counts of the blocks are added, lines that
+span enough URLs of the site are kept, and their occurrences are deleted by a join back to the pages.
+
+Longer repeated blocks consist of such lines only.  A page's other lines become breaks, URLs of a site with the
+same runs of lines between breaks become one row with their number, and a suffix array over the runs of the whole
+site gives its maximal repeats at their own lengths, each with its number of URLs, in one scan.
 
 Line identifiers: letters alone, in lower case.  Lines without letters, lines whose first non-blank
 character is ``#`` and fenced code have none and break a block.
@@ -13,13 +16,14 @@ character is ``#`` and fenced code have none and break a block.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from bisect import bisect_right
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from textloom.plans.materialize import materialize
 from textloom.plans.tables import table
 
 
@@ -86,12 +90,8 @@ def common_prefixes(order: np.ndarray, rounds: list[np.ndarray]) -> np.ndarray:
     return lcp
 
 
-def block_counts(urls: np.ndarray, keys: list[np.ndarray], max_block: int) -> pd.DataFrame:
-    """(key, length, urls, head): number of distinct URLs of each block of lines that a block of pages holds.
-
-    ``key`` identifies the sequence of line identifiers; blocks are prefixes of suffixes of length 1 and of
-    the powers of two up to ``max_block`` that neighbours share.
-    """
+def block_counts(urls: np.ndarray, keys: list[np.ndarray]) -> pd.DataFrame:
+    """(key, length, urls): number of distinct URLs of each line (length 1) that a block of pages holds."""
     size = np.array([len(k) for k in keys], dtype=np.int64)
     if not size.sum():
         return pd.DataFrame({"key": np.array([], dtype=np.int64), "length": np.array([], dtype=np.int32), "urls": np.array([], dtype=np.int64)})
@@ -117,22 +117,62 @@ def block_counts(urls: np.ndarray, keys: list[np.ndarray], max_block: int) -> pd
     pair = pd.DataFrame({"g": group[real], "u": url_at[order][real], "key": key_at[order][real]})
     one = pair.drop_duplicates(["g", "u"]).groupby("g", sort=False).agg(key=("key", "first"), urls=("u", "size"))
     one["length"] = 1
-    out = [one[["key", "length", "urls"]]]
-    # maximal intervals of longer common prefixes, by the lengths that occur between neighbours
-    top_length = min(int(lcp.max(initial=0)), max_block)
-    for length in (1 << k for k in range(1, top_length.bit_length())):  # a longer block shows in each power of two below it
-        g = np.cumsum(np.r_[True, lcp[1:] < length])
-        many = np.bincount(g)[g] > 1
-        if not many.any():
-            continue
-        p = pd.DataFrame({"g": g[many], "u": url_at[order][many], "at": order[many]})
-        at = p.groupby("g", sort=False)["at"].first().to_numpy()
-        h = np.zeros(len(at), dtype=np.uint64)
-        for k in range(length):
-            h = h * np.uint64(0x100000001B3) ^ key_at[at + k].view(np.uint64)
-        n = p.drop_duplicates(["g", "u"]).groupby("g", sort=False).size().to_numpy()
-        out.append(pd.DataFrame({"key": h.view(np.int64), "length": length, "urls": n}))
-    return pd.concat(out, ignore_index=True)
+    return one[["key", "length", "urls"]]
+
+
+def maximal_blocks(runs: list[np.ndarray], row: np.ndarray, weight: np.ndarray) -> pd.DataFrame:
+    """(key, length, urls) of each maximal repeat of at least two lines in the runs.
+
+    ``row`` has the row of each run and ``weight`` the number of URLs of each row.  A repeat is maximal if not all
+    of its occurrences have the same line before them, nor the same line after them; ends of runs differ.
+    """
+    size = np.array([len(r) for r in runs], dtype=np.int64)
+    flat = np.concatenate(runs) if len(runs) else np.zeros(0, np.int64)
+    ids = np.unique(flat, return_inverse=True)[1].astype(np.int64)
+    ends = np.cumsum(size + 1) - 1
+    text = np.empty(len(flat) + len(size), dtype=np.int64)
+    body = np.ones(len(text), dtype=bool)
+    body[ends] = False
+    text[ends] = len(flat) + np.arange(len(size))
+    text[body] = ids
+    own = np.zeros(len(text), dtype=np.int64)
+    own[body] = flat
+    mask, base, hashes, power = (1 << 64) - 1, 0x9E3779B97F4A7C15, [0], [1]
+    for k in own.tolist():
+        hashes.append((hashes[-1] * base + k) & mask)
+        power.append(power[-1] * base & mask)
+    out: dict[str, list] = {"key": [], "length": [], "urls": []}
+    if len(text) > 1:
+        order, _, rounds = suffix_array(text)
+        lcp = common_prefixes(order, rounds).tolist() + [0]
+        before = text[order - 1]  # the end of the last run stands before the first
+        changes = np.cumsum(np.r_[0, before[1:] != before[:-1]]).tolist()
+        rows = np.repeat(row, size + 1)[order]
+        total = np.r_[0, np.cumsum(weight[rows])].tolist()
+        at, rows, weights = order.tolist(), rows.tolist(), weight.tolist()
+        last: dict[int, int] = {}
+        lengths, lefts, again = [0], [0], [0]  # open intervals; again has the weight of rows seen before inside
+        for i in range(len(at) + 1):
+            h, left, carried = lcp[i], i - 1, 0
+            while lengths[-1] > h:
+                n, left, twice = lengths.pop(), lefts.pop(), again.pop() + carried
+                if n > 1 and changes[i - 1] > changes[left]:
+                    key = (hashes[at[left] + n] - hashes[at[left]] * power[n]) & mask
+                    out["key"].append(key - (1 << 64) if key >> 63 else key)
+                    out["length"].append(n)
+                    out["urls"].append(total[i] - total[left] - twice)
+                carried = twice
+            if lengths[-1] < h:
+                lengths.append(h)
+                lefts.append(left)
+                again.append(carried)
+            else:
+                again[-1] += carried
+            if i < len(at):
+                if rows[i] in last:  # the least open interval that holds both counts the row once
+                    again[bisect_right(lefts, last[rows[i]]) - 1] += weights[rows[i]]
+                last[rows[i]] = i
+    return pd.DataFrame(out).astype({"key": np.int64, "length": np.int32, "urls": np.int64})
 
 
 def keyed_pages(pages: DataFrame, url_col: str, content_col: str) -> DataFrame:
@@ -141,8 +181,8 @@ def keyed_pages(pages: DataFrame, url_col: str, content_col: str) -> DataFrame:
     return kept.select(site_of(F.col(url_col)).alias("site"), F.xxhash64(canonical_url(F.col(url_col))).alias("u"), line_keys(F.col(content_col)).alias("keys"))
 
 
-def repeated_blocks(pages: DataFrame, *, url_col: str = "url", content_col: str = "content", min_urls: int = 8, min_share: float = 0.2, block_urls: int = 2000, max_block: int = 16) -> DataFrame:
-    """(site, key, length, n_urls, n_site_urls) of each line (length 1) or block of lines that is repeated."""
+def repeated_blocks(pages: DataFrame, *, url_col: str = "url", content_col: str = "content", min_urls: int = 8, min_share: float = 0.2, block_urls: int = 2000, longer: bool = True) -> DataFrame:
+    """(site, key, length, n_urls, n_site_urls) of each line (length 1) or, if ``longer``, maximal block of lines that is repeated."""
     kept = pages.where(F.col(content_col).isNotNull() & F.col(content_col).rlike(r"\S") & F.col(url_col).isNotNull())
     sites = kept.select(site_of(F.col(url_col)).alias("site"), F.xxhash64(canonical_url(F.col(url_col))).alias("u")).distinct().groupBy("site").agg(F.count("*").alias("n_site_urls"))
     sites = sites.where(F.col("n_site_urls") >= min_urls)
@@ -151,15 +191,35 @@ def repeated_blocks(pages: DataFrame, *, url_col: str = "url", content_col: str
 
     def count(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         keys = [np.asarray(ks, dtype=np.int64) for ks in pdf["keys"]]
-        got = block_counts(pdf["u"].to_numpy(), keys, max_block)
+        got = block_counts(pdf["u"].to_numpy(), keys)
         got.insert(0, "site", key[0])
         return got
 
     # null keys (lines that do not count) leave the array before it reaches Python
-    keyed = keyed.select("site", "u", "n_site_urls", salt.alias("salt"), F.filter("keys", lambda k: k.isNotNull()).alias("keys"))
-    counts = keyed.groupBy("site", "salt").applyInPandas(count, "site string, key bigint, length int, urls bigint")
+    salted = keyed.select("site", "u", "n_site_urls", salt.alias("salt"), F.filter("keys", lambda k: k.isNotNull()).alias("keys"))
+    counts = salted.groupBy("site", "salt").applyInPandas(count, "site string, key bigint, length int, urls bigint")
     total = counts.groupBy("site", "key", "length").agg(F.sum("urls").alias("n_urls")).where(F.col("n_urls") >= min_urls)
-    return total.join(sites, "site").where(F.col("n_urls") >= min_share * F.col("n_site_urls"))
+    lines = total.join(sites, "site").where(F.col("n_urls") >= min_share * F.col("n_site_urls"))
+    if not longer:
+        return lines
+    lines = materialize(lines, "lines")
+
+    def maximal(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        # two rows stand for any greater number of URLs with the same runs, so that these repeat
+        parts = [(rs, w) for rs, n in zip(pdf["runs"], pdf["n"]) for w in ([1, n - 1] if n > 1 else [1])]
+        runs = [(k, np.array(r.split(), dtype=np.int64)) for k, (rs, _) in enumerate(parts) for r in rs]
+        got = maximal_blocks([r for _, r in runs], np.array([k for k, _ in runs], dtype=np.int64), np.array([w for _, w in parts], dtype=np.int64))
+        got.insert(0, "site", key[0])
+        return got[got["urls"] >= min_urls].rename(columns={"urls": "n_urls"})
+
+    # the lines of a site that reach the share are at most 1 / min_share times those of a page
+    known = lines.groupBy("site").agg(F.collect_set("key").alias("known"))
+    marked = keyed.join(known, "site").select("site", "u", F.array_join(F.transform("keys", lambda k: F.when(F.array_contains("known", k), k.cast("string")).otherwise("|")), " ").alias("marked"))
+    runs = F.filter(F.transform(F.split("marked", r"\|"), lambda r: F.trim(r)), lambda r: F.contains(r, F.lit(" ")))
+    urls = marked.select("site", "u", runs.alias("runs")).groupBy("site", "u").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("runs")))).alias("runs"))
+    rows = urls.where(F.size("runs") > 0).groupBy("site", "runs").agg(F.count("*").alias("n"))
+    blocks = rows.groupBy("site").applyInPandas(maximal, "site string, key bigint, length int, n_urls bigint").join(sites, "site").where(F.col("n_urls") >= min_share * F.col("n_site_urls"))
+    return lines.unionByName(blocks)
 
 
 def repeated_lines(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url", content_col: str = "content", **how) -> DataFrame:
@@ -169,7 +229,7 @@ def repeated_lines(pages: DataFrame, *, id_col: str = "page_id", url_col: str =
     as one URL; repeated rows give their rows again; ties do not arise, as every line that reaches both bounds
     is taken; an empty table gives an empty result; other columns are not read.
     """
-    lines = repeated_blocks(pages, url_col=url_col, content_col=content_col, **how).where("length = 1").select(F.col("site").alias("s"), "key")
+    lines = repeated_blocks(pages, url_col=url_col, content_col=content_col, longer=False, **how).select(F.col("site").alias("s"), "key")
     kept = pages.where(F.col(content_col).isNotNull() & F.col(content_col).rlike(r"\S") & F.col(url_col).isNotNull())
     at = kept.select(F.col(id_col).alias("i"), site_of(F.col(url_col)).alias("site"), F.posexplode(line_keys(F.col(content_col))).alias("line_no", "k")).where("k IS NOT NULL")
     return at.join(lines, (F.col("site") == F.col("s")) & (F.col("k") == F.col("key")), "left_semi").select(F.col("i").alias(id_col), F.col("line_no").cast("int").alias("line_no"))
@@ -197,7 +257,7 @@ def p5_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p5_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Per site: repeated lines, repeated multi-line blocks, and the longest block's length class."""
+    """Per site: repeated lines, maximal repeated blocks of more lines, and the length of the longest block."""
     b = repeated_blocks(table(spark, sf_dir, "pages"))
     return b.groupBy("site").agg(F.max("n_site_urls").alias("n_site_urls"), F.sum((F.col("length") == 1).cast("bigint")).alias("n_lines"), F.sum((F.col("length") > 1).cast("bigint")).alias("n_blocks"), F.max("length").alias("longest_block"))
 
