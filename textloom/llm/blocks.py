@@ -6,7 +6,7 @@ place in the page) and the mean of the learned vectors of its hashed words, so e
 the whole page as context.
 
 The labeller is trained here, on a bounded sample of whole sites.  No labels are given, so the sample is
-labelled weakly: lines that come back on several URLs of a site, known phrases of site frames and link lists
+labelled weakly: lines that come back on several URLs of a site (counted over all of its pages), known phrases of site frames and link lists
 are frame; running sentences, headings and code are article; and where nothing of a page is left but
 placeholders, filler, errors or demands for scripts, those lines are residue.  Unclear lines have no label.
 """
@@ -14,7 +14,6 @@ placeholders, filler, errors or demands for scripts, those lines are residue.  U
 from __future__ import annotations
 
 import re
-from collections import defaultdict
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -129,18 +128,21 @@ TAGS = (
     r"^#+\s", r"^Source: ", r"^\s*\*\s", r"^\s*-\s", r"^\s\s", r"^\W*\[[^\]]*\]\([^)]*\)\W*$", r"\]\(", r" \| | · |   ", r" [>»/] ", r"[.!?][*\s\"”»)]*$", r"^\s*\*\*", r"^\s*\|", r"©|\(c\)", r"\d{4}[-/.]\d|\d[-/.]\d{4}",
     r"^\W*(←|Previous|Zur|Pr[ée]c|Назад)", r"^[^\p{Ll}]*\p{Lu}[^\p{Ll}]*$", r"`", r"\{\{|\}\}|<%|%>|@@|\[\[|\]\]|\{%|%\(|\$\{|%\w+%", r":\s*$|: \d", r"\.\s+\p{L}", r",", r"\d",
 )
-N_TAGS = len(TAGS) + 10
+N_TAGS = len(TAGS) + 11
 
 
 @dataclass
 class Page:
     lines: list[str]
     at: np.ndarray  # line numbers of the non-blank lines
+    share: np.ndarray  # of the site's URLs that have the line, for each of ``at``; 0 where the line does not recur
 
 
-def split_page(content: str) -> Page:
+def split_page(content: str, shares: np.ndarray | None = None) -> Page:
+    """A page with the shares of all its lines."""
     lines = content.split("\n")
-    return Page(lines, np.array([k for k, x in enumerate(lines) if x and not x.isspace()], dtype=np.int64))
+    at = np.array([k for k, x in enumerate(lines) if x and not x.isspace()], dtype=np.int64)
+    return Page(lines, at, np.zeros(len(at), np.float32) if shares is None else shares[at])
 
 
 class Features:
@@ -190,6 +192,7 @@ class Features:
         n = pc.list_value_length(lists).to_numpy().astype(np.int64)
         tags[:, k + 8] = np.minimum(n, 12) / 12
         tags[:, k + 9] = np.minimum(n, 40) / 40
+        tags[:, k + 10] = np.concatenate([p.share for p in pages]) if pages else 0
         return tags, words, n, size
 
 
@@ -353,19 +356,10 @@ class Labeller:
                     self.w[k] -= lr * (m[k] / (1 - 0.9**step)) / (np.sqrt(v[k] / (1 - 0.99**step)) + 1e-8)
 
 
-def fit(rows: list[tuple[str, str, str]], seed: int = 11) -> Labeller:
-    """A labeller from (site, canonical URL, content) rows of whole sites."""
-    pages = [split_page(c) for _, _, c in rows]
-    urls: dict[str, dict[str, set[str]]] = defaultdict(lambda: defaultdict(set))
-    for (site, url, _), p in zip(rows, pages):
-        for k in p.at.tolist():
-            if key := letters(p.lines[k]):
-                urls[site][key].add(url)
-    sites: dict[str, set[str]] = defaultdict(set)
-    for site, url, _ in rows:
-        sites[site].add(url)
-    again = {s: {k for k, u in keys.items() if len(u) >= max(3, 0.1 * len(sites[s]))} for s, keys in urls.items()}
-    labels = [weak_labels(p.lines, again[s]) for (s, _, _), p in zip(rows, pages)]
+def fit(rows: list[tuple[str, np.ndarray]], seed: int = 11) -> Labeller:
+    """A labeller from (content, shares of the lines) rows."""
+    pages = [split_page(c, shares) for c, shares in rows]
+    labels = [weak_labels(p.lines, {letters(p.lines[k]) for k in p.at[p.share > 0].tolist()}) for p in pages]
     out = Labeller(seed)
     out.train(pages, labels)
     return out

@@ -1,8 +1,9 @@
 """Problem 1: page boilerplate mixed with main content.
 
 Every page is labelled line by line by the recurrent block labeller (``blocks``); frame lines are reported
-or removed.  The labelling is one pass over the pages without a shuffle.  The labeller is fitted before, on
-at most ``max_pages`` pages, taken breadth first over the sites so that small sites count.
+or removed.  The lines that recur in each site are counted before over all pages (``repeated_lines``) and joined
+to the pages by site, so the labelling knows each line's share of its site's URLs.  The labeller is fitted on at
+most ``max_pages`` pages, taken breadth first over the sites so that small sites count.
 """
 
 from __future__ import annotations
@@ -15,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from textloom.llm import blocks as B
-from textloom.llm.repeated_lines import canonical_url, site_of
+from textloom.llm.repeated_lines import canonical_url, line_keys, repeated_blocks, site_of
 from textloom.plans.materialize import materialize
 from textloom.plans.tables import table
 
@@ -24,20 +25,55 @@ from textloom.plans.tables import table
 FAINT = 0.02
 
 
-def fit_labeller(pages: DataFrame, id_col: str, url_col: str, content_col: str, max_pages: int, per_site: int) -> B.Labeller:
+#: Least URLs, and least share of a site's URLs, on which a line recurs.
+LEAST_URLS, LEAST_SHARE = 3, 0.1
+
+
+def recurring(pages: DataFrame, url_col: str, content_col: str) -> DataFrame:
+    """(s, known) of each site with recurring lines, ``known`` as (key, share) in the order of the keys.
+
+    A site's list has at most 1 / ``LEAST_SHARE`` times the lines of a page.
+    """
+    lines = repeated_blocks(pages, url_col=url_col, content_col=content_col, min_urls=LEAST_URLS, min_share=LEAST_SHARE, longer=False)
+    share = (F.col("n_urls") / F.col("n_site_urls")).cast("float")
+    return lines.groupBy(F.col("site").alias("s")).agg(F.array_sort(F.collect_list(F.struct("key", share.alias("share")))).alias("known"))
+
+
+def with_recurring(kept: DataFrame, known: DataFrame) -> DataFrame:
+    """(i, t, keys, known_keys, known_shares) of pages with (i, url, t); null lists where the site has none."""
+    at = kept.select("i", "t", site_of(F.col("url")).alias("site"), line_keys(F.col("t")).alias("keys"))
+    return at.join(known, F.col("site") == F.col("s"), "left").select("i", "t", "keys", F.col("known.key").alias("known_keys"), F.col("known.share").alias("known_shares"))
+
+
+def shares_of(keys: pa.ListArray, known_keys: pa.ListArray, known_shares: pa.ListArray) -> Iterator[np.ndarray]:
+    """The shares of the lines of each page."""
+    for own, theirs, share in zip(keys, known_keys, known_shares):
+        k = own.values
+        out = np.zeros(len(k), np.float32)
+        if theirs.values is not None and len(theirs.values):
+            full = k.is_valid().to_numpy(zero_copy_only=False)
+            x, y = k.fill_null(0).to_numpy(), theirs.values.to_numpy()
+            at = np.minimum(np.searchsorted(y, x), len(y) - 1)
+            out = np.where(full & (y[at] == x), share.values.to_numpy()[at], out).astype(np.float32)
+        yield out
+
+
+def fit_labeller(pages: DataFrame, known: DataFrame, id_col: str, url_col: str, content_col: str, max_pages: int, per_site: int) -> B.Labeller:
     """The labeller from a bounded sample: up to ``per_site`` pages of each site, first pages of all sites first."""
     kept = pages.where(F.col(id_col).isNotNull() & F.col(content_col).isNotNull() & F.col(content_col).rlike(r"\S")).select(F.col(id_col).alias("i"), F.coalesce(F.col(url_col), F.lit("")).alias("url"), F.col(content_col).alias("t"))
     keys = kept.select("i", site_of(F.col("url")).alias("site"), F.xxhash64(canonical_url(F.col("url"))).alias("h"))
     turn = F.row_number().over(Window.partitionBy("site").orderBy("h", "i"))
     # sites come in groups of per_site pages, so that what recurs in a site shows
     picked = keys.withColumn("turn", turn).where(F.col("turn") <= per_site).orderBy(F.ceil(F.col("turn") / 8), F.xxhash64("site"), "turn").limit(max_pages)
-    rows = kept.join(F.broadcast(picked.select("i", "site")), "i").select("site", canonical_url(F.col("url")), "t", "i").collect()
-    rows = sorted(rows, key=lambda r: (r[0], r[1], str(r[3])))
-    return B.fit([(r[0], r[1], r[2]) for r in rows])
+    sample = kept.join(F.broadcast(picked.select("i", "site")), "i").select("site", canonical_url(F.col("url")).alias("u"), "t", "i", "url")
+    got = with_recurring(sample.select(F.struct("site", "u", "i").alias("i"), "url", "t"), known).toArrow().combine_chunks()
+    rows = list(zip(got["i"].to_pylist(), got["t"].to_pylist(), shares_of(*(got[c].combine_chunks() for c in ("keys", "known_keys", "known_shares")))))
+    rows.sort(key=lambda r: (r[0]["site"], r[0]["u"], str(r[0]["i"])))
+    return B.fit([(t, shares) for _, t, shares in rows])
 
 
 def label_pages(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url", content_col: str = "content", max_pages: int = 2000, per_site: int = 40) -> DataFrame:
-    """(id_col, frame, n_article, n_residue, p_residue, core) of each page with non-blank content, in one pass.
+    """(id_col, frame, n_article, n_residue, p_residue, core) of each page with non-blank content.
 
     ``frame`` has the numbers of the frame lines; n_article and n_residue count words of lines labelled so
     (headings, the crawler's lines and fenced code aside), p_residue is the mean probability of residue over
@@ -47,14 +83,15 @@ def label_pages(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "ur
     very long pages are read whole; of two equal probabilities the class listed first wins; an empty table
     gives an empty result; other columns are not read.
     """
-    model = fit_labeller(pages, id_col, url_col, content_col, max_pages, per_site)
+    known = materialize(recurring(pages, url_col, content_col), "recurring")
+    model = fit_labeller(pages, known, id_col, url_col, content_col, max_pages, per_site)
     shared = pages.sparkSession.sparkContext.broadcast(model)
     kind = dict(pages.dtypes)[id_col]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         labeller, make = shared.value, B.Features()
         for batch in batches:
-            split = [B.split_page(t) for t in batch.column(1).to_pylist()]
+            split = [B.split_page(t, s) for t, s in zip(batch.column(1).to_pylist(), shares_of(*batch.columns[2:]))]
             feats = make(split)
             prob = labeller.probabilities(feats)
             best = prob.argmax(1)
@@ -83,7 +120,8 @@ def label_pages(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "ur
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(offsets, flat), pa.array(n_art, pa.int32()), pa.array(n_res, pa.int32()), pa.array(p_res, pa.float32()), pa.array(core, pa.string())], names=["i", "frame", "n_article", "n_residue", "p_residue", "core"])
 
     kept = pages.where(F.col(content_col).isNotNull() & F.col(content_col).rlike(r"\S"))
-    out = kept.select(F.col(id_col).alias("i"), F.col(content_col).alias("t")).mapInArrow(run, f"i {kind}, frame array<int>, n_article int, n_residue int, p_residue float, core string")
+    kept = kept.select(F.col(id_col).alias("i"), F.coalesce(F.col(url_col), F.lit("")).alias("url"), F.col(content_col).alias("t"))
+    out = with_recurring(kept, known).mapInArrow(run, f"i {kind}, frame array<int>, n_article int, n_residue int, p_residue float, core string")
     return out.withColumnRenamed("i", id_col)
 
 
