@@ -14,7 +14,7 @@ def connected_components(edges: DataFrame, src: str = "a", dst: str = "b", max_r
     Alternates large-star and small-star steps (Kiveris et al., 2014) until the edges form stars, so the number
     of rounds grows with the logarithm of the longest path.  Each round is a written table; only two numbers
     per round reach the driver.  Null ends, loops and repeated edges are ignored; nodes that have only loops are
-    their own component; an empty edge table gives an empty result.
+    their own component; an empty edge table gives an empty result; an error where ``max_rounds`` are too few.
     """
     both = edges.select(F.col(src).alias("u"), F.col(dst).alias("v")).where("u IS NOT NULL AND v IS NOT NULL")
     lone = both.where("u = v").select("u").distinct()
@@ -33,6 +33,8 @@ def connected_components(edges: DataFrame, src: str = "a", dst: str = "b", max_r
         if last == (state["n"], state["h"]):
             break
         last = (state["n"], state["h"])
+    else:
+        raise RuntimeError(f"the components are not joined after {max_rounds} rounds")
     stars = e.groupBy("u").agg(F.min("v").alias("component")).select(F.col("u").alias("id"), "component")
     roots = e.select(F.col("v").alias("id")).distinct().select("id", F.col("id").alias("component"))
     known = stars.unionByName(roots.join(stars.select("id"), "id", "left_anti"))
