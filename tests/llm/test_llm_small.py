@@ -173,6 +173,23 @@ def test_spans_are_maximal():
     assert [len(text[a:b].split()) for _, a, b in index.spans(text)] == [17, 6]
 
 
+def test_many_distinct_words():
+    words = [f"w{k}" for k in range(60)]
+    texts = [" ".join(["x", *words[3:20], "x", *words[:4], *words[9:15]]), " ".join(reversed(words)), " ".join(words)]
+    one, two = (LeakIndex([(1, " ".join(words)), (2, " ".join(words[5:]))], 5, alphabet=n) for n in (1000, 16))
+    assert (one.width, two.width) == (1, 2) and [one.spans(t) for t in texts] == [two.spans(t) for t in texts]
+    with pytest.raises(ValueError):
+        LeakIndex([(1, " ".join(words))], 5, alphabet=6)
+    assert LeakIndex([(1, " ".join(f"v{k}" for k in range(1_200_000)))], 12).width == 2
+
+
+def test_short_items_are_not_covered(spark):
+    from textloom.llm.leakage import coverage
+
+    b = spark.createDataFrame([(10, "one " * 12), (13, "short item"), (14, None)], "item_id bigint, text string")
+    assert {r.item_id: (r.n_words, r.covered) for r in coverage(b).collect()} == {10: (12, True), 13: (2, False), 14: (0, False)}
+
+
 # --- 8 ---
 
 

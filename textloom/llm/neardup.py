@@ -386,3 +386,10 @@ o AS (SELECT a.section_id AS a, b.section_id AS b, count(*) AS o FROM s a JOIN s
 SELECT a AS section_id_a, b AS section_id_b FROM o JOIN n x ON x.section_id = a JOIN n y ON y.section_id = b WHERE 10 * o >= 7 * (x.n + y.n - o)
 """,
 }
+SQL["p4_groups"] = SQL["p4_found"].replace("WITH w AS", "WITH RECURSIVE w AS").rsplit("SELECT a AS section_id_a", 1)[0] + r""",
+p AS (SELECT a, b FROM o JOIN n x ON x.section_id = a JOIN n y ON y.section_id = b WHERE 10 * o >= 7 * (x.n + y.n - o)),
+e AS (SELECT a, b FROM p UNION ALL SELECT b, a FROM p),
+reach AS (SELECT section_id AS a, section_id AS b FROM n UNION SELECT reach.a, e.b FROM reach JOIN e ON reach.b = e.a)
+SELECT section_id, group_id, coalesce(n_links, 0) AS n_links
+FROM (SELECT a AS section_id, min(b) AS group_id FROM reach GROUP BY a) LEFT JOIN (SELECT a AS section_id, count(*) AS n_links FROM e GROUP BY a) USING (section_id)
+"""

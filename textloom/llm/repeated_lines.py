@@ -4,25 +4,28 @@ The pages of a site are split by a hash of their canonical URL into blocks of ab
 no task holds more than a block, however large the site, and the URL counts of the blocks add up exactly.
 In each block a suffix array is built over the concatenated line identifiers of its pages; neighbouring
 suffixes with a common first line give each line's number of URLs.  The counts of the blocks are added, lines that
-span enough URLs of the site are kept, and their occurrences are deleted by a join back to the pages.
+span enough URLs of the site are kept, and their occurrences are deleted by a join back to the pages' identifiers.
 
 Longer repeated blocks consist of such lines only.  A page's other lines become breaks, URLs of a site with the
 same runs of lines between breaks become one row with their number, and a suffix array over the runs of the whole
 site gives its maximal repeats at their own lengths, each with its number of URLs, in one scan.
 
-Line identifiers: letters alone, in lower case.  Lines without letters, lines whose first non-blank
-character is ``#`` and fenced code have none and break a block.
+Line identifiers (``lines``) are written once, in one pass over the texts; lines without one break a block.
 """
 
 from __future__ import annotations
 
 from bisect import bisect_right
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from textloom.llm.lines import line_keys, lists_of
 from textloom.plans.materialize import materialize
 from textloom.plans.tables import table
 
@@ -37,22 +40,6 @@ def site_of(url: Column) -> Column:
     return F.regexp_extract(F.lower(F.trim(url)), r"^(?:[a-z][a-z0-9+.-]*://)?(?:[^/?#@]*@)?([^/?#:]*)", 1)
 
 
-def line_keys(content: Column) -> Column:
-    """One 64-bit identifier for each line of a text, null where the line does not count."""
-    lines = F.split(content, "\n")
-    fence = F.transform(lines, lambda x: F.ltrim(x).startswith("```"))
-    state = F.aggregate(
-        fence,
-        F.struct(F.lit(False).alias("open"), F.array().cast("array<boolean>").alias("inside")),
-        lambda acc, f: F.struct((acc["open"] != f).alias("open"), F.concat(acc["inside"], F.array(acc["open"] | f)).alias("inside")),
-    )["inside"]
-    letters = F.transform(lines, lambda x: F.regexp_replace(F.lower(x), r"\P{L}+", ""))
-    key = lambda x, k: F.when((k == "") | F.ltrim(x).startswith("#"), F.lit(None).cast("bigint")).otherwise(F.xxhash64(k))
-    has_code = F.contains(content, F.lit("```"))
-    plain = F.zip_with(lines, letters, key)
-    return F.when(has_code, F.zip_with(plain, state, lambda k, inside: F.when(inside, F.lit(None).cast("bigint")).otherwise(k))).otherwise(plain)
-
-
 def suffix_array(s: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
     """(suffix array, ranks, ranks of each doubling round) of a sequence of integers, by prefix doubling."""
     n = len(s)
@@ -175,28 +162,43 @@ def maximal_blocks(runs: list[np.ndarray], row: np.ndarray, weight: np.ndarray)
     return pd.DataFrame(out).astype({"key": np.int64, "length": np.int32, "urls": np.int64})
 
 
-def keyed_pages(pages: DataFrame, url_col: str, content_col: str) -> DataFrame:
-    """(site, url hash, keys) of each page with non-blank content and a URL."""
-    kept = pages.where(F.col(content_col).isNotNull() & F.col(content_col).rlike(r"\S") & F.col(url_col).isNotNull())
-    return kept.select(site_of(F.col(url_col)).alias("site"), F.xxhash64(canonical_url(F.col(url_col))).alias("u"), line_keys(F.col(content_col)).alias("keys"))
-
+def keyed_pages(pages: DataFrame, id_col: str, url_col: str, content_col: str, carry: DataFrame | None = None) -> DataFrame:
+    """(i, site, u, keys, t) of each page with non-blank content and a URL; ``keys`` has one identifier for each
+    line, null where the line does not count.
 
-def repeated_blocks(pages: DataFrame, *, url_col: str = "url", content_col: str = "content", min_urls: int = 8, min_share: float = 0.2, block_urls: int = 2000, longer: bool = True) -> DataFrame:
-    """(site, key, length, n_urls, n_site_urls) of each line (length 1) or, if ``longer``, maximal block of lines that is repeated."""
+    One pass over the texts without a shuffle.  ``t`` is null, but keeps the text of the pages whose (i, u) is in
+    ``carry``, a table of bounded size that is broadcast.
+    """
     kept = pages.where(F.col(content_col).isNotNull() & F.col(content_col).rlike(r"\S") & F.col(url_col).isNotNull())
-    sites = kept.select(site_of(F.col(url_col)).alias("site"), F.xxhash64(canonical_url(F.col(url_col))).alias("u")).distinct().groupBy("site").agg(F.count("*").alias("n_site_urls"))
-    sites = sites.where(F.col("n_site_urls") >= min_urls)
-    keyed = keyed_pages(pages, url_col, content_col).join(sites, "site")
+    rows = kept.select(F.col(id_col).alias("i"), site_of(F.col(url_col)).alias("site"), F.xxhash64(canonical_url(F.col(url_col))).alias("u"), F.col(content_col).alias("t"))
+    if carry is None:
+        rows = rows.withColumn("carried", F.lit(False))
+    else:
+        rows = rows.join(F.broadcast(carry.select("i", "u", F.lit(True).alias("carried"))), ["i", "u"], "left").select("i", "site", "u", "t", F.coalesce("carried", F.lit(False)).alias("carried"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            size, key, counts = line_keys(batch.column(3))
+            text = pc.if_else(batch.column(4), batch.column(3), pa.scalar(None, batch.column(3).type))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], lists_of(size, key, pa.int64(), ~counts), text], names=["i", "site", "u", "keys", "t"])
+
+    return rows.mapInArrow(run, f"i {dict(rows.dtypes)['i']}, site string, u bigint, keys array<bigint>, t string")
+
+
+def blocks_of(keyed: DataFrame, *, min_urls: int = 8, min_share: float = 0.2, block_urls: int = 2000, longer: bool = True) -> DataFrame:
+    """(site, key, length, n_urls, n_site_urls) of each line (length 1) or, if ``longer``, maximal block of lines
+    that is repeated; ``keyed`` has the pages as (site, u, keys)."""
+    sites = keyed.select("site", "u").distinct().groupBy("site").agg(F.count("*").alias("n_site_urls")).where(F.col("n_site_urls") >= min_urls)
+    joined = keyed.select("site", "u", "keys").join(sites, "site")
     salt = F.pmod(F.col("u"), F.ceil(F.col("n_site_urls") / block_urls).cast("bigint"))
 
     def count(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        keys = [np.asarray(ks, dtype=np.int64) for ks in pdf["keys"]]
-        got = block_counts(pdf["u"].to_numpy(), keys)
+        got = block_counts(pdf["u"].to_numpy(), [np.asarray(ks, dtype=np.int64) for ks in pdf["keys"]])
         got.insert(0, "site", key[0])
         return got
 
-    # null keys (lines that do not count) leave the array before it reaches Python
-    salted = keyed.select("site", "u", "n_site_urls", salt.alias("salt"), F.filter("keys", lambda k: k.isNotNull()).alias("keys"))
+    # lines that do not count leave the array here, as only single lines are counted
+    salted = joined.select("site", "u", salt.alias("salt"), F.filter("keys", lambda k: k.isNotNull()).alias("keys"))
     counts = salted.groupBy("site", "salt").applyInPandas(count, "site string, key bigint, length int, urls bigint")
     total = counts.groupBy("site", "key", "length").agg(F.sum("urls").alias("n_urls")).where(F.col("n_urls") >= min_urls)
     lines = total.join(sites, "site").where(F.col("n_urls") >= min_share * F.col("n_site_urls"))
@@ -214,7 +216,7 @@ def repeated_blocks(pages: DataFrame, *, url_col: str = "url", content_col: str
 
     # the lines of a site that reach the share are at most 1 / min_share times those of a page
     known = lines.groupBy("site").agg(F.collect_set("key").alias("known"))
-    marked = keyed.join(known, "site").select("site", "u", F.array_join(F.transform("keys", lambda k: F.when(F.array_contains("known", k), k.cast("string")).otherwise("|")), " ").alias("marked"))
+    marked = joined.join(known, "site").select("site", "u", F.array_join(F.transform("keys", lambda k: F.when(F.array_contains("known", k), k.cast("string")).otherwise("|")), " ").alias("marked"))
     runs = F.filter(F.transform(F.split("marked", r"\|"), lambda r: F.trim(r)), lambda r: F.contains(r, F.lit(" ")))
     urls = marked.select("site", "u", runs.alias("runs")).groupBy("site", "u").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("runs")))).alias("runs"))
     rows = urls.where(F.size("runs") > 0).groupBy("site", "runs").agg(F.count("*").alias("n"))
@@ -222,6 +224,23 @@ def repeated_blocks(pages: DataFrame, *, url_col: str = "url", content_col: str
     return lines.unionByName(blocks)
 
 
+def repeated_blocks(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url", content_col: str = "content", **how) -> DataFrame:
+    """``blocks_of`` a table of pages."""
+    return blocks_of(materialize(keyed_pages(pages, id_col, url_col, content_col).drop("t"), "keyed"), **how)
+
+
+def repeated_numbers(pages: DataFrame, id_col: str, url_col: str, content_col: str, **how) -> DataFrame:
+    """(i, gone) of each page that has repeated lines, with their numbers.
+
+    The texts are read once; the repeated lines of a site, at most 1 / ``min_share`` times those of a page, meet its
+    pages in a join by site, which AQE splits where a site is large.
+    """
+    keyed = materialize(keyed_pages(pages, id_col, url_col, content_col).drop("t"), "keyed")
+    known = blocks_of(keyed, longer=False, **how).groupBy(F.col("site").alias("s")).agg(F.collect_set("key").alias("known"))
+    places = F.filter(F.transform("keys", lambda k, n: F.when(F.array_contains("known", k), n)), lambda n: n.isNotNull())
+    return keyed.select("i", "site", "keys").join(known, F.col("site") == F.col("s")).select("i", places.alias("gone")).where(F.size("gone") > 0)
+
+
 def repeated_lines(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url", content_col: str = "content", **how) -> DataFrame:
     """(id_col, line_no) of each occurrence of a repeated line.
 
@@ -229,18 +248,15 @@ def repeated_lines(pages: DataFrame, *, id_col: str = "page_id", url_col: str =
     as one URL; repeated rows give their rows again; ties do not arise, as every line that reaches both bounds
     is taken; an empty table gives an empty result; other columns are not read.
     """
-    lines = repeated_blocks(pages, url_col=url_col, content_col=content_col, longer=False, **how).select(F.col("site").alias("s"), "key")
-    kept = pages.where(F.col(content_col).isNotNull() & F.col(content_col).rlike(r"\S") & F.col(url_col).isNotNull())
-    at = kept.select(F.col(id_col).alias("i"), site_of(F.col(url_col)).alias("site"), F.posexplode(line_keys(F.col(content_col))).alias("line_no", "k")).where("k IS NOT NULL")
-    return at.join(lines, (F.col("site") == F.col("s")) & (F.col("k") == F.col("key")), "left_semi").select(F.col("i").alias(id_col), F.col("line_no").cast("int").alias("line_no"))
+    return repeated_numbers(pages, id_col, url_col, content_col, **how).select(F.col("i").alias(id_col), F.explode("gone").alias("line_no"))
 
 
 def remove_repeated_lines(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url", content_col: str = "content", **how) -> DataFrame:
-    """Every page as (id_col, content, n_removed), with its repeated lines taken out.
+    """Every page as (id_col, content, n_removed), with its repeated lines, and so all blocks of them, taken out.
 
     Ids must be unique.  Null contents stay null, blank and unaffected ones stay as they are.
     """
-    gone = repeated_lines(pages, id_col=id_col, url_col=url_col, content_col=content_col, **how).groupBy(F.col(id_col).alias("i")).agg(F.collect_set("line_no").alias("gone"))
+    gone = repeated_numbers(pages, id_col, url_col, content_col, **how)
     both = pages.select(id_col, content_col).join(gone, F.col(id_col) == F.col("i"), "left")
     rest = F.filter(F.transform(F.split(content_col, "\n"), lambda x, k: F.when(~F.array_contains("gone", k), x)), lambda x: x.isNotNull())
     return both.select(F.col(id_col), F.when(F.col("gone").isNull(), F.col(content_col)).otherwise(F.array_join(rest, "\n")).alias(content_col), F.coalesce(F.size("gone"), F.lit(0)).alias("n_removed"))
@@ -284,3 +300,20 @@ SELECT page_id, line_no::INTEGER AS line_no
 FROM keyed JOIN counts USING (site, k) JOIN sites USING (site) WHERE c >= 8 AND c >= 0.2 * n
 """,
 }
+KEYED_SQL = SQL["p5_found"].split("SELECT page_id, line_no::INTEGER")[0]
+SQL["p5_clean"] = KEYED_SQL + r""", gone AS (SELECT page_id, list(line_no) AS gone FROM keyed JOIN counts USING (site, k) JOIN sites USING (site) WHERE c >= 8 AND c >= 0.2 * n GROUP BY page_id)
+SELECT page_id, CASE WHEN gone IS NULL THEN content ELSE array_to_string(list_filter(string_split(content, chr(10)), lambda x, i: NOT list_contains(gone, i - 1)), chr(10)) END AS content,
+       coalesce(len(gone), 0)::INTEGER AS n_removed
+FROM (SELECT page_id, content FROM pages) LEFT JOIN gone USING (page_id)
+"""
+# every run of repeated lines, all of its parts of two or more lines, and what stands before and after them
+SQL["p5_blocks"] = KEYED_SQL + r""", rep AS (SELECT page_id, site, u, line_no, k FROM keyed JOIN counts USING (site, k) JOIN sites USING (site) WHERE c >= 8 AND c >= 0.2 * n),
+isl AS (SELECT *, line_no - row_number() OVER (PARTITION BY page_id ORDER BY line_no) AS g FROM rep),
+run AS (SELECT page_id, site, u, g, list(k ORDER BY line_no) AS r FROM isl GROUP BY page_id, site, u, g HAVING count(*) > 1),
+firsts AS (SELECT *, unnest(generate_series(1, len(r) - 1)) AS a FROM run), parts AS (SELECT *, unnest(generate_series(a + 1, len(r))) AS b FROM firsts),
+occ AS (SELECT site, u, array_to_string(r[a:b], chr(1)) AS s, b - a + 1 AS size, CASE WHEN a > 1 THEN r[a - 1] ELSE page_id || '|' || g END AS l, CASE WHEN b < len(r) THEN r[b + 1] ELSE page_id || '|' || g END AS q FROM parts),
+blocks AS (SELECT site, s, any_value(size) AS size, count(DISTINCT u) AS c FROM occ GROUP BY site, s HAVING count(DISTINCT l) > 1 AND count(DISTINCT q) > 1),
+long AS (SELECT site, count(*) AS n_blocks, max(size) AS longest FROM blocks JOIN sites USING (site) WHERE c >= 8 AND c >= 0.2 * n GROUP BY site),
+short AS (SELECT site, any_value(n) AS n_site_urls, count(*) AS n_lines FROM counts JOIN sites USING (site) WHERE k <> '' AND c >= 8 AND c >= 0.2 * n GROUP BY site)
+SELECT site, n_site_urls, n_lines, coalesce(n_blocks, 0) AS n_blocks, coalesce(longest, 1)::INTEGER AS longest_block FROM short LEFT JOIN long USING (site)
+"""
