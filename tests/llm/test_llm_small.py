@@ -176,11 +176,10 @@ def test_spans_are_maximal():
 def test_many_distinct_words():
     words = [f"w{k}" for k in range(60)]
     texts = [" ".join(["x", *words[3:20], "x", *words[:4], *words[9:15]]), " ".join(reversed(words)), " ".join(words)]
-    one, two = (LeakIndex([(1, " ".join(words)), (2, " ".join(words[5:]))], 5, alphabet=n) for n in (1000, 16))
+    one, two = (LeakIndex([(1, " ".join(words)), (2, " ".join(words[5:]))], 5, base=n) for n in (1000, 8))
     assert (one.width, two.width) == (1, 2) and [one.spans(t) for t in texts] == [two.spans(t) for t in texts]
-    with pytest.raises(ValueError):
-        LeakIndex([(1, " ".join(words))], 5, alphabet=6)
-    assert LeakIndex([(1, " ".join(f"v{k}" for k in range(1_200_000)))], 12).width == 2
+    many = LeakIndex([(k, " ".join(f"v{k * 12 + j}" for j in range(12))) for k in range(100_000)])
+    assert many.width == 3 and [x for x, _, _ in many.spans("a " + " ".join(f"v{k}" for k in range(24)) + " b")] == [0, 1]
 
 
 def test_short_items_are_not_covered(spark):

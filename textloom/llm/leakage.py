@@ -4,8 +4,8 @@ One Aho-Corasick automaton holds every run of ``min_words`` words of the normali
 text is scanned once; its words are found in the original text, so every match has offsets there.
 
 Normalisation: a word is a longest run of letters and digits, in lower case.  For the automaton each
-distinct word of the items is one character of a private alphabet and every other word is one separator
-character, so a pattern is ``min_words`` characters long and a text one character per word.
+distinct word of the items is a number, written in characters of a private alphabet, and every other word is
+as many separator characters.
 
 The evaluation set is broadcast: it is a fixed table, and ``leaks`` refuses one with more than
 ``max_item_words`` words (the bound that the broadcast and the automaton rely on).
@@ -52,19 +52,19 @@ def code_point(k: int) -> str:
 class LeakIndex:
     """The automaton over the word windows of the items.
 
-    A word of the items is one character of the private alphabet, or, where they have more distinct words than
-    ``alphabet``, a pair of characters of two parts of it, so that no match can start between the two.
+    A word of the items is a number of ``width`` digits, each a character of the private alphabet; each place has
+    digits of its own, so that no match can start inside a word, and a node has at most ``base`` children, which
+    the automaton searches one by one.
     """
 
-    def __init__(self, items: list[tuple[int, str]], min_words: int = 12, alphabet: int = 1_000_000) -> None:
+    def __init__(self, items: list[tuple[int, str]], min_words: int = 12, base: int = 128) -> None:
         self.min_words = min_words
         texts = [(item_id, [w.lower() for w in WORD.findall(text or "")]) for item_id, text in items]
         known = dict.fromkeys(w for _, words in texts for w in words)
-        self.width = 1 if len(known) <= alphabet else 2
-        base = 1 if self.width == 1 else max(1, alphabet // 2)
-        self.codes = {w: code_point(k) if self.width == 1 else code_point(k // base) + code_point(base + k % base) for k, w in enumerate(known)}
-        if self.width == 2 and len(known) > base * base:
-            raise ValueError(f"the items have {len(known)} distinct words; {base * base} can be told apart")
+        self.width = 1
+        while base**self.width < len(known):
+            self.width += 1
+        self.codes = {w: "".join(code_point(base * p + k // base**p % base) for p in range(self.width)) for k, w in enumerate(known)}
         self.other = OTHER * self.width
         windows: dict[str, set[int]] = {}
         for item_id, words in texts:
