@@ -14,7 +14,7 @@ from textloom.llm.langid import codewords, label_languages, plain_lines
 from textloom.llm.leakage import LeakIndex, leaks
 from textloom.llm.neardup import divide_skip, needed, similar_groups, similar_pairs, spark_key
 from textloom.llm.repeated_lines import common_prefixes, repeated_lines, remove_repeated_lines, suffix_array
-from textloom.llm.residue import dice, known_residue, masked, residue_of, simhash
+from textloom.llm.residue import dice, known_residue, masked, residue_of, signatures, word_ids
 from textloom.llm.shingles import Shingler
 from textloom.llm.truncation import tail, truncated
 
@@ -300,5 +300,5 @@ def test_templates_meet():
     a = masked("The Kelvo server could not be processed (code 404).\n* [x]")
     assert a == masked("The Brimar server could not be processed (code 17).\n* [x]") and known_residue("TBD\nxxx xxx") and not known_residue("A real sentence here.\nTBD")
     x, y, z = "page not found it may have been moved or deleted try the search", "page not found it may have been moved or deleted try a search", "an entirely different sentence of many other words that has nothing"
-    bits = lambda p, q: bin((simhash(p) ^ simhash(q)) & (1 << 64) - 1).count("1")
-    assert bits(x, y) < bits(x, z) and dice(x, y) > 0.8 > dice(x, z) and simhash("") == 0
+    p, q, r, none = signatures(*word_ids([x, y, z, ""]), 4).tolist()
+    assert (p ^ q).bit_count() < (p ^ r).bit_count() and dice(x, y) > 0.8 > dice(x, z) and none == 0

@@ -4,7 +4,9 @@ import random
 
 from pyspark.sql import functions as F
 
-from textloom.llm.residue import dice, masked, residue_of
+from textloom.llm.residue import dice, masked, residue_of, template
+
+LABELLED = "page_id bigint, tmpl bigint, n int, text string, sure boolean"
 
 
 def edited(seed):
@@ -28,7 +30,7 @@ def edited(seed):
 def test_every_alike_template_is_reached(spark):
     texts = edited(4)
     sure = {k for k in range(0, len(texts), 6)}
-    df = spark.createDataFrame([(k, t, 0.9 if k in sure else 0.3) for k, t in enumerate(texts)], "page_id bigint, core string, p_residue float")
+    df = spark.createDataFrame([(k, *template(t, 0.9 if k in sure else 0.3)) for k, t in enumerate(texts)], LABELLED)
     form = [masked(t) for t in texts]
     want, new = set(sure), set(sure)
     while new:
@@ -45,12 +47,24 @@ def test_long_texts_that_look_like_articles_are_reached(spark):
         return f"# Title {k}\n\nSource: https://s{k % 3}.x/{k}\n\nHome | Blog | About us\n\n{body}\n\nCopyright 2024 Example Works. All rights reserved."
 
     rows = [(k, f"https://s{k % 3}.x/{k}", page(k, f"The service number {k} reads the list of files before it writes the table. Another sentence about topic {chr(97 + k % 26)} follows here.\n\nOne more paragraph of the article explains the {'very ' * k}long option in detail.")) for k in range(60)]
-    labelled = label_pages(spark.createDataFrame(rows, "page_id bigint, url string, content string")).select("page_id", "n_article", "core", F.lit(0.1).cast("float").alias("p_residue"))
-    long = {r.page_id: masked(r.core) for r in labelled.where("n_article > 60 AND core IS NOT NULL").collect()}
+    labelled = label_pages(spark.createDataFrame(rows, "page_id bigint, url string, content string")).select("page_id", "n_article", "tmpl", "n", "text", F.lit(False).alias("sure"))
+    long = {r.page_id: r.text for r in labelled.where("n_article > 60 AND text IS NOT NULL").collect()}
     assert len(long) > 10
     first = min(long)
-    trusted = labelled.where(F.col("page_id") == first).select(F.lit(999).cast("bigint").alias("page_id"), "core", F.lit(0.9).cast("float").alias("p_residue"))
+    trusted = labelled.where(F.col("page_id") == first).select(F.lit(999).cast("bigint").alias("page_id"), "tmpl", "n", "text", F.lit(True).alias("sure"))
     want = {k for k, t in long.items() if dice(t, long[first]) >= 0.8}
     assert len(want) > 5
     cases = residue_of(labelled.where("page_id <> %d" % first).drop("n_article").unionByName(trusted)).collect()
     assert want - {first} | {999} <= {r.page_id for r in cases}
+
+
+def test_tables_find_long_copies(spark):
+    """With the tables alone, copies of long texts with one change meet."""
+    from textloom.llm.residue import candidates
+
+    rng = random.Random(2)
+    words = [f"{a}{b}" for a in "bdfgklmnprst" for b in ("an", "el", "ir", "ot", "um")]
+    base = [[rng.choice(words) for _ in range(300)] for _ in range(20)]
+    rows = lambda ts: spark.createDataFrame([(k, len(t), " ".join(t)) for k, t in enumerate(ts)], "tmpl bigint, n int, text string")
+    got = {(r.a, r.b) for r in candidates(rows(base), rows([[*t[:150], "new", *t[151:]] for t in base]), 1.0).collect()}
+    assert sum((k, k) in got for k in range(20)) >= 15

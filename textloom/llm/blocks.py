@@ -24,19 +24,13 @@ import xxhash
 ARTICLE, FRAME, RESIDUE, UNKNOWN = 0, 1, 2, -1
 BUCKETS, EMB, HIDDEN, CLASSES = 1 << 13, 20, 20, 3
 
-#: Phrases of site frames, in lower case, digits as 0; seeds of the weak labels.
+#: General phrases of site frames, in lower case, digits as 0; seeds of the weak labels beside recurrence.
 FRAME_SEEDS = (
-    "skip to main content|back to top|toggle navigation|open the chat window|edit this page|report a problem|was this page helpful|people found this useful|rated 0 out of|views, 0 comments|"
-    "estimated reading time|start your free trial|copy link|send to a friend|share by mail|share this page|did you like this|subscribe to our|never miss a release|get product mail|readers of the|"
-    "all rights reserved|^copyright|^©|reproduction only|no warranty|provided as is|mark belong to their owners|best experience|site need scripts|cookies|cookie (?:policy|settings|einstellungen)|privacy matters|stores small files|"
-    "by browsing on you agree|withdraw consent|accept all|only necessary|manage choices|written by the|maintained by the|posted by|by our editorial|last updated on|page revised|^updated:|^published 0|"
-    "^table of contents$|^on this page$|^in this section$|^tags$|^related articles$|^recent posts$|^popular this week$|^more from the blog$|^previous\\b|^← |"
-    "zum inhalt springen|nach oben|fehler auf dieser seite|diese seite hilfreich|leser fanden das|lesezeit|link kopieren|seite teilen|rundbrief|keine ausgabe|alle rechte|angaben ohne gewähr|nachdruck nur|"
-    "geschrieben vom|^redaktion|^stand: 0|schalten sie javascript|mit der nutzung stimmen|auswahl verwalten|alle annehmen|beliebt in dieser woche|auf dieser seite|^schlagwörter$|^zurück\\b|"
-    "aller au contenu|haut de page|signaler une erreur|page vous a-t-elle|lecteurs ont aimé|temps de lecture|copier le lien|en parler autour|partager cette page|recevez notre lettre|inscrivez-vous|"
-    "tous droits réservés|données sans garantie|reproduction interdite|rédigé par|par la rédaction|page revue le|activez les scripts|ce site enregistre|en continuant, vous|gérer mes choix|tout accepter|"
-    "articles liés|les plus lus|sur cette page|^étiquettes$|^précédent|"
-    "перейти к содержанию|наверх|сообщить об ошибке|полезна|помогла 0|время чтения|скопировать ссылку|получайте новости|все права|перепечатка|^редакция|включите скрипты|файлы cookie|сайт хранит данные|похожие статьи|настроить выбор|поделиться страницей|принять все|продолжая|в этом разделе|на этой странице"
+    "skip to (?:main )?content|back to top|all rights reserved|^copyright|^©|cookie|privacy|subscribe|newsletter|share this|was this page helpful|reading time|last updated|posted by|written by|"
+    "^table of contents$|^on this page$|^related articles$|^previous\\b|^← |"
+    "zum inhalt|nach oben|alle rechte|lesezeit|datenschutz|geschrieben von|auf dieser seite|^zurück\\b|"
+    "haut de page|tous droits|temps de lecture|rédigé par|partager|sur cette page|^précédent|"
+    "перейти к содержанию|наверх|все права|время чтения|поделиться|на этой странице"
 )
 #: Residue of templates, filler, error pages and demands for scripts; seeds of the weak labels.
 RESIDUE_SEEDS = (
@@ -261,22 +255,52 @@ class Labeller:
             out[t - s :, b] = x[:s, b]
         return out
 
-    def probabilities(self, feats: tuple, batch: int = 256) -> np.ndarray:
+    def sweep(self, x: np.ndarray, first: np.ndarray, size: np.ndarray, side: str, steps: int) -> np.ndarray:
+        """Hidden states (rows of x, HIDDEN) of one direction over pages given as spans of rows, ``steps`` lines at a
+        time with the state carried over, so that the padded part does not grow with the longest page."""
+        out = np.zeros((len(x), HIDDEN), np.float32)
+        h, c = np.zeros((len(size), HIDDEN), np.float32), np.zeros((len(size), HIDDEN), np.float32)
+        for a in range(0, int(size.max(initial=0)), steps):
+            n = np.clip(size - a, 0, steps)  # lines of each page in this stretch, counted from its start or its end
+            live = np.flatnonzero(n)
+            k = n[live]
+            t = np.arange(k.sum()) - np.repeat(np.cumsum(k) - k, k)
+            at = np.repeat(first[live], k) + a + t if side == "f" else np.repeat(first[live] + size[live] - 1, k) - a - t
+            doc = np.repeat(np.arange(len(live)), k)
+            pre = np.zeros((int(k.max()), len(live), 4 * HIDDEN), np.float32)
+            pre[t, doc] = x[at] @ self.w["x" + side] + self.w["b" + side]
+            hs, h[live], c[live] = self.steps(pre, self.w["h" + side], h[live], c[live])
+            out[at] = hs[t, doc]
+        return out
+
+    def steps(self, pre: np.ndarray, wh: np.ndarray, h: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        hs = np.empty((*pre.shape[:2], HIDDEN), np.float32)
+        for k in range(len(pre)):
+            z = pre[k] + h @ wh
+            g = sigmoid(z[:, : 3 * HIDDEN])
+            c = g[:, HIDDEN : 2 * HIDDEN] * c + g[:, :HIDDEN] * np.tanh(z[:, 3 * HIDDEN :])
+            h = g[:, 2 * HIDDEN :] * np.tanh(c)
+            hs[k] = h
+        return hs, h, c
+
+    def probabilities(self, feats: tuple, cells: int = 1 << 15, steps: int = 256) -> np.ndarray:
+        """Class probabilities of each line.  Pages of like length run together, so many that their padded lines stay
+        within ``cells``."""
         tags, words, n, size = feats
         x = self.inputs(tags, words, n)
         out = np.zeros((len(x), CLASSES), np.float32)
         first = np.cumsum(size) - size
         order = np.argsort(size, kind="stable")
         order = order[size[order] > 0]
-        for a in range(0, len(order), batch):
-            docs = order[a : a + batch]
+        a = 0
+        while a < len(order):
+            width = np.minimum(size[order[a:]], steps) * np.arange(1, len(order) - a + 1)
+            b = a + max(1, int(np.searchsorted(width, cells, side="right")))
+            docs, a = order[a:b], b
             s = size[docs]
             rows = np.repeat(first[docs], s) + np.arange(s.sum()) - np.repeat(np.cumsum(s) - s, s)
-            p, mask = self.pad(x[rows], s)
-            hf = self.run(p, "f")
-            r = self.run(self.backward_ready(p, s), "r")
-            at, doc = np.arange(len(rows)) - np.repeat(np.cumsum(s) - s, s), np.repeat(np.arange(len(s)), s)
-            both = np.concatenate([hf[at, doc], r[at + (p.shape[0] - s)[doc], doc], x[rows]], axis=1)
+            own, at = x[rows], np.cumsum(s) - s
+            both = np.concatenate([self.sweep(own, at, s, "f", steps), self.sweep(own, at, s, "r", steps), own], axis=1)
             z = both @ self.w["out"] + self.w["bo"]
             e = np.exp(z - z.max(1, keepdims=True))
             out[rows] = e / e.sum(1, keepdims=True)
@@ -356,9 +380,8 @@ class Labeller:
                     self.w[k] -= lr * (m[k] / (1 - 0.9**step)) / (np.sqrt(v[k] / (1 - 0.99**step)) + 1e-8)
 
 
-def fit(rows: list[tuple[str, np.ndarray]], seed: int = 11) -> Labeller:
-    """A labeller from (content, shares of the lines) rows."""
-    pages = [split_page(c, shares) for c, shares in rows]
+def fit(pages: list[Page], seed: int = 11) -> Labeller:
+    """A labeller from the weak labels of pages."""
     labels = [weak_labels(p.lines, {letters(p.lines[k]) for k in p.at[p.share > 0].tolist()}) for p in pages]
     out = Labeller(seed)
     out.train(pages, labels)

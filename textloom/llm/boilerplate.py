@@ -3,7 +3,8 @@
 Every page is labelled line by line by the recurrent block labeller (``blocks``); frame lines are reported
 or removed.  The lines that recur in each site are counted before over all pages (``repeated_lines``) and joined
 to the pages by site, so the labelling knows each line's share of its site's URLs.  The labeller is fitted on at
-most ``max_pages`` pages, taken breadth first over the sites so that small sites count.
+most ``max_pages`` pages, taken breadth first over the sites so that small sites count; they are chosen from
+the URLs alone.  The texts are read twice: for the identifiers of their lines, and to label them.
 """
 
 from __future__ import annotations
@@ -16,119 +17,127 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from textloom.llm import blocks as B
-from textloom.llm.repeated_lines import canonical_url, line_keys, repeated_blocks, site_of
+from textloom.llm.lines import line_keys
+from textloom.llm.repeated_lines import blocks_of, canonical_url, keyed_pages, site_of
+from textloom.llm.residue import residue_of, template
 from textloom.plans.materialize import materialize
 from textloom.plans.tables import table
 
-
-#: Probability of residue from which a line of a page that has nothing but frame is looked at.
-FAINT = 0.02
-
-
 #: Least URLs, and least share of a site's URLs, on which a line recurs.
 LEAST_URLS, LEAST_SHARE = 3, 0.1
+#: Lines that the labeller looks at together.
+LINES = 20_000
 
 
-def recurring(pages: DataFrame, url_col: str, content_col: str) -> DataFrame:
+def recurring(keyed: DataFrame) -> DataFrame:
     """(s, known) of each site with recurring lines, ``known`` as (key, share) in the order of the keys.
 
     A site's list has at most 1 / ``LEAST_SHARE`` times the lines of a page.
     """
-    lines = repeated_blocks(pages, url_col=url_col, content_col=content_col, min_urls=LEAST_URLS, min_share=LEAST_SHARE, longer=False)
+    lines = blocks_of(keyed, min_urls=LEAST_URLS, min_share=LEAST_SHARE, longer=False)
     share = (F.col("n_urls") / F.col("n_site_urls")).cast("float")
     return lines.groupBy(F.col("site").alias("s")).agg(F.array_sort(F.collect_list(F.struct("key", share.alias("share")))).alias("known"))
 
 
-def with_recurring(kept: DataFrame, known: DataFrame) -> DataFrame:
-    """(i, t, keys, known_keys, known_shares) of pages with (i, url, t); null lists where the site has none."""
-    at = kept.select("i", "t", site_of(F.col("url")).alias("site"), line_keys(F.col("t")).alias("keys"))
-    return at.join(known, F.col("site") == F.col("s"), "left").select("i", "t", "keys", F.col("known.key").alias("known_keys"), F.col("known.share").alias("known_shares"))
+def shares_of(keys: np.ndarray, counts: np.ndarray, known: np.ndarray, share: np.ndarray) -> np.ndarray:
+    """The share of its site's URLs of each line of a page, 0 where it does not recur."""
+    if not len(known) or not len(keys):
+        return np.zeros(len(keys), np.float32)
+    at = np.minimum(np.searchsorted(known, keys), len(known) - 1)
+    return np.where(counts & (known[at] == keys), share[at], 0).astype(np.float32)
+
 
+def split_pages(texts: pa.Array, known_keys: pa.ListArray, known_shares: pa.ListArray) -> list[B.Page]:
+    """The pages of a batch, with the shares of their lines."""
+    size, key, counts = line_keys(texts)
+    end = np.cumsum(size)
+    out = []
+    for t, a, b, ks, ss in zip(texts.to_pylist(), (end - size).tolist(), end.tolist(), known_keys, known_shares):
+        ks, ss = (np.zeros(0) if x.values is None else x.values.to_numpy(zero_copy_only=False) for x in (ks, ss))
+        out.append(B.split_page(t, shares_of(key[a:b], counts[a:b], ks, ss)))
+    return out
 
-def shares_of(keys: pa.ListArray, known_keys: pa.ListArray, known_shares: pa.ListArray) -> Iterator[np.ndarray]:
-    """The shares of the lines of each page."""
-    for own, theirs, share in zip(keys, known_keys, known_shares):
-        k = own.values
-        out = np.zeros(len(k), np.float32)
-        if theirs.values is not None and len(theirs.values):
-            full = k.is_valid().to_numpy(zero_copy_only=False)
-            x, y = k.fill_null(0).to_numpy(), theirs.values.to_numpy()
-            at = np.minimum(np.searchsorted(y, x), len(y) - 1)
-            out = np.where(full & (y[at] == x), share.values.to_numpy()[at], out).astype(np.float32)
-        yield out
 
+def choose_sample(pages: DataFrame, id_col: str, url_col: str, max_pages: int, per_site: int) -> DataFrame:
+    """(i, u) of at most ``max_pages`` pages, up to ``per_site`` of each site, first pages of all sites first."""
+    keys = pages.where(F.col(id_col).isNotNull() & F.col(url_col).isNotNull()).select(F.col(id_col).alias("i"), site_of(F.col(url_col)).alias("site"), F.xxhash64(canonical_url(F.col(url_col))).alias("u"))
+    turn = F.row_number().over(Window.partitionBy("site").orderBy("u", "i"))
+    # sites come in groups of eight pages, so that what varies in a site shows
+    order = (F.ceil(F.col("turn") / 8), F.xxhash64("site"), "turn")
+    return keys.withColumn("turn", turn).where(F.col("turn") <= per_site).orderBy(*order).limit(max_pages).select("i", "u").distinct()
 
-def fit_labeller(pages: DataFrame, known: DataFrame, id_col: str, url_col: str, content_col: str, max_pages: int, per_site: int) -> B.Labeller:
-    """The labeller from a bounded sample: up to ``per_site`` pages of each site, first pages of all sites first."""
-    kept = pages.where(F.col(id_col).isNotNull() & F.col(content_col).isNotNull() & F.col(content_col).rlike(r"\S")).select(F.col(id_col).alias("i"), F.coalesce(F.col(url_col), F.lit("")).alias("url"), F.col(content_col).alias("t"))
-    keys = kept.select("i", site_of(F.col("url")).alias("site"), F.xxhash64(canonical_url(F.col("url"))).alias("h"))
-    turn = F.row_number().over(Window.partitionBy("site").orderBy("h", "i"))
-    # sites come in groups of per_site pages, so that what recurs in a site shows
-    picked = keys.withColumn("turn", turn).where(F.col("turn") <= per_site).orderBy(F.ceil(F.col("turn") / 8), F.xxhash64("site"), "turn").limit(max_pages)
-    sample = kept.join(F.broadcast(picked.select("i", "site")), "i").select("site", canonical_url(F.col("url")).alias("u"), "t", "i", "url")
-    got = with_recurring(sample.select(F.struct("site", "u", "i").alias("i"), "url", "t"), known).toArrow().combine_chunks()
-    rows = list(zip(got["i"].to_pylist(), got["t"].to_pylist(), shares_of(*(got[c].combine_chunks() for c in ("keys", "known_keys", "known_shares")))))
-    rows.sort(key=lambda r: (r[0]["site"], r[0]["u"], str(r[0]["i"])))
-    return B.fit([(t, shares) for _, t, shares in rows])
+
+def fit_labeller(keyed: DataFrame, known: DataFrame) -> B.Labeller:
+    """The labeller, from the pages whose texts ``keyed`` carries."""
+    own = keyed.where("t IS NOT NULL").join(known, F.col("site") == F.col("s"), "left").select("site", "u", "i", "t", F.col("known.key").alias("k"), F.col("known.share").alias("sh"))
+    got = own.toArrow().combine_chunks()
+    pages = split_pages(*(got[c].combine_chunks() for c in ("t", "k", "sh"))) if got.num_rows else []
+    order = sorted(range(got.num_rows), key=lambda r: (got["site"][r].as_py(), got["u"][r].as_py(), str(got["i"][r].as_py())))
+    return B.fit([pages[r] for r in order])
 
 
 def label_pages(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url", content_col: str = "content", max_pages: int = 2000, per_site: int = 40) -> DataFrame:
-    """(id_col, frame, n_article, n_residue, p_residue, core) of each page with non-blank content.
+    """(id_col, frame, n_article, n_residue, tmpl, n, text, sure) of each page with non-blank content.
 
-    ``frame`` has the numbers of the frame lines; n_article and n_residue count words of lines labelled so
-    (headings, the crawler's lines and fenced code aside), p_residue is the mean probability of residue over
-    those lines, weighted by words, and ``core`` is their text, null where there are none.
+    ``frame`` has the numbers of the frame lines.  The other lines, but for headings, the crawler's lines and fenced
+    code, are the body: n_article and n_residue count its words by label, and tmpl, n, text and sure are its template
+    (``residue.template``), null where there is no body.  The body of a page that is nothing but frame to the labeller
+    is what of it does not recur in the site, or else its line most like residue.
 
-    Null and blank contents give no row; a null URL is a site of its own; repeated rows give repeated rows;
-    very long pages are read whole; of two equal probabilities the class listed first wins; an empty table
-    gives an empty result; other columns are not read.
+    Null and blank contents give no row; a null URL belongs to a site without recurring lines; repeated rows give
+    repeated rows; very long pages are read whole; of two equal probabilities the class listed first wins; an empty
+    table gives an empty result; other columns are not read.
     """
-    known = materialize(recurring(pages, url_col, content_col), "recurring")
-    model = fit_labeller(pages, known, id_col, url_col, content_col, max_pages, per_site)
+    keyed = materialize(keyed_pages(pages, id_col, url_col, content_col, choose_sample(pages, id_col, url_col, max_pages, per_site)), "keyed")
+    known = materialize(recurring(keyed), "recurring")
+    model = fit_labeller(keyed, known)
     shared = pages.sparkSession.sparkContext.broadcast(model)
     kind = dict(pages.dtypes)[id_col]
+    names = ["i", "frame", "n_article", "n_residue", "tmpl", "n", "text", "sure"]
+
+    def label(split: list[B.Page], make: B.Features) -> Iterator[tuple]:
+        prob = shared.value.probabilities(make(split))
+        best, at = prob.argmax(1), 0
+        for p in split:
+            lines = [p.lines[k] for k in p.at.tolist()]
+            own, pr = best[at : at + len(lines)], prob[at : at + len(lines), B.RESIDUE]
+            at += len(lines)
+            fixed = np.array([B.fixed_article(x.strip()) for x in lines], dtype=bool)
+            if any("```" in x for x in lines):
+                fixed |= np.array(B.fences(p.lines), dtype=bool)[p.at]
+            free = np.flatnonzero(~fixed)
+            body = free[own[free] != B.FRAME]
+            if not len(body) and len(free):
+                body = free[p.share[free] == 0]
+                body = body if len(body) else free[pr[free] == pr[free].max()]
+            words = np.array([len(lines[k].split()) for k in body], dtype=np.float64)
+            art = own[body] == B.ARTICLE
+            core = [lines[k].strip() for k in body.tolist()]
+            mean = float((pr[body] * words).sum() / words.sum()) if words.sum() else 0.0
+            yield p.at[(own == B.FRAME) & ~fixed].astype(np.int32), int(words[art].sum()), int(words[~art].sum()), *(template("\n".join(core), mean) if core else (None, None, None, None))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        labeller, make = shared.value, B.Features()
+        make = B.Features()
         for batch in batches:
-            split = [B.split_page(t, s) for t, s in zip(batch.column(1).to_pylist(), shares_of(*batch.columns[2:]))]
-            feats = make(split)
-            prob = labeller.probabilities(feats)
-            best = prob.argmax(1)
-            frame, n_art, n_res, p_res, core = [], [], [], [], []
-            at = 0
-            for p in split:
-                lines = [p.lines[k] for k in p.at.tolist()]
-                own, pr = best[at : at + len(lines)], prob[at : at + len(lines), B.RESIDUE]
-                at += len(lines)
-                fixed = np.array(B.fences(p.lines), dtype=bool)[p.at] if any("```" in x for x in lines) else np.zeros(len(lines), bool)
-                fixed |= np.array([B.fixed_article(x.strip()) for x in lines], dtype=bool)
-                frame.append(p.at[(own == B.FRAME) & ~fixed].astype(np.int32))
-                body = np.flatnonzero((own != B.FRAME) & ~fixed)
-                if not len(body):  # nothing but frame: what may be residue is left to its template's neighbours
-                    free = np.flatnonzero(~fixed)
-                    body = free[(pr[free] >= FAINT) | (pr[free] == pr[free].max())] if len(free) else free
-                words = np.array([len(lines[k].split()) for k in body], dtype=np.float64)
-                res = (own[body] == B.RESIDUE) | (own[body] == B.FRAME)
-                a, r = int(words[~res].sum()), int(words[res].sum())
-                n_art.append(a)
-                n_res.append(r)
-                p_res.append(float((pr[body] * words).sum() / words.sum()) if len(body) and words.sum() else 0.0)
-                core.append("\n".join(lines[k].strip() for k in body) if len(body) else None)
-            offsets = pa.array(np.r_[0, np.cumsum([len(f) for f in frame])].astype(np.int32))
-            flat = pa.array(np.concatenate(frame) if frame else np.zeros(0, np.int32), pa.int32())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(offsets, flat), pa.array(n_art, pa.int32()), pa.array(n_res, pa.int32()), pa.array(p_res, pa.float32()), pa.array(core, pa.string())], names=["i", "frame", "n_article", "n_residue", "p_residue", "core"])
-
-    kept = pages.where(F.col(content_col).isNotNull() & F.col(content_col).rlike(r"\S"))
-    kept = kept.select(F.col(id_col).alias("i"), F.coalesce(F.col(url_col), F.lit("")).alias("url"), F.col(content_col).alias("t"))
-    out = with_recurring(kept, known).mapInArrow(run, f"i {kind}, frame array<int>, n_article int, n_residue int, p_residue float, core string")
+            total = np.cumsum([t.count("\n") + 1 for t in batch.column(1).to_pylist()])
+            a = 0
+            while a < batch.num_rows:
+                b = max(a + 1, int(np.searchsorted(total, (total[a - 1] if a else 0) + LINES, side="right")))
+                part = batch.slice(a, b - a)
+                frame, *rest = zip(*label(split_pages(*part.columns[1:]), make))
+                offsets = pa.array(np.r_[0, np.cumsum([len(f) for f in frame])].astype(np.int32))
+                kinds = (pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.string(), pa.bool_())
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(frame), pa.int32())), *(pa.array(x, k) for x, k in zip(rest, kinds))], names=names)
+                a = b
+
+    kept = pages.where(F.col(content_col).isNotNull() & F.col(content_col).rlike(r"\S")).select(F.col(id_col).alias("i"), site_of(F.coalesce(F.col(url_col), F.lit(""))).alias("site"), F.col(content_col).alias("t"))
+    rows = kept.join(known, F.col("site") == F.col("s"), "left").select("i", "t", F.col("known.key").alias("k"), F.col("known.share").alias("sh"))
+    out = rows.mapInArrow(run, f"i {kind}, frame array<int>, n_article int, n_residue int, tmpl bigint, n int, text string, sure boolean")
     return out.withColumnRenamed("i", id_col)
 
 
 def frame_lines(pages: DataFrame, *, id_col: str = "page_id", **how) -> DataFrame:
     """(id_col, line_no) of each frame line of the pages that are not residue as a whole."""
-    from textloom.llm.residue import residue_of
-
     labelled = materialize(label_pages(pages, id_col=id_col, **how), "labels")
     gone = residue_of(labelled, id_col=id_col)
     return labelled.select(id_col, "frame").join(gone, id_col, "left_anti").select(id_col, F.explode("frame").alias("line_no"))
@@ -141,8 +150,6 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p1_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each page that is not residue with the text of its article."""
-    from textloom.llm.residue import residue_of
-
     pages = table(spark, sf_dir, "pages")
     labelled = materialize(label_pages(pages), "labels")
     kept = labelled.select("page_id", "frame").join(residue_of(labelled), "page_id", "left_anti")

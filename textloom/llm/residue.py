@@ -1,19 +1,30 @@
 """Problem 2: pages whose article is template residue, filler, an error or a demand for scripts.
 
 The block labeller separates the site's frame from the rest.  The text of the rest, whatever the labeller says of
-it, has names, numbers and placeholders masked.  Equal masked texts are one template from here on.  Templates are alike by their words (multiset Dice, not shingles, as most residue is shorter than five
-words).  Labels spread from the trusted templates, those on which the labeller is sure or that hold nothing but
-known residue: each round finds every other template that is alike to one reached in the round before, until
-a round finds none, so whole components of trusted templates are residue and the others stay out.
-
-The search of a round is exact.  Two texts of n and m words with Dice t share at least t (n + m) / 2 of them,
-a repeated word counted with its number, so they share one among the first n - ceil(t n / (2 - t)) + 1 and
-m - ceil(t m / (2 - t)) + 1 in any common order (rare words first here).  Templates meet at these words, in a
-join by word; sizes and positions, both exact bounds, discard most pairs before the words are compared.
+it, has names, numbers and placeholders masked; equal masked texts are one template from here on.  Labels spread
+from the trusted templates, those on which the labeller is sure or that hold nothing but known residue: each
+round finds every other template that is alike to one reached in the round before, until a round finds none, so
+whole components of trusted templates are residue and the others stay out.
+
+A round looks for near-duplicates in partitioned SimHash tables: signatures of 64 bits, cut into ``BLOCKS`` blocks, with
+one table for each choice of half of them, so that any two signatures within ``BLOCKS / 2`` bits meet in a table under
+a key of 32 bits.  Candidates are verified by their Hamming distance and then by their words (multiset Dice, not
+shingles, as most residue is shorter than five words).
+
+One changed word of a short text turns far more than three bits, so the tables miss most short pairs.  They are
+found by an exact way: two texts of n and m words with Dice t share at least t (n + m) / 2 of them, a repeated
+word counted with its number, so they share one among the first n - ceil(t n / (2 - t)) + 1 and
+m - ceil(t m / (2 - t)) + 1 in any common order.  The words that are rare among the templates of the round before
+come first, those that these do not have at all before them.  Templates meet at these words; sizes and positions,
+both exact bounds, discard most pairs before the words are compared.
+
+Table keys and words go through one join.  Keys that the templates of the round before do not have, by a bitmap of
+fixed size, are dropped where they are made, so almost nothing of the articles is shuffled.
 """
 
 from __future__ import annotations
 
+import itertools
 import math
 import re
 from collections import Counter
@@ -29,6 +40,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from textloom.llm import blocks as B
+from textloom.llm.shingles import mix
 from textloom.plans.materialize import materialize
 from textloom.plans.tables import table
 
@@ -36,7 +48,11 @@ PLACEHOLDER = re.compile(r"(?=[{<@\[%$#_])(?:\{\{.*?\}\}|\{%.*?%\}|<%.*?%>|@@.*?
 NAME = re.compile(r"[^\W\d_a-zа-я](?<=[^\W\d_][ ,].)[^\W\d_]{3,}")
 TOKEN = re.compile(r"[^\W_]+|[{}%<>@\[\]$#]")
 #: Slots of the counts that order words.
-SLOTS = 1 << 14
+SLOTS = 1 << 16
+#: Bits of the bitmap of keys.
+MARKS = 1 << 20
+#: Blocks of a signature; half of them make the key of a table.
+BLOCKS = 6
 
 
 def masked(core: str) -> str:
@@ -46,17 +62,17 @@ def masked(core: str) -> str:
     return " ".join(TOKEN.findall(re.sub(r"\d+", "0", text).lower()))
 
 
-def simhash(text: str) -> int:
-    """64-bit SimHash of the words and word pairs of a masked text, as a signed integer."""
-    words = text.split()
-    grams = Counter(words) + Counter(zip(words, words[1:]))
-    if not grams:
-        return 0
-    h = np.array([xxhash.xxh3_64_intdigest(g if isinstance(g, str) else " ".join(g)) for g in grams], dtype=np.uint64)
-    w = np.log1p(np.array(list(grams.values()), dtype=np.float64))
-    bits = (h[:, None] >> np.arange(64, dtype=np.uint64)) & np.uint64(1)
-    on = (np.where(bits == 1, w[:, None], -w[:, None]).sum(0) > 0).astype(np.uint64)
-    return int((on << np.arange(64, dtype=np.uint64)).sum().view(np.int64))
+def signatures(doc: np.ndarray, ids: np.ndarray, n_texts: int) -> np.ndarray:
+    """64-bit SimHash of the words of each text, from ``word_ids``; 0 for a text without words."""
+    n = np.bincount(doc, minlength=n_texts)
+    full = np.flatnonzero(n)
+    out = np.zeros(n_texts, dtype=np.uint64)
+    if len(full):
+        first, h = (np.cumsum(n) - n)[full], mix(ids)
+        for k in range(64):
+            on = np.add.reduceat((h >> np.uint64(k) & np.uint64(1)).astype(np.int32), first) * 2 > n[full]
+            out[full] |= on.astype(np.uint64) << np.uint64(k)
+    return out
 
 
 def dice(a: str, b: str) -> float:
@@ -91,54 +107,58 @@ def word_ids(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return doc[full], (word ^ number.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))[full]
 
 
-def templates_of(labelled: DataFrame, id_col: str) -> DataFrame:
-    """(i, tmpl, n, text, sure) of each page that has more than a frame; n is the number of words of the masked text."""
+def template(core: str, p_residue: float) -> tuple[int, int, str, bool]:
+    """(tmpl, n, text, sure) of a page's body: its masked text with a hash and the number of words, and whether it
+    is trusted to be residue."""
+    text = masked(core)
+    return xxhash.xxh3_64_intdigest(text) - (1 << 63), text.count(" ") + 1 if text else 0, text, p_residue >= 0.8 or known_residue(core)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            text = [masked(c) for c in pdf["core"]]
-            yield pd.DataFrame(
-                {
-                    "i": pdf["i"], "tmpl": np.array([xxhash.xxh3_64_intdigest(t) for t in text], dtype=np.uint64).view(np.int64), "n": np.array([t.count(" ") + 1 if t else 0 for t in text], dtype=np.int32),
-                    "text": text, "sure": [bool(p >= 0.8) or known_residue(c) for p, c in zip(pdf["p_residue"], pdf["core"])],
-                }
-            )
 
-    kind = dict(labelled.dtypes)[id_col]
-    return labelled.where("core IS NOT NULL").select(F.col(id_col).alias("i"), "core", "p_residue").mapInPandas(run, f"i {kind}, tmpl bigint, n int, text string, sure boolean")
+def counted(df: DataFrame, key: F.Column, size: int) -> np.ndarray:
+    """How often each of ``size`` values of ``key`` occurs; at most ``size`` numbers reach the driver."""
+    got = df.groupBy(key.alias("k")).agg(F.count("*").alias("c")).toArrow()
+    out = np.zeros(size, dtype=np.int64)
+    out[got["k"].to_numpy()] = got["c"].to_numpy()
+    return out
 
 
-def word_counts(tmpl: DataFrame) -> np.ndarray:
-    """How often the words of each of ``SLOTS`` slots occur in the templates; it only orders the words."""
+def words_table(tmpl: DataFrame) -> DataFrame:
+    """(slot) of each word of the templates; slots only order the words."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total = np.zeros(SLOTS, dtype=np.int64)
         for pdf in batches:
-            total += np.bincount((word_ids(pdf["text"].tolist())[1] % np.uint64(SLOTS)).astype(np.int64), minlength=SLOTS)
-        at = np.flatnonzero(total)
-        yield pd.DataFrame({"slot": at.astype(np.int32), "c": total[at]})
+            yield pd.DataFrame({"slot": (word_ids(pdf["text"].tolist())[1] % np.uint64(SLOTS)).astype(np.int32)})
+
+    return tmpl.select("text").mapInPandas(run, "slot int")
 
-    out = np.zeros(SLOTS, dtype=np.int64)
-    for r in tmpl.select("text").mapInPandas(run, "slot int, c bigint").groupBy("slot").agg(F.sum("c").alias("c")).collect():
-        out[r["slot"]] = r["c"]
-    return out
 
+def meeting_keys(tmpl: DataFrame, counts: np.ndarray, t: float, name: str, marks: np.ndarray | None = None) -> DataFrame:
+    """(name, w, at, n, sig) of the keys at which a template meets those alike to it.
 
-def first_words(tmpl: DataFrame, counts: np.ndarray, t: float, name: str) -> DataFrame:
-    """(name, w, at, n) of the words at which a template can meet all that are alike, rare words first."""
+    A key of a SimHash table comes with the signature and ``at`` -1, a word with its place in the template; keys
+    that are not in ``marks`` are left out.
+    """
+    edges = [64 * k // BLOCKS for k in range(BLOCKS + 1)]
+    masks = np.array([sum(((1 << (edges[k + 1] - edges[k])) - 1) << edges[k] for k in ks) for ks in itertools.combinations(range(BLOCKS), BLOCKS // 2)], dtype=np.uint64)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             doc, ids = word_ids(pdf["text"].tolist())
+            own, size = pdf[name].to_numpy(), np.bincount(doc, minlength=len(pdf))
+            sig = signatures(doc, ids, len(pdf))
             order = np.lexsort((ids, counts[(ids % np.uint64(SLOTS)).astype(np.int64)], doc))
             doc, ids = doc[order], ids[order]
-            n = np.bincount(doc, minlength=len(pdf))
-            at = np.arange(len(doc)) - (np.cumsum(n) - n)[doc]
-            top = n - np.ceil(t / (2 - t) * n - 1e-9).astype(np.int64) + 1
-            own = at < top[doc]
-            yield pd.DataFrame({name: pdf[name].to_numpy()[doc[own]], "w": ids[own].view(np.int64), "at": at[own].astype(np.int32), "n": n[doc[own]].astype(np.int32)})
+            at = np.arange(len(doc)) - (np.cumsum(size) - size)[doc]
+            keep = at < (size - np.ceil(t / (2 - t) * size - 1e-9).astype(np.int64) + 1)[doc]
+            tables = mix((sig[:, None] & masks) ^ mix(masks)).ravel()
+            who = np.r_[doc[keep], np.repeat(np.arange(len(pdf)), len(masks))]
+            w, place = np.r_[ids[keep], tables], np.r_[at[keep], np.full(len(tables), -1)]
+            if marks is not None:
+                seen = marks[(w % np.uint64(len(marks))).astype(np.int64)]
+                who, w, place = who[seen], w[seen], place[seen]
+            yield pd.DataFrame({name: own[who], "w": w.view(np.int64), "at": place.astype(np.int32), "n": size[who].astype(np.int32), "sig": sig[who].view(np.int64)})
 
-    return tmpl.select(F.col("tmpl").alias(name), "text").mapInPandas(run, f"{name} bigint, w bigint, at int, n int")
+    return tmpl.select(F.col("tmpl").alias(name), "text").mapInPandas(run, f"{name} bigint, w bigint, at int, n int, sig bigint")
 
 
 def in_reach(sizes: list[int], t: float) -> F.Column:
@@ -156,32 +176,47 @@ def in_reach(sizes: list[int], t: float) -> F.Column:
     return out
 
 
+def candidates(near: DataFrame, rest: DataFrame, least_dice: float) -> DataFrame:
+    """(a, b) of the templates that meet and pass the bounds of the way on which they meet."""
+    counts = counted(words_table(near), F.col("slot"), SLOTS)
+    a = materialize(meeting_keys(near, counts, least_dice, "a").withColumnsRenamed({"at": "at_a", "n": "n_a", "sig": "sig_a"}), "keys")
+    marks = counted(a, F.col("w").bitwiseAND(MARKS - 1), MARKS) > 0
+    b = meeting_keys(rest, counts, least_dice, "b", marks)
+    most = F.least(F.least("n", "n_a"), 1 + F.least(F.col("n_a") - F.col("at_a") - 1, F.col("n") - F.col("at") - 1))
+    by_word = (F.col("at") >= 0) & (2 * most >= least_dice * (F.col("n") + F.col("n_a")) - 1e-9)
+    by_table = (F.col("at") < 0) & (F.bit_count(F.col("sig").bitwiseXOR(F.col("sig_a"))) <= BLOCKS // 2)
+    return a.join(b, "w").where((by_word | by_table) & ((F.col("at") < 0) == (F.col("at_a") < 0))).select("a", "b").distinct()
+
+
 def alike_to(near: DataFrame, rest: DataFrame, least_dice: float) -> DataFrame:
     """(tmpl) of each template of ``rest`` whose words are alike to those of one of ``near``."""
-    sizes = [r["n"] for r in near.where("n > 0").select("n").distinct().collect()]
-    rest = rest.where(in_reach(sizes, least_dice))
-    counts = word_counts(rest)
-    a = first_words(near, counts, least_dice, "a").withColumnsRenamed({"at": "at_a", "n": "n_a"})
-    b = first_words(rest, counts, least_dice, "b").hint("merge")  # its rows compress well, so their shuffled size says little
-    most = F.least(F.least("n", "n_a"), 1 + F.least(F.col("n_a") - F.col("at_a") - 1, F.col("n") - F.col("at") - 1))
-    pairs = a.join(b, "w").where(2 * most >= least_dice * (F.col("n") + F.col("n_a")) - 1e-9).select("a", "b").distinct()
+    pairs = candidates(near, rest, least_dice)
     same = F.pandas_udf(lambda s, t: pd.Series([dice(p, q) for p, q in zip(s, t)]), T.DoubleType())
     texts = pairs.join(near.select(F.col("tmpl").alias("a"), F.col("text").alias("ta")), "a").join(rest.select(F.col("tmpl").alias("b"), F.col("text").alias("tb")), "b")
     return texts.where(same("ta", "tb") >= least_dice).select(F.col("b").alias("tmpl")).distinct()
 
 
 def residue_of(labelled: DataFrame, *, id_col: str = "page_id", least_dice: float = 0.8) -> DataFrame:
-    """(id_col) of the pages, labelled by ``label_pages``, that are residue as a whole."""
-    pages = materialize(templates_of(labelled, id_col), "templates")
-    tmpl = materialize(pages.groupBy("tmpl").agg(F.min("n").alias("n"), F.min("text").alias("text"), F.avg(F.col("sure").cast("int")).alias("sure")), "distinct")
-    near = tmpl.where("sure >= 0.5")
-    rest, bad = tmpl.where("sure < 0.5"), near.select("tmpl")
+    """(id_col) of the pages, labelled by ``label_pages``, that are residue as a whole.
+
+    Only the texts of templates whose size can be alike to one reached before are fetched.
+    """
+    pages = labelled.where("tmpl IS NOT NULL").select(F.col(id_col).alias("i"), "tmpl", "n", "text", "sure")
+    tmpl = materialize(pages.groupBy("tmpl").agg(F.min("n").alias("n"), F.min("i").alias("first"), F.avg(F.col("sure").cast("int")).alias("sure")), "distinct")
+
+    def texts(of: DataFrame, reach: F.Column) -> DataFrame:
+        own = of.where(reach).select(F.col("tmpl").alias("x"), F.col("first").alias("y"))
+        return pages.where(reach).join(own, (F.col("tmpl") == F.col("x")) & (F.col("i") == F.col("y"))).select("tmpl", "n", "text").dropDuplicates(["tmpl"])
+
+    near = materialize(texts(tmpl.where("sure >= 0.5"), F.col("n") > 0), "near")
+    rest, bad = tmpl.where("sure < 0.5"), tmpl.where("sure >= 0.5").select("tmpl")
     while True:  # each round takes at least one template out of the rest, or is the last
-        found = materialize(alike_to(near, rest, least_dice), "reached")
-        if found.isEmpty():
+        sizes = [r["n"] for r in near.select("n").distinct().collect()]
+        if not sizes:
             break
-        near, rest, bad = rest.join(found, "tmpl", "left_semi"), rest.join(found, "tmpl", "left_anti"), bad.unionByName(found)
-        near, rest = materialize(near, "near"), materialize(rest, "rest")
+        here = materialize(texts(rest, in_reach(sizes, least_dice)), "rest")
+        near = materialize(here.join(alike_to(near, here, least_dice), "tmpl", "left_semi"), "near")
+        rest, bad = rest.join(near.select("tmpl"), "tmpl", "left_anti"), bad.unionByName(near.select("tmpl"))
     return pages.join(bad, "tmpl", "left_semi").select(F.col("i").alias(id_col))
 
 
@@ -208,8 +243,7 @@ def p2_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
     from textloom.llm.boilerplate import label_pages
 
     labelled = materialize(label_pages(table(spark, sf_dir, "pages")), "labels")
-    bad = templates_of(labelled, "page_id").join(residue_of(labelled).withColumnRenamed("page_id", "i"), "i", "left_semi")
-    return bad.groupBy("text").agg(F.count("*").alias("n_pages"))
+    return labelled.join(residue_of(labelled), "page_id", "left_semi").groupBy("text").agg(F.count("*").alias("n_pages"))
 
 
 QUERIES = {"p2_found": p2_found, "p2_templates": p2_templates}
