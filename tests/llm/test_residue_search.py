@@ -2,9 +2,10 @@
 
 import random
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
-from textloom.llm.residue import dice, masked, residue_of, template
+from textloom.llm.residue import dice, masked, residue_of, templates
 
 LABELLED = "page_id bigint, tmpl bigint, n int, text string, sure boolean"
 
@@ -30,8 +31,8 @@ def edited(seed):
 def test_every_alike_template_is_reached(spark):
     texts = edited(4)
     sure = {k for k in range(0, len(texts), 6)}
-    df = spark.createDataFrame([(k, *template(t, 0.9 if k in sure else 0.3)) for k, t in enumerate(texts)], LABELLED)
-    form = [masked(t) for t in texts]
+    df = spark.createDataFrame(list(zip(range(len(texts)), *templates(texts, [0.9 if k in sure else 0.3 for k in range(len(texts))]))), LABELLED)
+    form = masked(pa.array(texts)).to_pylist()
     want, new = set(sure), set(sure)
     while new:
         new = {k for k in range(len(texts)) if k not in want and any(dice(form[k], form[x]) >= 0.8 for x in new)}

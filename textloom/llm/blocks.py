@@ -21,6 +21,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
 
+from textloom.llm.lines import plain
+
 ARTICLE, FRAME, RESIDUE, UNKNOWN = 0, 1, 2, -1
 BUCKETS, EMB, HIDDEN, CLASSES = 1 << 13, 20, 20, 3
 
@@ -130,13 +132,15 @@ class Page:
     lines: list[str]
     at: np.ndarray  # line numbers of the non-blank lines
     share: np.ndarray  # of the site's URLs that have the line, for each of ``at``; 0 where the line does not recur
+    fenced: np.ndarray  # whether the line is fenced code, for each of ``at``
 
 
-def split_page(content: str, shares: np.ndarray | None = None) -> Page:
-    """A page with the shares of all its lines."""
+def split_page(content: str, shares: np.ndarray | None = None, fenced: np.ndarray | None = None) -> Page:
+    """A page with the shares and states of all its lines."""
     lines = content.split("\n")
     at = np.array([k for k, x in enumerate(lines) if x and not x.isspace()], dtype=np.int64)
-    return Page(lines, at, np.zeros(len(at), np.float32) if shares is None else shares[at])
+    inside = np.array(fences(lines), dtype=bool) if fenced is None else fenced
+    return Page(lines, at, np.zeros(len(at), np.float32) if shares is None else shares[at], inside[at])
 
 
 class Features:
@@ -145,20 +149,26 @@ class Features:
     def __init__(self) -> None:
         self.bucket: dict[str, int] = {}
 
-    def __call__(self, pages: list[Page]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """(tags, bucket of each word, number of words of each line, number of lines of each page)."""
-        flat = [p.lines[k] for p in pages for k in p.at.tolist()]
+    def __call__(self, pages: list[Page], words: pa.Array | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(tags, bucket of each word, number of words of each line, number of lines of each page).
+
+        ``words`` has ``lines.plain`` of the non-blank lines where it is known already.
+        """
         size = np.array([len(p.at) for p in pages], dtype=np.int64)
-        a = pc.utf8_rtrim_whitespace(pa.array(flat, pa.string()))
-        tags = np.zeros((len(flat), N_TAGS), dtype=np.float32)
+        # equal lines are looked at once
+        enc = pc.dictionary_encode(pc.utf8_rtrim_whitespace(pa.array([p.lines[k] for p in pages for k in p.at.tolist()], pa.string())))
+        a, line = enc.dictionary, enc.indices.to_numpy()
+        own = np.zeros((len(a), len(TAGS)), dtype=np.float32)
         for k, r in enumerate(TAGS):
-            tags[:, k] = pc.match_substring_regex(a, r).to_numpy(zero_copy_only=False)
+            own[:, k] = pc.match_substring_regex(a, r).to_numpy(zero_copy_only=False)
+        tags = np.zeros((len(line), N_TAGS), dtype=np.float32)
         k = len(TAGS)
-        length = pc.utf8_length(a).to_numpy().astype(np.float32)
+        tags[:, :k] = own[line]
+        length = pc.utf8_length(a).to_numpy().astype(np.float32)[line]
         at = np.concatenate([p.at for p in pages]) if pages else np.zeros(0, np.int64)
         doc = np.repeat(np.arange(len(pages)), size)
         total = np.repeat(np.array([max(len(p.lines), 1) for p in pages]), size)
-        order = np.arange(len(flat)) - np.repeat(np.cumsum(size) - size, size)
+        order = np.arange(len(line)) - np.repeat(np.cumsum(size) - size, size)
         tags[:, k] = np.log1p(length) / 4
         tags[:, k + 1] = order / np.maximum(np.repeat(size, size), 1)
         tags[:, k + 2] = np.minimum(order, 10) / 10
@@ -168,22 +178,24 @@ class Features:
         gap = np.r_[0, at[1:] - at[:-1]] if len(at) else at
         tags[:, k + 4] = first | (gap > 1)
         tags[:, k + 5] = last | np.r_[gap[1:] > 1, True] if len(at) else 0
-        inside = [f for p in pages for f, x in zip(fences(p.lines), p.lines) if x and not x.isspace()] if any("```" in x for x in flat) else [False] * len(flat)
-        tags[:, k + 6] = inside
+        tags[:, k + 6] = np.concatenate([p.fenced for p in pages]) if pages else 0
         tags[:, k + 7] = total < 12
-        b = pc.replace_substring_regex(pc.replace_substring_regex(pc.utf8_lower(a), r"\d+", "0"), r"[^\p{L}0]+", " ")
-        lists = pc.split_pattern(pc.utf8_trim_whitespace(b), " ")
+        first = np.zeros(len(a), dtype=np.int64)
+        first[line[::-1]] = np.arange(len(line))[::-1]
+        lists = pc.split_pattern(plain(a) if words is None else words.take(pa.array(first)), " ")
         enc = pc.dictionary_encode(lists.flatten())
         if len(self.bucket) > 1_000_000:
             self.bucket.clear()
-        own = []
+        buckets = []
         for w in enc.dictionary.to_pylist():
             h = self.bucket.get(w)
             if h is None:
                 h = self.bucket[w] = xxhash.xxh3_64_intdigest(w) % BUCKETS
-            own.append(h)
-        words = np.array(own, dtype=np.int64)[enc.indices.to_numpy()] if own else np.zeros(0, np.int64)
-        n = pc.list_value_length(lists).to_numpy().astype(np.int64)
+            buckets.append(h)
+        each = pc.list_value_length(lists).to_numpy().astype(np.int64)
+        n = each[line]
+        at = np.repeat((np.cumsum(each) - each)[line] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        words = np.array(buckets, dtype=np.int64)[enc.indices.to_numpy()][at] if buckets else np.zeros(0, np.int64)
         tags[:, k + 8] = np.minimum(n, 12) / 12
         tags[:, k + 9] = np.minimum(n, 40) / 40
         tags[:, k + 10] = np.concatenate([p.share for p in pages]) if pages else 0

@@ -19,14 +19,14 @@ from pyspark.sql import functions as F
 from textloom.llm import blocks as B
 from textloom.llm.lines import line_keys
 from textloom.llm.repeated_lines import blocks_of, canonical_url, keyed_pages, site_of
-from textloom.llm.residue import residue_of, template
+from textloom.llm.residue import residue_of, templates
 from textloom.plans.materialize import materialize
 from textloom.plans.tables import table
 
 #: Least URLs, and least share of a site's URLs, on which a line recurs.
 LEAST_URLS, LEAST_SHARE = 3, 0.1
 #: Lines that the labeller looks at together.
-LINES = 20_000
+LINES = 50_000
 
 
 def recurring(keyed: DataFrame) -> DataFrame:
@@ -47,15 +47,16 @@ def shares_of(keys: np.ndarray, counts: np.ndarray, known: np.ndarray, share: np
     return np.where(counts & (known[at] == keys), share[at], 0).astype(np.float32)
 
 
-def split_pages(texts: pa.Array, known_keys: pa.ListArray, known_shares: pa.ListArray) -> list[B.Page]:
-    """The pages of a batch, with the shares of their lines."""
-    size, key, counts = line_keys(texts)
-    end = np.cumsum(size)
+def split_pages(texts: pa.Array, known_keys: pa.ListArray, known_shares: pa.ListArray) -> tuple[list[B.Page], pa.Array]:
+    """The pages of a batch, with the shares of their lines, and the words of their non-blank lines."""
+    own = line_keys(texts)
+    end = np.cumsum(own.size)
     out = []
-    for t, a, b, ks, ss in zip(texts.to_pylist(), (end - size).tolist(), end.tolist(), known_keys, known_shares):
+    for t, a, b, ks, ss in zip(texts.to_pylist(), (end - own.size).tolist(), end.tolist(), known_keys, known_shares):
         ks, ss = (np.zeros(0) if x.values is None else x.values.to_numpy(zero_copy_only=False) for x in (ks, ss))
-        out.append(B.split_page(t, shares_of(key[a:b], counts[a:b], ks, ss)))
-    return out
+        out.append(B.split_page(t, shares_of(own.key[a:b], own.counts[a:b], ks, ss), own.fenced[a:b]))
+    full = np.concatenate([p.at + a for p, a in zip(out, (end - own.size).tolist())]) if out else np.zeros(0, np.int64)
+    return out, own.words.take(pa.array(own.at[full]))
 
 
 def choose_sample(pages: DataFrame, id_col: str, url_col: str, max_pages: int, per_site: int) -> DataFrame:
@@ -71,7 +72,7 @@ def fit_labeller(keyed: DataFrame, known: DataFrame) -> B.Labeller:
     """The labeller, from the pages whose texts ``keyed`` carries."""
     own = keyed.where("t IS NOT NULL").join(known, F.col("site") == F.col("s"), "left").select("site", "u", "i", "t", F.col("known.key").alias("k"), F.col("known.share").alias("sh"))
     got = own.toArrow().combine_chunks()
-    pages = split_pages(*(got[c].combine_chunks() for c in ("t", "k", "sh"))) if got.num_rows else []
+    pages = split_pages(*(got[c].combine_chunks() for c in ("t", "k", "sh")))[0] if got.num_rows else []
     order = sorted(range(got.num_rows), key=lambda r: (got["site"][r].as_py(), got["u"][r].as_py(), str(got["i"][r].as_py())))
     return B.fit([pages[r] for r in order])
 
@@ -81,7 +82,7 @@ def label_pages(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "ur
 
     ``frame`` has the numbers of the frame lines.  The other lines, but for headings, the crawler's lines and fenced
     code, are the body: n_article and n_residue count its words by label, and tmpl, n, text and sure are its template
-    (``residue.template``), null where there is no body.  The body of a page that is nothing but frame to the labeller
+    (``residue.templates``), null where there is no body.  The body of a page that is nothing but frame to the labeller
     is what of it does not recur in the site, or else its line most like residue.
 
     Null and blank contents give no row; a null URL belongs to a site without recurring lines; repeated rows give
@@ -95,26 +96,25 @@ def label_pages(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "ur
     kind = dict(pages.dtypes)[id_col]
     names = ["i", "frame", "n_article", "n_residue", "tmpl", "n", "text", "sure"]
 
-    def label(split: list[B.Page], make: B.Features) -> Iterator[tuple]:
-        prob = shared.value.probabilities(make(split))
-        best, at = prob.argmax(1), 0
+    def label(split: list[B.Page], words: pa.Array, make: B.Features) -> Iterator[tuple]:
+        feats = make(split, words)
+        prob = shared.value.probabilities(feats)
+        best, n_words, at = prob.argmax(1), np.maximum(feats[2], 1).astype(np.float64), 0
         for p in split:
             lines = [p.lines[k] for k in p.at.tolist()]
-            own, pr = best[at : at + len(lines)], prob[at : at + len(lines), B.RESIDUE]
+            own, pr, words = best[at : at + len(lines)], prob[at : at + len(lines), B.RESIDUE], n_words[at : at + len(lines)]
             at += len(lines)
-            fixed = np.array([B.fixed_article(x.strip()) for x in lines], dtype=bool)
-            if any("```" in x for x in lines):
-                fixed |= np.array(B.fences(p.lines), dtype=bool)[p.at]
+            fixed = p.fenced | np.array([B.fixed_article(x.strip()) for x in lines], dtype=bool)
             free = np.flatnonzero(~fixed)
             body = free[own[free] != B.FRAME]
             if not len(body) and len(free):
                 body = free[p.share[free] == 0]
                 body = body if len(body) else free[pr[free] == pr[free].max()]
-            words = np.array([len(lines[k].split()) for k in body], dtype=np.float64)
+            words = words[body]
             art = own[body] == B.ARTICLE
             core = [lines[k].strip() for k in body.tolist()]
             mean = float((pr[body] * words).sum() / words.sum()) if words.sum() else 0.0
-            yield p.at[(own == B.FRAME) & ~fixed].astype(np.int32), int(words[art].sum()), int(words[~art].sum()), *(template("\n".join(core), mean) if core else (None, None, None, None))
+            yield p.at[(own == B.FRAME) & ~fixed].astype(np.int32), int(words[art].sum()), int(words[~art].sum()), "\n".join(core) if core else None, mean
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         make = B.Features()
@@ -124,7 +124,8 @@ def label_pages(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "ur
             while a < batch.num_rows:
                 b = max(a + 1, int(np.searchsorted(total, (total[a - 1] if a else 0) + LINES, side="right")))
                 part = batch.slice(a, b - a)
-                frame, *rest = zip(*label(split_pages(*part.columns[1:]), make))
+                frame, n_art, n_res, core, mean = zip(*label(*split_pages(*part.columns[1:]), make))
+                rest = (n_art, n_res, *templates(list(core), mean))
                 offsets = pa.array(np.r_[0, np.cumsum([len(f) for f in frame])].astype(np.int32))
                 kinds = (pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.string(), pa.bool_())
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(frame), pa.int32())), *(pa.array(x, k) for x, k in zip(rest, kinds))], names=names)

@@ -6,6 +6,8 @@ non-blank character is ``#`` and fenced code have none.
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -28,24 +30,35 @@ def fence_states(size: np.ndarray, marks: np.ndarray) -> np.ndarray:
     return marks | ((seen - before) % 2 == 1)
 
 
-def line_keys(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(number of lines of each text, identifier of each line, whether the line has one).
+def plain(lines: pa.Array) -> pa.Array:
+    """The words of lines in lower case, with one space between them and 0 for each run of digits."""
+    return pc.utf8_trim_whitespace(pc.replace_substring_regex(pc.replace_substring_regex(pc.utf8_lower(lines), r"\d+", "0"), r"[^\p{L}0]+", " "))
+
+
+@dataclass
+class Lines:
+    size: np.ndarray  # number of lines of each text
+    key: np.ndarray  # identifier of each line
+    counts: np.ndarray  # whether the line has one
+    fenced: np.ndarray  # whether it is fenced code
+    words: pa.Array  # ``plain`` of the distinct lines
+    at: np.ndarray  # place of each line among them
+
 
-    Equal lines of a batch are looked at once.
-    """
+def line_keys(texts: pa.Array) -> Lines:
+    """The lines of texts; equal lines of a batch are looked at once."""
     size, flat = split_lines(texts)
-    if not len(flat):
-        return size, np.zeros(0, np.int64), np.zeros(0, bool)
     enc = pc.dictionary_encode(flat)
     lines, at = enc.dictionary, enc.indices.to_numpy()
     start = pc.utf8_ltrim_whitespace(lines)
-    marks = pc.starts_with(start, "```").to_numpy(zero_copy_only=False)[at]
-    letters = pc.dictionary_encode(pc.replace_substring_regex(pc.utf8_lower(lines), r"\P{L}+", ""))
+    words = plain(lines)
+    letters = pc.dictionary_encode(pc.replace_substring(pc.replace_substring(words, " ", ""), "0", ""))
     hashes = np.array([xxhash.xxh3_64_intdigest(x) for x in letters.dictionary.to_pylist()], dtype=np.uint64).view(np.int64)
-    own = hashes[letters.indices.to_numpy()]
-    empty = pc.equal(letters.dictionary, "").to_numpy(zero_copy_only=False)[letters.indices.to_numpy()]
+    own = letters.indices.to_numpy()
+    empty = pc.equal(letters.dictionary, "").to_numpy(zero_copy_only=False)[own]
     counts = ~(empty | pc.starts_with(start, "#").to_numpy(zero_copy_only=False))
-    return size, own[at], counts[at] & ~fence_states(size, marks)
+    fenced = fence_states(size, pc.starts_with(start, "```").to_numpy(zero_copy_only=False)[at])
+    return Lines(size, hashes[own][at], counts[at] & ~fenced, fenced, words, at)
 
 
 def lists_of(size: np.ndarray, values: np.ndarray, kind: pa.DataType, mask: np.ndarray | None = None) -> pa.ListArray:

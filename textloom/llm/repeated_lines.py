@@ -178,9 +178,9 @@ def keyed_pages(pages: DataFrame, id_col: str, url_col: str, content_col: str, c
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            size, key, counts = line_keys(batch.column(3))
+            own = line_keys(batch.column(3))
             text = pc.if_else(batch.column(4), batch.column(3), pa.scalar(None, batch.column(3).type))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], lists_of(size, key, pa.int64(), ~counts), text], names=["i", "site", "u", "keys", "t"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], lists_of(own.size, own.key, pa.int64(), ~own.counts), text], names=["i", "site", "u", "keys", "t"])
 
     return rows.mapInArrow(run, f"i {dict(rows.dtypes)['i']}, site string, u bigint, keys array<bigint>, t string")
 
@@ -194,11 +194,13 @@ def blocks_of(keyed: DataFrame, *, min_urls: int = 8, min_share: float = 0.2, bl
 
     def count(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         got = block_counts(pdf["u"].to_numpy(), [np.asarray(ks, dtype=np.int64) for ks in pdf["keys"]])
+        if pdf["n_site_urls"][0] <= block_urls:  # the whole site is here
+            got = got[got["urls"] >= min_urls]
         got.insert(0, "site", key[0])
         return got
 
     # lines that do not count leave the array here, as only single lines are counted
-    salted = joined.select("site", "u", salt.alias("salt"), F.filter("keys", lambda k: k.isNotNull()).alias("keys"))
+    salted = joined.select("site", "u", "n_site_urls", salt.alias("salt"), F.filter("keys", lambda k: k.isNotNull()).alias("keys"))
     counts = salted.groupBy("site", "salt").applyInPandas(count, "site string, key bigint, length int, urls bigint")
     total = counts.groupBy("site", "key", "length").agg(F.sum("urls").alias("n_urls")).where(F.col("n_urls") >= min_urls)
     lines = total.join(sites, "site").where(F.col("n_urls") >= min_share * F.col("n_site_urls"))

@@ -28,7 +28,7 @@ import itertools
 import math
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -44,9 +44,10 @@ from textloom.llm.shingles import mix
 from textloom.plans.materialize import materialize
 from textloom.plans.tables import table
 
-PLACEHOLDER = re.compile(r"(?=[{<@\[%$#_])(?:\{\{.*?\}\}|\{%.*?%\}|<%.*?%>|@@.*?@@|\[\[.*?\]\]|%\([\w.]+\)s|%[\w.]{2,}%|[$#]?\{[\w.]+\}|\[(?:your|insert) [^\]]*\]|<[\w.]+ goes here>|\b__[\w.]+?__)", re.I)
-NAME = re.compile(r"[^\W\d_a-zа-я](?<=[^\W\d_][ ,].)[^\W\d_]{3,}")
-TOKEN = re.compile(r"[^\W_]+|[{}%<>@\[\]$#]")
+#: Patterns of what varies between copies of a template.
+PLACEHOLDER = r"(?i)\{\{.*?\}\}|\{%.*?%\}|<%.*?%>|@@.*?@@|\[\[.*?\]\]|%\([\w.]+\)s|%[\w.]{2,}%|[$#]?\{[\w.]+\}|\[(?:your|insert) [^\]]*\]|<[\w.]+ goes here>|\b__[\w.]+?__"
+NAME = r"(\p{L}[ ,])[\p{Lu}\p{Lt}\p{Lo}]\p{L}{3,}"
+MARK, NO_WORD = r"([{}%<>@\[\]$#])", r"[^\p{L}\p{N}{}%<>@\[\]$#]+"
 #: Slots of the counts that order words.
 SLOTS = 1 << 16
 #: Bits of the bitmap of keys.
@@ -55,11 +56,13 @@ MARKS = 1 << 20
 BLOCKS = 6
 
 
-def masked(core: str) -> str:
-    """A core text without what varies between copies of one template."""
-    text = PLACEHOLDER.sub(" placeholdermark ", core)
-    text = NAME.sub("namemark", text)
-    return " ".join(TOKEN.findall(re.sub(r"\d+", "0", text).lower()))
+def masked(cores: pa.Array) -> pa.Array:
+    """Core texts without what varies between copies of one template."""
+    a = pc.replace_substring_regex(cores, PLACEHOLDER, " placeholdermark ")
+    for _ in range(2):  # a name that follows a name is found the second time
+        a = pc.replace_substring_regex(a, NAME, r"\1namemark")
+    a = pc.replace_substring_regex(pc.replace_substring_regex(pc.utf8_lower(a), r"\d+", "0"), MARK, r" \1 ")
+    return pc.utf8_trim_whitespace(pc.replace_substring_regex(a, NO_WORD, " "))
 
 
 def signatures(doc: np.ndarray, ids: np.ndarray, n_texts: int) -> np.ndarray:
@@ -107,11 +110,14 @@ def word_ids(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return doc[full], (word ^ number.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))[full]
 
 
-def template(core: str, p_residue: float) -> tuple[int, int, str, bool]:
-    """(tmpl, n, text, sure) of a page's body: its masked text with a hash and the number of words, and whether it
-    is trusted to be residue."""
-    text = masked(core)
-    return xxhash.xxh3_64_intdigest(text) - (1 << 63), text.count(" ") + 1 if text else 0, text, p_residue >= 0.8 or known_residue(core)
+def templates(cores: list[str | None], p_residue: Sequence[float]) -> tuple[list, list, list, list]:
+    """(tmpl, n, text, sure) of pages' bodies: the masked text with a hash and the number of words, and whether it is
+    trusted to be residue; null for a page without a body."""
+    texts = masked(pa.array(cores, pa.string())).to_pylist()
+    none = [t is None for t in texts]
+    tmpl = [None if x else xxhash.xxh3_64_intdigest(t) - (1 << 63) for x, t in zip(none, texts)]
+    sure = [None if x else p >= 0.8 or known_residue(c) for x, c, p in zip(none, cores, p_residue)]
+    return tmpl, [None if x else t.count(" ") + 1 if t else 0 for x, t in zip(none, texts)], texts, sure
 
 
 def counted(df: DataFrame, key: F.Column, size: int) -> np.ndarray:
@@ -205,8 +211,9 @@ def residue_of(labelled: DataFrame, *, id_col: str = "page_id", least_dice: floa
     tmpl = materialize(pages.groupBy("tmpl").agg(F.min("n").alias("n"), F.min("i").alias("first"), F.avg(F.col("sure").cast("int")).alias("sure")), "distinct")
 
     def texts(of: DataFrame, reach: F.Column) -> DataFrame:
+        """(tmpl, n, text); a row may come more than once where an id does."""
         own = of.where(reach).select(F.col("tmpl").alias("x"), F.col("first").alias("y"))
-        return pages.where(reach).join(own, (F.col("tmpl") == F.col("x")) & (F.col("i") == F.col("y"))).select("tmpl", "n", "text").dropDuplicates(["tmpl"])
+        return pages.where(reach).join(own, (F.col("tmpl") == F.col("x")) & (F.col("i") == F.col("y"))).select("tmpl", "n", "text")
 
     near = materialize(texts(tmpl.where("sure >= 0.5"), F.col("n") > 0), "near")
     rest, bad = tmpl.where("sure < 0.5"), tmpl.where("sure >= 0.5").select("tmpl")
@@ -214,9 +221,10 @@ def residue_of(labelled: DataFrame, *, id_col: str = "page_id", least_dice: floa
         sizes = [r["n"] for r in near.select("n").distinct().collect()]
         if not sizes:
             break
-        here = materialize(texts(rest, in_reach(sizes, least_dice)), "rest")
-        near = materialize(here.join(alike_to(near, here, least_dice), "tmpl", "left_semi"), "near")
-        rest, bad = rest.join(near.select("tmpl"), "tmpl", "left_anti"), bad.unionByName(near.select("tmpl"))
+        here = texts(rest, in_reach(sizes, least_dice))
+        found = materialize(alike_to(near, here, least_dice), "reached")
+        near = materialize(texts(rest.join(found, "tmpl", "left_semi"), F.lit(True)), "near")
+        rest, bad = rest.join(found, "tmpl", "left_anti"), bad.unionByName(found)
     return pages.join(bad, "tmpl", "left_semi").select(F.col("i").alias(id_col))
 
 
