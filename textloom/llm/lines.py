@@ -32,7 +32,8 @@ def fence_states(size: np.ndarray, marks: np.ndarray) -> np.ndarray:
 
 def plain(lines: pa.Array) -> pa.Array:
     """The words of lines in lower case, with one space between them and 0 for each run of digits."""
-    return pc.utf8_trim_whitespace(pc.replace_substring_regex(pc.replace_substring_regex(pc.utf8_lower(lines), r"\d+", "0"), r"[^\p{L}0]+", " "))
+    a = pc.replace_substring_regex(pc.replace_substring_regex(pc.utf8_lower(lines), r"\d+", "0"), r"[^\p{L}0 ]+", " ")
+    return pc.utf8_trim_whitespace(pc.replace_substring_regex(a, " {2,}", " "))
 
 
 @dataclass

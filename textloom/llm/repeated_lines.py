@@ -45,12 +45,12 @@ def suffix_array(s: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[np.ndarray
     n = len(s)
     rank = np.unique(s, return_inverse=True)[1].astype(np.int64)
     rounds, k = [rank], 1
-    order = np.argsort(rank, kind="stable")
+    order = np.argsort(rank)
     while n > 1 and k < n:
         second = np.full(n, -1, dtype=np.int64)
         second[:-k] = rank[k:]
         joint = rank * (n + 1) + second + 1
-        order = np.argsort(joint, kind="stable")
+        order = np.argsort(joint)
         ranked = joint[order]
         new = np.empty(n, dtype=np.int64)
         new[order] = np.cumsum(np.r_[0, ranked[1:] != ranked[:-1]])
@@ -93,18 +93,19 @@ def block_counts(urls: np.ndarray, keys: list[np.ndarray]) -> pd.DataFrame:
     body = np.ones(len(text), dtype=bool)
     body[ends] = False
     text[body] = ids
-    url_at = np.repeat(urls, size + 1)
-    key_at = np.zeros(len(text), dtype=np.int64)
-    key_at[body] = flat
+    url_at = np.repeat(np.unique(urls, return_inverse=True)[1], size + 1)
     order, _, rounds = suffix_array(text)
     lcp = common_prefixes(order, rounds)
-    real = body[order]
-    # intervals of suffixes that share their first line
-    group = np.cumsum(np.r_[True, lcp[1:] < 1])
-    pair = pd.DataFrame({"g": group[real], "u": url_at[order][real], "key": key_at[order][real]})
-    one = pair.drop_duplicates(["g", "u"]).groupby("g", sort=False).agg(key=("key", "first"), urls=("u", "size"))
-    one["length"] = 1
-    return one[["key", "length", "urls"]]
+    # intervals of suffixes that share their first line; each URL counts once
+    group = np.cumsum(np.r_[True, lcp[1:] < 1])[body[order]]
+    at = order[body[order]]
+    width = np.int64(len(urls) + 1)
+    own = np.unique(group * width + url_at[at]) // width
+    g, first = np.unique(group, return_index=True)
+    count = np.bincount(own, minlength=int(g[-1]) + 1)[g]
+    key_at = np.zeros(len(text), dtype=np.int64)
+    key_at[body] = flat
+    return pd.DataFrame({"key": key_at[at[first]], "length": np.int32(1), "urls": count.astype(np.int64)})
 
 
 def maximal_blocks(runs: list[np.ndarray], row: np.ndarray, weight: np.ndarray) -> pd.DataFrame:

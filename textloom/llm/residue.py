@@ -47,7 +47,7 @@ from textloom.plans.tables import table
 #: Patterns of what varies between copies of a template.
 PLACEHOLDER = r"(?i)\{\{.*?\}\}|\{%.*?%\}|<%.*?%>|@@.*?@@|\[\[.*?\]\]|%\([\w.]+\)s|%[\w.]{2,}%|[$#]?\{[\w.]+\}|\[(?:your|insert) [^\]]*\]|<[\w.]+ goes here>|\b__[\w.]+?__"
 NAME = r"(\p{L}[ ,])[\p{Lu}\p{Lt}\p{Lo}]\p{L}{3,}"
-MARK, NO_WORD = r"([{}%<>@\[\]$#])", r"[^\p{L}\p{N}{}%<>@\[\]$#]+"
+MARK, NO_WORD = r"([{}%<>@\[\]$#])", r"[^\p{L}\p{N}{}%<>@\[\]$# ]+"
 #: Slots of the counts that order words.
 SLOTS = 1 << 16
 #: Bits of the bitmap of keys.
@@ -62,7 +62,7 @@ def masked(cores: pa.Array) -> pa.Array:
     for _ in range(2):  # a name that follows a name is found the second time
         a = pc.replace_substring_regex(a, NAME, r"\1namemark")
     a = pc.replace_substring_regex(pc.replace_substring_regex(pc.utf8_lower(a), r"\d+", "0"), MARK, r" \1 ")
-    return pc.utf8_trim_whitespace(pc.replace_substring_regex(a, NO_WORD, " "))
+    return pc.utf8_trim_whitespace(pc.replace_substring_regex(pc.replace_substring_regex(a, NO_WORD, " "), " {2,}", " "))
 
 
 def signatures(doc: np.ndarray, ids: np.ndarray, n_texts: int) -> np.ndarray:
@@ -87,7 +87,7 @@ def dice(a: str, b: str) -> float:
 def known_residue(core: str) -> bool:
     """Nothing but lines that the seeds know, or filler."""
     lines = [x for x in core.split("\n") if x.strip()]
-    for x in lines:
+    for x in sorted(lines, key=len, reverse=True):  # long lines decide soonest
         words = B.WORD.findall(x.lower())
         if not (len(words) <= 24 and B.RESIDUE_RE.search(B.bare(re.sub(r"`[^`]*`", " ", x))) or words and sum(w in B.LOREM for w in words) >= 0.7 * len(words)):
             return False
@@ -196,35 +196,24 @@ def candidates(near: DataFrame, rest: DataFrame, least_dice: float) -> DataFrame
 
 def alike_to(near: DataFrame, rest: DataFrame, least_dice: float) -> DataFrame:
     """(tmpl) of each template of ``rest`` whose words are alike to those of one of ``near``."""
-    pairs = candidates(near, rest, least_dice)
+    pairs = materialize(candidates(near, rest, least_dice), "pairs")  # their number decides how the texts are joined
     same = F.pandas_udf(lambda s, t: pd.Series([dice(p, q) for p, q in zip(s, t)]), T.DoubleType())
     texts = pairs.join(near.select(F.col("tmpl").alias("a"), F.col("text").alias("ta")), "a").join(rest.select(F.col("tmpl").alias("b"), F.col("text").alias("tb")), "b")
     return texts.where(same("ta", "tb") >= least_dice).select(F.col("b").alias("tmpl")).distinct()
 
 
 def residue_of(labelled: DataFrame, *, id_col: str = "page_id", least_dice: float = 0.8) -> DataFrame:
-    """(id_col) of the pages, labelled by ``label_pages``, that are residue as a whole.
-
-    Only the texts of templates whose size can be alike to one reached before are fetched.
-    """
+    """(id_col) of the pages, labelled by ``label_pages``, that are residue as a whole."""
     pages = labelled.where("tmpl IS NOT NULL").select(F.col(id_col).alias("i"), "tmpl", "n", "text", "sure")
-    tmpl = materialize(pages.groupBy("tmpl").agg(F.min("n").alias("n"), F.min("i").alias("first"), F.avg(F.col("sure").cast("int")).alias("sure")), "distinct")
-
-    def texts(of: DataFrame, reach: F.Column) -> DataFrame:
-        """(tmpl, n, text); a row may come more than once where an id does."""
-        own = of.where(reach).select(F.col("tmpl").alias("x"), F.col("first").alias("y"))
-        return pages.where(reach).join(own, (F.col("tmpl") == F.col("x")) & (F.col("i") == F.col("y"))).select("tmpl", "n", "text")
-
-    near = materialize(texts(tmpl.where("sure >= 0.5"), F.col("n") > 0), "near")
-    rest, bad = tmpl.where("sure < 0.5"), tmpl.where("sure >= 0.5").select("tmpl")
+    tmpl = materialize(pages.groupBy("tmpl").agg(F.min("n").alias("n"), F.first("text").alias("text"), F.avg(F.col("sure").cast("int")).alias("sure")), "distinct")
+    near = materialize(tmpl.where("sure >= 0.5 AND n > 0").select("tmpl", "n", "text"), "near")
+    rest, bad = tmpl.where("sure < 0.5").select("tmpl", "n", "text"), tmpl.where("sure >= 0.5").select("tmpl")
     while True:  # each round takes at least one template out of the rest, or is the last
         sizes = [r["n"] for r in near.select("n").distinct().collect()]
         if not sizes:
             break
-        here = texts(rest, in_reach(sizes, least_dice))
-        found = materialize(alike_to(near, here, least_dice), "reached")
-        near = materialize(texts(rest.join(found, "tmpl", "left_semi"), F.lit(True)), "near")
-        rest, bad = rest.join(found, "tmpl", "left_anti"), bad.unionByName(found)
+        found = materialize(alike_to(near, rest.where(in_reach(sizes, least_dice)), least_dice), "reached")
+        near, rest, bad = materialize(rest.join(found, "tmpl", "left_semi"), "near"), rest.join(found, "tmpl", "left_anti"), bad.unionByName(found)
     return pages.join(bad, "tmpl", "left_semi").select(F.col("i").alias(id_col))
 
 

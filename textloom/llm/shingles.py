@@ -7,7 +7,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
 
-BREAK = r"[^\p{L}\p{N}]+"
+BREAK = r"[^\p{L}\p{N} ]+"
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -27,7 +27,7 @@ class Shingler:
     def words(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(hash of each word of all texts, number of words of each text); a null text has none."""
         a = pc.utf8_lower(pc.fill_null(texts, ""))
-        a = pc.utf8_trim_whitespace(pc.replace_substring_regex(a, BREAK, " "))
+        a = pc.utf8_trim_whitespace(pc.replace_substring_regex(pc.replace_substring_regex(a, BREAK, " "), " {2,}", " "))
         lists = pc.split_pattern(a, " ")
         size = np.where(pc.equal(a, "").to_numpy(zero_copy_only=False), 0, pc.list_value_length(lists).to_numpy())
         enc = pc.dictionary_encode(lists.flatten())
