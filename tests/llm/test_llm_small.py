@@ -207,10 +207,21 @@ def test_truncated(spark):
     df = spark.createDataFrame(rows, "doc_id bigint, text string, source string, cut string")
     got = {r.doc_id: r for r in truncated(df).collect()}
     assert {k for k, r in got.items() if r.cut} == set(range(40, 60)) | {62, 64} and 60 not in got and 61 not in got
-    assert got[62].partial_word and got[45].at_limit and not got[62].at_limit and not got[63].cut
+    assert "trie" in got[62].evidence and "length" in got[45].evidence and "length" not in got[62].evidence and not got[63].cut
     assert truncated(df.limit(0)).count() == 0
 
 
+def test_trie_of_long_words_and_of_lines(spark):
+    from textloom.llm.truncation import line_trie, vocabulary_trie
+
+    long = "abcdefgh" + "x" * 60
+    docs = spark.createDataFrame([(f"{long}end {long} abcdefgh abc",), ("All is well\nBest wishes, Ann\nAll is well today.\nAll is well.",), (None,)], "text string")
+    ask = spark.createDataFrame([(x,) for x in ("abc", long, long + "e", "zz", "abcdefghi")], "p string")
+    assert {r.p: (r.passes, r.ends) for r in vocabulary_trie(docs, "text", ask).collect()} == {"abc": (4, 1), long: (2, 1), long + "e": (1, 0)}
+    ask = spark.createDataFrame([("All is well",), ("Best wishes",), ("Best wishes, N",)], "m string")
+    assert {r.m: (r.passes, r.ends) for r in line_trie(docs, "text", ask).collect()} == {"All is well": (3, 1), "Best wishes": (1, 0), "Best wishes, N": (1, 1)}
+
+
 # --- 3 ---
 
 

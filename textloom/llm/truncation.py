@@ -1,13 +1,14 @@
 """Problem 8: text cut off by field limits or in transfer.
 
 A trie of the corpus vocabulary says whether the last token of a text is an unknown proper prefix of known
-words.  The trie is a table of its nodes, (prefix, passes, ends), so it grows with the vocabulary across the
-cluster and is never held in one place; each text looks up the one node of its last token by a join.
-
-Beside the trie stand three kinds of evidence, each from all rows: an open code fence, a last line of prose
-that ends without closing punctuation, and the length, as each source's texts pile up at its limit, in
-characters or bytes.  Closing lines that the corpus uses again and again (sign-offs, totals, versions) are
-found by their masked form and count as complete.
+words.  The trie is a table of its nodes, (prefix, passes, ends), of which only those are built that some text
+asks for, by a join, whatever their length; it is never held in one place.
+
+The trie's word is scored together with the other evidence, each from all rows: the length, as each source's texts
+pile up at its limit, in characters or bytes; a mark of the cut; an open code fence; a last line that is open, that
+is, without closing punctuation.  Against it stands a known closing line (a sign-off, a total, a version): one
+that ends several texts and that, by a trie of lines over masked words, seldom goes on where it stands elsewhere.
+Every row tells which evidence spoke.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ import re
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textloom.plans.materialize import materialize
@@ -26,21 +27,27 @@ MARK = re.compile(r"\s*(?:\[\s*(?:\.{3}|…)\s*\]|\(\s*(?:\.{3}|…)\s*\)|…|\.
 BROKEN = "�"
 CLOSERS = "\"'»”“’*_)]>"
 STOPS = ".!?。！？"
+#: Punctuation after which a line does not end, or which ends a sentence, with closing marks around it.
+PAUSE = r"[\"'»”’*_)\]>]*[.!?。！？,;:…][\"'»”’*_)\]>]*$"
+#: What each piece of evidence adds to the score; from ``CUT`` on a text counts as cut.
+WEIGHTS = {"fence": 4, "broken": 4, "trie": 2, "length": 2, "mark": 2, "open": 2, "closing_line": -3, "remark": -3}
+CUT = 2
 TAIL = re.compile(r"[^\W_]+$")
-SCHEMA = "id {id}, source string, n_chars bigint, n_bytes bigint, kind string, marked boolean, broken boolean, token string, mask string, lower_start boolean, n_words int, closed_before boolean, digest bigint"
+SCHEMA = "id {id}, source string, n_chars bigint, n_bytes bigint, kind string, marked boolean, broken boolean, token string, line string, lower_start boolean, n_words int, closed_before boolean, digest bigint"
 
 
-def mask(line: str) -> str:
-    """A last line without what varies: numbers, addresses, identifiers, tags and names."""
-    line = re.sub(r"\S+@\S+|\w+://\S+", "U", line)
-    line = re.sub(r"#\w+", "#T", line)
-    line = re.sub(r"\b[^\W_]+(?:_[^\W_]+)+\b", "I", line)
-    line = re.sub(r"\d+", "0", line)
-    return re.sub(r"(?<=\s|\[)[^\W\d_a-zа-яіїєґ][^\W\d_]+", "N", line)
+def mask(line: Column) -> Column:
+    """A line without what varies: numbers, addresses, identifiers, tags and names; one space between words."""
+    line = F.regexp_replace(line, r"[^\s]+@[^\s]+|[\p{L}\p{N}_]+://[^\s]+", "U")
+    line = F.regexp_replace(line, r"#[\p{L}\p{N}_]+", "#T")
+    line = F.regexp_replace(line, r"(?<![\p{L}\p{N}_])[\p{L}\p{N}]+(?:_[\p{L}\p{N}]+)+(?![\p{L}\p{N}_])", "I")
+    line = F.regexp_replace(line, r"\p{N}+", "0")
+    line = F.regexp_replace(line, r"(?<=[\s\[])[\p{L}&&[^a-zа-яіїєґ]]\p{L}+", "N")
+    return F.trim(F.regexp_replace(line, r"[\s\p{Z}]+", " "))
 
 
 def tail(text: str) -> tuple:
-    """(kind, marked, broken, token, mask, lower_start, n_words, closed_before) of the end of a text.
+    """(kind, marked, broken, token, line, lower_start, n_words, closed_before) of the end of a text.
 
     kind: ``fence`` an open code fence; ``closed`` ends as a complete text does; ``row``, ``item``, ``heading``,
     ``tags`` an open last line of that sort; ``prose`` an open last line of running text.
@@ -81,7 +88,7 @@ def tail(text: str) -> tuple:
         kind = "closed"
     else:
         kind = "prose"
-    return kind, marked, broken, token, mask(line), line[:1].islower(), len(words), closed_before
+    return kind, marked, broken, token, line, line[:1].islower(), len(words), closed_before
 
 
 def tails(docs: DataFrame, id_col: str, text_col: str, source_col: str) -> DataFrame:
@@ -95,16 +102,37 @@ def tails(docs: DataFrame, id_col: str, text_col: str, source_col: str) -> DataF
     return kept.select(F.col(id_col).alias("id"), F.col(source_col).cast("string").alias("source"), F.col(text_col).alias("t"), F.xxhash64(text_col).alias("h")).mapInPandas(run, SCHEMA.format(id=dict(docs.dtypes)[id_col]))
 
 
-def vocabulary_trie(docs: DataFrame, text_col: str) -> DataFrame:
-    """The nodes of the trie over all words of all texts: (prefix, passes, ends).
+def vocabulary_trie(docs: DataFrame, text_col: str, asked: DataFrame, head: int = 8) -> DataFrame:
+    """(p, passes, ends) of the trie's nodes that ``asked`` (p, without repeats) names, over all words of all texts.
+
+    passes counts the words of the corpus that go through the node, ends those that stop there.  Words give their
+    prefixes up to ``head`` letters, and longer ones only in the lengths of the asked prefixes that start alike,
+    so that a long word costs no more than what is asked of it.
+    """
+    words = docs.where(F.col(text_col).isNotNull()).select(F.explode(F.split(F.lower(text_col), r"[^\p{L}\p{N}]+")).alias("w")).where("w <> ''")
+    count = words.groupBy("w").agg(F.count("*").alias("n"))
+    near = count.select("w", "n", F.explode(F.sequence(F.lit(1), F.least(F.lit(head), F.length("w")))).alias("k"))
+    lengths = asked.where(F.length("p") > head).groupBy(F.substring("p", 1, head).alias("h")).agg(F.collect_set(F.length("p")).alias("ks"))
+    far = count.where(F.length("w") > head).withColumn("h", F.substring("w", 1, head)).join(lengths, "h").select("w", "n", F.explode(F.filter("ks", lambda k: k <= F.length("w"))).alias("k"))
+    nodes = near.unionByName(far).select("n", F.substring("w", F.lit(1), F.col("k")).alias("p"), (F.length("w") == F.col("k")).alias("whole"))
+    return nodes.join(asked, "p", "left_semi").groupBy("p").agg(F.sum("n").alias("passes"), F.sum(F.when(F.col("whole"), F.col("n")).otherwise(0)).alias("ends"))
+
+
+def line_trie(docs: DataFrame, text_col: str, asked: DataFrame, depth: int = 8) -> DataFrame:
+    """(m, passes, ends) of the trie of masked lines, word by word, at the nodes that ``asked`` (m) names.
 
-    passes counts the words of the corpus that go through the node, ends those that stop there.  Words of
-    more than 40 characters stay out; no lookup asks for a longer one.
+    passes counts the lines of all texts that start so, ends those that stop there without closing punctuation.
     """
-    words = docs.where(F.col(text_col).isNotNull()).select(F.explode(F.split(F.lower(text_col), r"[^\p{L}\p{N}]+")).alias("w"))
-    count = words.where(F.length("w").between(1, 40)).groupBy("w").agg(F.count("*").alias("n"))
-    nodes = count.select("n", "w", F.explode(F.transform(F.sequence(F.lit(1), F.length("w")), lambda k: F.substring("w", F.lit(1), k))).alias("prefix"))
-    return nodes.groupBy("prefix").agg(F.sum("n").alias("passes"), F.sum(F.when(F.col("prefix") == F.col("w"), F.col("n")).otherwise(0)).alias("ends"))
+    head = lambda x: F.regexp_replace(F.regexp_extract(x, r"^([^\s\p{Z}]*)", 1), PAUSE, "")
+    lines = docs.where(F.col(text_col).isNotNull()).select(F.explode(F.split(text_col, "\n")).alias("x")).where(F.col("x").rlike(r"\S")).select(F.regexp_replace("x", r"^\s+|\s+$", "").alias("x"))
+    # most lines start with a word that starts no asked line
+    lines = lines.withColumn("h", head(mask(F.regexp_extract("x", r"^([^\s\p{Z}]*)", 1)))).join(asked.select(head(F.col("m")).alias("h")).distinct(), "h", "left_semi")
+    lines = lines.select(F.split(mask(F.col("x")), " ", depth + 1).alias("w"))
+    at = lines.select("w", F.explode(F.sequence(F.lit(1), F.least(F.lit(depth), F.size("w")))).alias("k"))
+    text = F.array_join(F.slice("w", F.lit(1), F.col("k")), " ")
+    bare = F.regexp_replace(text, PAUSE, "")
+    nodes = at.select(bare.alias("m"), ((F.size("w") == F.col("k")) & (bare == text)).alias("stops"))
+    return nodes.join(asked, "m", "left_semi").groupBy("m").agg(F.count("*").alias("passes"), F.sum(F.col("stops").cast("bigint")).alias("ends"))
 
 
 def length_limits(ends: DataFrame, *, least_rows: int = 4, least_share: float = 0.008, times: float = 6.0) -> DataFrame:
@@ -121,41 +149,49 @@ def length_limits(ends: DataFrame, *, least_rows: int = 4, least_share: float =
     return pair.where((F.col("k") >= least_rows) & (F.col("k") >= least_share * F.col("total")) & (F.col("k") >= times * F.col("mean"))).select("source", "unit", F.col("n").alias("limit"))
 
 
-def truncated(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", unknown_ratio: float = 50.0, formula_share: float = 0.001, formula_rows: int = 8) -> DataFrame:
-    """Every non-blank text with its evidence and the verdict ``cut``:
-    (id_col, source, kind, marked, at_limit, partial_word, formula, cut).
+def truncated(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", unknown_ratio: float = 50.0, closing_texts: int = 8, closing_words: int = 8) -> DataFrame:
+    """Every non-blank text with its evidence and the verdict ``cut``: (id_col, source, kind, evidence, score, cut).
+
+    ``evidence`` lists what speaks for a cut or against it: fence and broken (half a character) by themselves; trie (the last token
+    is a proper prefix of words that are ``unknown_ratio`` times as frequent), length (at a limit of the source) and
+    mark (an ellipsis or the like) for texts whose last line is not closed; open (its last line is running text or a table row); closing_line
+    (the last line ends at least ``closing_texts`` different texts, seldom at a limit, and half of the lines that
+    start so end there) and remark (a few words in lower case after closed text).
 
     Null and blank texts give no row; a null source is a source of its own; repeated rows give repeated rows;
     very long texts are read whole; an empty table gives an empty result.  Only the three named columns are
     read, so other columns may have any names.
     """
-    ends = materialize(tails(docs, id_col, text_col, source_col), "tails")  # read four times below
-    trie = vocabulary_trie(docs, text_col).withColumnRenamed("prefix", "p")
-    limits = length_limits(ends)
-    at = {u: limits.where(F.col("unit") == u).select(F.col("source").alias(f"s_{u}"), F.col("limit").alias(f"l_{u}")) for u in ("chars", "bytes")}
+    ends = materialize(tails(docs, id_col, text_col, source_col), "tails").withColumn("m", mask(F.col("line")))
+    limits = materialize(length_limits(ends), "limits")
     e = ends
     for u in ("chars", "bytes"):
-        e = e.join(at[u], e["source"].eqNullSafe(F.col(f"s_{u}")) & (F.col(f"n_{u}") == F.col(f"l_{u}")), "left")
+        at = limits.where(F.col("unit") == u).select(F.col("source").alias(f"s_{u}"), F.col("limit").alias(f"l_{u}"))
+        e = e.join(at, e["source"].eqNullSafe(F.col(f"s_{u}")) & (F.col(f"n_{u}") == F.col(f"l_{u}")), "left")
     e = e.withColumn("at_limit", F.col("l_chars").isNotNull() | F.col("l_bytes").isNotNull())
-    total = ends.agg(F.count("*").alias("all_rows"))
     # copies of one text say nothing about its last line, so different texts are counted
-    masks = e.where(F.col("n_words") <= 8).groupBy(F.col("mask").alias("m")).agg(F.countDistinct("digest").alias("k"), F.avg(F.col("at_limit").cast("int")).alias("share")).crossJoin(F.broadcast(total))  # one row
-    formula = masks.where((F.col("k") >= F.greatest(F.lit(formula_rows), F.col("all_rows") * formula_share)) & (F.col("share") < 0.3)).select("m", F.lit(True).alias("known_line"))
-    e = e.join(formula, F.col("mask") == F.col("m"), "left").join(trie, F.col("token") == F.col("p"), "left")
-    alpha = F.col("token").rlike(r"^\p{L}+$")
-    e = e.withColumn("partial_word", F.coalesce(alpha & (F.col("passes") - F.col("ends") > 0) & (F.col("ends") * unknown_ratio < F.col("passes")), F.lit(False)))
-    e = e.withColumn("formula", F.coalesce("known_line", F.lit(False)) | ((F.col("n_words") <= 4) & F.col("lower_start") & F.col("closed_before") & ~F.col("at_limit") & ~F.col("partial_word")))
-    open_line = F.col("kind").isin("row", "heading", "item", "tags")
-    cut = (
-        F.when(F.col("kind") == "fence", True)
-        .when(F.col("broken"), True)
-        .when(F.col("formula") & ~(F.col("partial_word") & F.col("at_limit")), False)
-        .when(F.col("kind") == "closed", False)
-        .when(F.col("kind").isin("prose", "row"), True)
-        .when(open_line, F.col("partial_word") | F.col("at_limit") | F.col("marked"))
-        .otherwise(False)
-    )
-    return e.select(F.col("id").alias(id_col), "source", "kind", "marked", "at_limit", "partial_word", "formula", cut.alias("cut"))
+    often = e.where(F.col("n_words") <= closing_words).groupBy("m").agg(F.countDistinct("digest").alias("k"), F.avg(F.col("at_limit").cast("int")).alias("share")).where((F.col("k") >= closing_texts) & (F.col("share") < 0.3)).select("m")
+    closing = line_trie(docs, text_col, materialize(often, "often"), closing_words).where(2 * F.col("ends") >= F.col("passes")).select("m", F.lit(True).alias("known_line"))
+    e = e.join(closing, "m", "left")
+    # only tokens of letters are looked up; texts without one take no part in the join
+    word = F.col("token").rlike(r"^\p{L}+$") & (F.col("kind") != "closed")
+    trie = vocabulary_trie(docs, text_col, e.where(word).select(F.col("token").alias("p")).distinct())
+    part = trie.where((F.col("passes") > F.col("ends")) & (F.col("ends") * unknown_ratio < F.col("passes"))).select("p", F.lit(True).alias("partial"))
+    e = e.withColumn("asked", F.when(word, F.col("token"))).join(part, F.col("asked") == F.col("p"), "left").withColumn("partial_word", F.coalesce("partial", F.lit(False)))
+    not_closed, fence = F.col("kind") != "closed", F.col("kind") == "fence"
+    speaks = {
+        "fence": fence,
+        "broken": F.col("broken"),
+        "trie": F.col("partial_word"),
+        "length": not_closed & F.col("at_limit"),
+        "mark": not_closed & F.col("marked"),
+        "open": F.col("kind").isin("prose", "row"),
+        "closing_line": ~fence & F.coalesce("known_line", F.lit(False)),
+        "remark": ~fence & (F.col("n_words") <= 4) & F.col("lower_start") & F.col("closed_before") & ~F.col("at_limit") & ~F.col("partial_word"),
+    }
+    evidence = F.filter(F.array(*[F.when(c, F.lit(k)) for k, c in speaks.items()]), lambda x: x.isNotNull())
+    score = sum(F.when(c, F.lit(WEIGHTS[k])).otherwise(F.lit(0)) for k, c in speaks.items())
+    return e.select(F.col("id").alias(id_col), "source", "kind", evidence.alias("evidence"), score.alias("score"), (score >= CUT).alias("cut"))
 
 
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -164,9 +200,10 @@ def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p8_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """How often each source cuts: its texts, cut ones, their share and those at a length limit."""
+    """How often each source cuts: its texts, cut ones and their share, and how many of those each evidence speaks for."""
     t = truncated(table(spark, sf_dir, "documents"))
-    return t.groupBy("source").agg(F.count("*").alias("n_texts"), F.sum(F.col("cut").cast("bigint")).alias("n_cut"), F.round(F.avg(F.col("cut").cast("double")), 6).alias("share_cut"), F.sum((F.col("cut") & F.col("at_limit")).cast("bigint")).alias("n_at_limit"))
+    by = [F.sum((F.col("cut") & F.array_contains("evidence", k)).cast("bigint")).alias(f"n_{k}") for k in ("fence", "trie", "length", "mark", "open")]
+    return t.groupBy("source").agg(F.count("*").alias("n_texts"), F.sum(F.col("cut").cast("bigint")).alias("n_cut"), F.round(F.avg(F.col("cut").cast("double")), 6).alias("share_cut"), *by)
 
 
 QUERIES = {"p8_found": p8_found, "p8_sources": p8_sources}
