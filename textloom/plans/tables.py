@@ -12,4 +12,4 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def table_bytes(df: DataFrame) -> int:
     """Catalyst's size estimate of a plan in bytes, used to decide whether a side may be broadcast."""
-    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
