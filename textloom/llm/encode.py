@@ -71,7 +71,7 @@ def byte_chars() -> dict[int, str]:
 class RecursiveBpe:
     """Contracts words with DuckDB; one per task."""
 
-    def __init__(self, vocabulary: str, max_recursive_bytes: int = 1024, memory_words: int = 2_000_000) -> None:
+    def __init__(self, vocabulary: str, max_recursive_bytes: int = 4096, memory_words: int = 2_000_000, step_bytes: int = 4_000_000) -> None:
         with open(vocabulary, encoding="utf-8") as f:
             model = json.load(f)["model"]
         vocab = model["vocab"]
@@ -84,7 +84,7 @@ class RecursiveBpe:
         merges = pa.table({"a": a, "b": b, "rank": np.arange(len(a), dtype=np.int32), "new": new})
         self.db.register("merges_arrow", merges)
         self.db.execute("CREATE TABLE merges AS SELECT * FROM merges_arrow")
-        self.max_recursive_bytes, self.memory_words = max_recursive_bytes, memory_words
+        self.max_recursive_bytes, self.memory_words, self.step_bytes = max_recursive_bytes, memory_words, step_bytes
         self.known: dict[str, list[int]] = {}
         self.split = regex.compile(PATTERN)
 
@@ -110,22 +110,28 @@ class RecursiveBpe:
         return [t for t in tok if t >= 0]
 
     def learn(self, words: list[str]) -> None:
-        """Contract words that are not known yet."""
+        """Contract words that are not known yet, ``step_bytes`` at a time, so that a recursion's rows have a bound."""
         coded = [w.encode("utf-8", "replace") for w in words]
         short = [k for k, c in enumerate(coded) if len(c) <= self.max_recursive_bytes]
         for k in set(range(len(words))) - set(short):
             self.known[words[k]] = self.heap(coded[k])
-        if not short:
-            return
-        size = np.array([len(coded[k]) for k in short], dtype=np.int64)
+        total = np.cumsum([len(coded[k]) for k in short]) if short else np.zeros(0, np.int64)
+        a = 0
+        while a < len(short):
+            b = max(a + 1, int(np.searchsorted(total, (total[a - 1] if a else 0) + self.step_bytes, side="right")))
+            self.contract([(words[k], coded[k]) for k in short[a:b]])
+            a = b
+
+    def contract(self, words: list[tuple[str, bytes]]) -> None:
+        size = np.array([len(c) for _, c in words], dtype=np.int64)
         first = np.cumsum(size) - size
-        tok = self.of_byte[np.frombuffer(b"".join(coded[k] for k in short), dtype=np.uint8)]
-        start = pa.table({"word": np.repeat(np.arange(len(short), dtype=np.int32), size), "pos": (np.arange(len(tok)) - np.repeat(first, size)).astype(np.int32), "tok": tok})
+        tok = self.of_byte[np.frombuffer(b"".join(c for _, c in words), dtype=np.uint8)]
+        start = pa.table({"word": np.repeat(np.arange(len(words), dtype=np.int32), size), "pos": (np.arange(len(tok)) - np.repeat(first, size)).astype(np.int32), "tok": tok})
         self.db.register("start", start)
         got = self.db.sql(CONTRACT).to_arrow_table()
         self.db.unregister("start")
         for k, ids in zip(got["word"].to_pylist(), got["ids"].to_pylist()):
-            self.known[words[short[k]]] = ids
+            self.known[words[k][0]] = ids
 
     def encode(self, texts: list[str | None]) -> pa.ListArray:
         """A list of ids for each text; an empty list for an empty or null one."""
@@ -140,7 +146,7 @@ class RecursiveBpe:
         return pa.array(ids, pa.list_(pa.int32()))
 
 
-def encode_corpus(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", vocabulary: str = f"{TOKENIZERS}/byte_bpe_50k.json", max_recursive_bytes: int = 1024, memory_words: int = 2_000_000) -> DataFrame:
+def encode_corpus(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", vocabulary: str = f"{TOKENIZERS}/byte_bpe_50k.json", max_recursive_bytes: int = 4096, memory_words: int = 2_000_000) -> DataFrame:
     """(id_col, ids): the token ids of every row, in the same partitioning, without a shuffle.
 
     Null and empty texts give an empty list; blank texts are encoded as they are; repeated rows give

@@ -184,22 +184,24 @@ def fit(samples: list[tuple[str, str]], rows: list[tuple[str, str]], bits: int =
     return codes
 
 
-def label_languages(sections: DataFrame, samples: DataFrame, *, id_col: str = "section_id", text_col: str = "text", label_col: str = "lang", sample_lang: str = "lang", sample_text: str = "text", max_rows: int = 4000, bits: int = 15, sure: float = 0.05, least_words: int = 3) -> DataFrame:
+def label_languages(sections: DataFrame, samples: DataFrame, *, id_col: str = "section_id", text_col: str = "text", label_col: str = "lang", sample_lang: str = "lang", sample_text: str = "text", max_rows: int = 4000, max_samples: int = 100_000, bits: int = 15, sure: float = 0.05, least_words: int = 3) -> DataFrame:
     """(id_col, label, lang, confidence, n_langs, lines) of each row of ``sections``.
 
     ``lines`` holds (line_no, lang, confidence, ambiguous) of each non-blank line outside fenced code; lang is
     the language of most words.  A row without such lines (null, empty and blank texts among them) has a null
     lang and no lines.  Null labels, blank ones and ``und`` are null.  Of two languages with equal loss the
-    first by name wins.  Repeated rows give repeated rows; very long texts are read whole; an empty table
+    first by name wins.  Only the languages of the samples are known, so text in another one gets that among them that
+    is least unlike it, with a low confidence.  The classifiers see at most ``max_samples`` sample sentences and twice
+    ``max_rows`` rows, those first by a hash, so that a fit on the same rows is the same.  Repeated rows give repeated rows; very long texts are read whole; an empty table
     gives an empty result; other columns are not read.
     """
     spark = sections.sparkSession
-    own = [(r[0].strip().lower(), r[1]) for r in samples.where(F.col(sample_lang).isNotNull() & F.col(sample_text).isNotNull()).select(sample_lang, sample_text).limit(100_000).collect()]
+    own = [(r[0].strip().lower(), r[1]) for r in samples.where(F.col(sample_lang).isNotNull() & F.col(sample_text).isNotNull()).select(sample_lang, sample_text).orderBy(F.xxhash64(sample_text), sample_text, sample_lang).limit(max_samples).collect()]
     if not own:
         raise ValueError("there are no sample sentences")
     labelled = sections.select(clean_label(F.col(label_col)).alias("x"), F.col(text_col).alias("t"), F.xxhash64(F.col(id_col)).alias("h")).where("x IS NOT NULL AND t IS NOT NULL")
     share = min(1.0, max_rows / max(sections.count(), 1))
-    picked = labelled.where(F.pmod("h", F.lit(1 << 30)) < int(share * (1 << 30)) + 1).limit(2 * max_rows)
+    picked = labelled.where(F.pmod("h", F.lit(1 << 30)) < int(share * (1 << 30)) + 1).orderBy("h", "x", "t").limit(2 * max_rows)
     model = fit(own, sorted((r[0], r[1]) for r in picked.select("x", "t").collect()), bits)
     shared = spark.sparkContext.broadcast(model)
     kind = dict(sections.dtypes)[id_col]

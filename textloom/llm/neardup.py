@@ -31,9 +31,9 @@ from pyspark.sql import functions as F
 from textloom.llm.shingles import Shingler, mix
 from textloom.operators.components import connected_components
 from textloom.plans.materialize import materialize
-from textloom.plans.tables import table
+from textloom.plans.tables import table, table_bytes
 
-SLAB = 1 << 14
+SLAB = 1 << 10
 EIGHTH = 8  # steps of the count levels in one doubling
 
 
@@ -53,23 +53,6 @@ def set_ids(doc: np.ndarray, s: np.ndarray, n_docs: int) -> tuple[np.ndarray, np
     return out.view(np.int64), size
 
 
-def spark_key(part: int, parts: int) -> int:
-    """An int that Spark's hash partitioning sends to ``part`` of ``parts``: Murmur3 of an int with seed 42."""
-    k = 0
-    while True:
-        x = k * 0xCC9E2D51 & 0xFFFFFFFF
-        x = (x << 15 | x >> 17) * 0x1B873593 & 0xFFFFFFFF
-        h = 42 ^ x
-        h = ((h << 13 | h >> 19) & 0xFFFFFFFF) * 5 + 0xE6546B64 & 0xFFFFFFFF
-        h ^= 4
-        h = (h ^ h >> 16) * 0x85EBCA6B & 0xFFFFFFFF
-        h = (h ^ h >> 13) * 0xC2B2AE35 & 0xFFFFFFFF
-        h ^= h >> 16
-        if (h - (1 << 32) if h >= 1 << 31 else h) % parts == part:
-            return k
-        k += 1
-
-
 def count_shingles(docs: DataFrame, k: int, bits: int) -> DataFrame:
     """One pass over the texts: rows (slab, counts) of the sketch of each task, and rows (id, set_id, n)."""
     kind = dict(docs.dtypes)["i"]
@@ -85,7 +68,7 @@ def count_shingles(docs: DataFrame, k: int, bits: int) -> DataFrame:
             nothing = int(full.sum())
             yield pa.RecordBatch.from_arrays([pa.nulls(nothing, pa.int32()), pa.nulls(nothing, pa.binary()), batch.column(0).filter(pa.array(full)), pa.array(ids[full]), pa.array(size[full].astype(np.int32))], names=names)
         if sketch.any():
-            slabs = sketch.astype(np.int32).reshape(-1, SLAB)
+            slabs = sketch.reshape(-1, SLAB)
             n = len(slabs)
             yield pa.RecordBatch.from_arrays([pa.array(np.arange(n, dtype=np.int32)), pa.array([x.tobytes() for x in slabs], pa.binary()), pa.nulls(n, pa_type(kind)), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int32())], names=names)
 
@@ -96,21 +79,30 @@ def pa_type(kind: str) -> pa.DataType:
     return {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[kind]
 
 
+def add_slabs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The sums of the slabs of a partition, added as they come."""
+    total: dict[int, np.ndarray] = {}
+    for batch in batches:
+        for slab, counts in zip(batch.column(0).to_pylist(), batch.column(1)):
+            own = np.frombuffer(counts.as_buffer(), dtype=np.int64)
+            total[slab] = total[slab] + own if slab in total else own
+    if total:
+        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([x.tobytes() for x in total.values()], pa.binary())], names=["slab", "counts"])
+
+
 def sketch_levels(counted: DataFrame, bits: int) -> np.ndarray:
-    """The level of each bucket, 8 log2(1 + count); its size is fixed, 2 ** bits bytes."""
-
-    def add(key: tuple, pdf):  # noqa: ANN001
-        total = np.zeros(SLAB, dtype=np.int64)
-        for c in pdf["counts"]:
-            total += np.frombuffer(c, dtype=np.int32)
-        level = np.minimum(np.round(EIGHTH * np.log2(1 + total)), 255).astype(np.uint8)
-        return type(pdf)({"slab": [key[0]], "levels": [level.tobytes()]})
-
-    rows = counted.where("slab IS NOT NULL").groupBy("slab").applyInPandas(add, "slab int, levels binary").collect()
-    out = np.zeros(1 << bits, dtype=np.uint8)
-    for r in rows:
-        out[r["slab"] * SLAB : (r["slab"] + 1) * SLAB] = np.frombuffer(r["levels"], dtype=np.uint8)
-    return out
+    """The level of each bucket, 8 log2(1 + count); its size is fixed, 2 ** bits bytes.
+
+    The sketches of the tasks are added in two steps, so that no task receives more than a share of them.  From each
+    count the mean of all buckets is taken away, which is what other shingles add to it.
+    """
+    rows = counted.where("slab IS NOT NULL").select("slab", "counts")
+    some = rows.repartition("slab", F.pmod(F.xxhash64("counts"), F.lit(64))).mapInArrow(add_slabs, "slab int, counts binary")
+    total = np.zeros(1 << bits, dtype=np.int64)
+    for r in some.repartition("slab").mapInArrow(add_slabs, "slab int, counts binary").toLocalIterator():
+        total[r["slab"] * SLAB : (r["slab"] + 1) * SLAB] = np.frombuffer(r["counts"], dtype=np.int64)
+    total = np.maximum(total - int(total.mean()), 0)
+    return np.minimum(np.round(EIGHTH * np.log2(1 + total)), 255).astype(np.uint8)
 
 
 def prefix_lists(docs: DataFrame, levels, k: int, t: float, parts: int, hot: int) -> DataFrame:  # noqa: ANN001
@@ -119,7 +111,6 @@ def prefix_lists(docs: DataFrame, levels, k: int, t: float, parts: int, hot: int
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler, level = Shingler(k), levels.value
         bits = np.uint64(len(level) - 1)
-        keys = np.array([spark_key(p, parts) for p in range(parts)], dtype=np.int32)
         for batch in batches:
             doc, s = shingler.shingles(batch.column(1))
             ids, size = set_ids(doc, s, batch.num_rows)
@@ -161,7 +152,7 @@ def prefix_lists(docs: DataFrame, levels, k: int, t: float, parts: int, hot: int
             d = doc[starts]
             yield pa.RecordBatch.from_arrays(
                 [
-                    pa.array(keys[part[starts]]), pa.array(ids[d]), pa.array(size[d].astype(np.int32)), pa.array(parity[0, d].view(np.int64)), pa.array(parity[1, d].view(np.int64)),
+                    pa.array(part[starts].astype(np.int32)), pa.array(ids[d]), pa.array(size[d].astype(np.int32)), pa.array(parity[0, d].view(np.int64)), pa.array(parity[1, d].view(np.int64)),
                     pa.ListArray.from_arrays(offsets, pa.array((token >> np.uint64(32)).astype(np.uint32).view(np.int32))), pa.ListArray.from_arrays(offsets, pa.array(np.minimum(place, 32767).astype(np.int16))),
                 ],
                 names=["part", "set_id", "n", "b0", "b1", "tokens", "places"],
@@ -229,7 +220,7 @@ def candidates(lists: DataFrame, t: float, parts: int) -> DataFrame:
         for p in probe_lists(token[order], doc[order], place[order], n, ids, bitmaps, t):
             yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(p[:, 0])), pa.array(np.ascontiguousarray(p[:, 1]))], names=["sa", "sb"])
 
-    return lists.repartition(parts, "part").mapInArrow(run, "sa bigint, sb bigint").distinct()
+    return lists.repartitionById(parts, "part").mapInArrow(run, "sa bigint, sb bigint").distinct()
 
 
 def divide_skip(query: np.ndarray, sets: list[np.ndarray], t: float, mu: float = 0.01) -> list[tuple[int, int]]:
@@ -317,17 +308,20 @@ def verify(pairs: DataFrame, texts: DataFrame, k: int, t: float, group: int) ->
     return rows.repartition("sa", "salt").sortWithinPartitions("sa", "salt").mapInArrow(run, "sa bigint, sb bigint")
 
 
-def similar_sets(docs: DataFrame, *, id_col: str = "section_id", text_col: str = "text", k: int = 3, threshold: float = 0.7, sketch_bits: int = 20, hot: int = 20_000, group: int = 2000) -> tuple[DataFrame, DataFrame]:
+def similar_sets(docs: DataFrame, *, id_col: str = "section_id", text_col: str = "text", k: int = 3, threshold: float = 0.7, sketch_bits: int | None = None, hot: int = 20_000, group: int = 2000, part_entries: int = 2_000_000) -> tuple[DataFrame, DataFrame]:
     """(members, pairs): each row's set (id, set_id, n), and the similar pairs of distinct sets (sa, sb).
 
     Texts of fewer than ``k`` words have no shingle and take no part; null texts neither.  Ids must be
-    unique.
+    unique.  The sketch has 2 ** ``sketch_bits`` counts, by default as the size of the table asks for, from 2 ** 20
+    to 2 ** 24; the lists are spread over so many partitions that each holds about ``part_entries`` entries.
     """
     spark = docs.sparkSession
+    sketch_bits = sketch_bits or min(24, max(20, int(math.log2(max(table_bytes(docs), 1))) - 6))
     d = docs.where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).alias("i"), F.col(text_col).alias("t"))
-    parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     counted = materialize(count_shingles(d, k, sketch_bits), "shingles")
     members = counted.where("slab IS NULL").select("id", "set_id", "n")
+    entries = members.agg(F.sum(F.col("n") - F.ceil(F.col("n") * threshold) + 1).alias("e")).first()["e"] or 0
+    parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")), -(-int(entries) // part_entries))
     levels = spark.sparkContext.broadcast(sketch_levels(counted, sketch_bits))
     pairs = materialize(candidates(prefix_lists(d, levels, k, threshold, parts, hot), threshold, parts), "candidates")
     ends = pairs.select(F.col("sa").alias("set_id")).unionByName(pairs.select(F.col("sb").alias("set_id"))).distinct()
@@ -336,19 +330,28 @@ def similar_sets(docs: DataFrame, *, id_col: str = "section_id", text_col: str =
     return members, verify(pairs, texts, k, threshold, group)
 
 
-def similar_pairs(docs: DataFrame, *, id_col: str = "section_id", **how) -> DataFrame:
+def similar_pairs(docs: DataFrame, *, id_col: str = "section_id", class_rows: int = 1000, **how) -> DataFrame:
     """({id_col}_a, {id_col}_b), a < b: every pair of rows whose texts reach the similarity.
 
     Rows with equal sets of shingles are pairs too; a row that is repeated with its id counts once.  Null texts and texts of fewer than k words give no pair;
     an empty table gives an empty result; other columns are not read, whatever their names.
+
+    The result has c * c / 2 pairs for c copies of a text, so a class of more than ``class_rows`` rows is cut into
+    blocks, and each pair of blocks is joined by itself.
     """
     members, pairs = similar_sets(docs, id_col=id_col, **how)
     members = members.select("id", "set_id").distinct()  # repeated rows of one id are one row
-    a, b = members.select(F.col("set_id").alias("sa"), F.col("id").alias("x")), members.select(F.col("set_id").alias("sb"), F.col("id").alias("y"))
-    across = pairs.join(a, "sa").join(b, "sb").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).where("a < b")
-    copied = members.groupBy("set_id").agg(F.count("*").alias("c")).where("c > 1").select("set_id")
-    own = members.join(copied, "set_id", "left_semi")
-    within = own.select("set_id", F.col("id").alias("a")).join(own.select("set_id", F.col("id").alias("b")), "set_id").where("a < b").select("a", "b")
+    size = members.groupBy("set_id").agg(F.count("*").alias("c")).select("set_id", "c", F.ceil(F.col("c") / class_rows).cast("int").alias("blocks"))
+    members = materialize(members.join(size, "set_id").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")), "members")
+    every = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
+    cells = pairs.join(size.select(F.col("set_id").alias("sa"), F.col("blocks").alias("na")), "sa").join(size.select(F.col("set_id").alias("sb"), F.col("blocks").alias("nb")), "sb")
+    cells = cells.select("sa", "sb", "nb", every(F.col("na")).alias("ka")).select("sa", "sb", "ka", every(F.col("nb")).alias("kb"))
+    a, b = (members.select(F.col("set_id").alias(f"s{x}"), F.col("block").alias(f"k{x}"), F.col("id").alias(v)) for x, v in (("a", "x"), ("b", "y")))
+    across = cells.join(a, ["sa", "ka"]).join(b, ["sb", "kb"]).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).where("a < b")
+    copied = members.where("c > 1").select("set_id", "id", "block", every(F.col("blocks")).alias("other"))
+    own = copied.select("set_id", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "id", "block")
+    both = own.withColumnsRenamed({"id": "a", "block": "ba"}).join(own.withColumnsRenamed({"id": "b", "block": "bb"}), ["set_id", "lo", "hi"])
+    within = both.where("a < b AND (lo = hi OR ba <> bb)").select("a", "b")
     return across.unionByName(within).select(F.col("a").alias(f"{id_col}_a"), F.col("b").alias(f"{id_col}_b"))
 
 

@@ -2,28 +2,14 @@
 
 from __future__ import annotations
 
-import importlib
+from textloom.llm import boilerplate, encode, langid, leakage, neardup, repeated_lines, residue, truncation
 
-MODULES = ("boilerplate", "residue", "langid", "neardup", "repeated_lines", "encode", "leakage", "truncation")
+MODULES = (boilerplate, residue, langid, neardup, repeated_lines, encode, leakage, truncation)
 
 
 def queries() -> dict:
-    out: dict = {}
-    for name in MODULES:
-        try:
-            out |= importlib.import_module(f"textloom.llm.{name}").QUERIES
-        except ModuleNotFoundError as e:
-            if e.name != f"textloom.llm.{name}":
-                raise
-    return out
+    return {name: q for m in MODULES for name, q in m.QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    out: dict = {}
-    for name in MODULES:
-        try:
-            out |= importlib.import_module(f"textloom.llm.{name}").SQL
-        except ModuleNotFoundError as e:
-            if e.name != f"textloom.llm.{name}":
-                raise
-    return out
+    return {name: q for m in MODULES for name, q in m.SQL.items()}
