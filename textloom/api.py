@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import hashlib
 import os
 from dataclasses import dataclass
 
@@ -15,7 +14,7 @@ from textloom.operators.chunking import chunk_documents
 from textloom.operators.crawl import PageSource, crawl
 from textloom.operators.search import Reranker, search
 from textloom.operators.store import Store
-from textloom.operators.vector import Embedder
+from textloom.operators.vector import Embedder, HashEmbedder, embed
 from textloom.plans.materialize import materialize
 from textloom.schema import QUERIES
 from textloom.sources import remote
@@ -43,20 +42,26 @@ class Report:
 
 class Engine:
     def __init__(self, spark: SparkSession, folder: str, *, embedder: Embedder | None = None, reranker: Reranker | None = None) -> None:
-        self.spark, self.store, self.embedder, self.reranker = spark, Store(spark, folder), embedder, reranker
+        self.spark, self.store, self.embedder, self.reranker = spark, Store(spark, folder), embedder or HashEmbedder(), reranker
+
+    def _stored(self, fresh: DataFrame) -> DataFrame:
+        """Chunks with their vectors, written once: a text is embedded when it is indexed, not when it is searched."""
+        return materialize(embed(fresh, "text", self.embedder), "chunks")
 
     def index_documents(self, root: str, collection: str = SETTINGS.default_collection, force: bool = False) -> Report:
         """Index the added and changed files of a folder and forget the deleted ones."""
         root = os.path.normpath(root)
-        files = materialize(read_files(list_files(self.spark, root)), "files")
-        if files.isEmpty() and self.store.manifest().where((F.col("collection") == collection) & (F.col("root") == root)).isEmpty():
+        # files are hashed first; only added and changed ones are converted
+        paths = materialize(list_files(self.spark, root), "paths")
+        files = materialize(read_files(paths, text=False).select("path", "md5"), "files")
+        if files.isEmpty() and self.store.manifest(collection).where(F.col("root") == root).isEmpty():
             raise IndexingError(f"there is no supported file in {root}")
-        states = materialize(self.store.changes(collection, root, files.select("path", "md5"), force), "states")
-        todo = files.join(states.where(F.col("state").isin("added", "changed")).select("path"), "path", "left_semi")
-        fresh = materialize(chunk_documents(todo, collection=collection, raw="raw"), "chunks")
+        states = materialize(self.store.changes(collection, root, files, force), "states")
+        todo = states.where(F.col("state").isin("added", "changed")).select("path")
+        fresh = self._stored(chunk_documents(read_files(todo), collection=collection, raw="raw"))
         count = {r["state"]: r["count"] for r in states.groupBy("state").count().collect()}
         if sum(count.get(s, 0) for s in ("added", "changed", "deleted")):
-            self.store.apply(collection, root, files.select("path", "md5"), states, fresh)
+            self.store.apply(collection, root, files, states, fresh)
         cats = {r[0]: r[1] for r in fresh.groupBy("category").count().collect()}
         kinds = {r[0]: r[1] for r in todo.groupBy(F.lower(F.regexp_extract("path", r"(\.[^./]+)$", 1))).count().collect()}
         return Report(collection, count.get("added", 0) + count.get("changed", 0), sum(cats.values()), count.get("unchanged", 0), count.get("deleted", 0), self.store.chunks(collection).count(), cats, kinds)
@@ -69,17 +74,16 @@ class Engine:
         path = os.path.normpath(path)
         if not os.path.isfile(path):
             raise IndexingError(f"there is no file {path}")
-        files = read_files(self.spark.createDataFrame([(path,)], "path string"))
-        fresh = materialize(chunk_documents(files, collection=collection, raw="raw"), "chunks")
-        self.store.replace_sources(collection, fresh, self.spark.createDataFrame([(path,)], "source string"))
-        with open(path, "rb") as f:
-            self.store.patch_manifest(collection, os.path.normpath(root or os.path.dirname(path)), path, hashlib.md5(f.read()).hexdigest())  # noqa: S324
+        files = materialize(read_files(self.spark.createDataFrame([(path,)], "path string")), "files")
+        fresh = self._stored(chunk_documents(files, collection=collection, raw="raw"))
+        own = os.path.normpath(root or os.path.dirname(path))
+        self.store.replace_sources(collection, fresh, self.spark.createDataFrame([(path,)], "source string"), files.select(F.lit(own).alias("root"), "path", "md5"))
         return fresh.count()
 
     def index_pages(self, pages: DataFrame, collection: str = SETTINGS.default_collection) -> int:
         """Replace the chunks of each page's URL; returns the number of new chunks."""
         pages = materialize(pages.select("url", "content"), "pages")
-        fresh = materialize(chunk_documents(pages, collection=collection, path="url", text="content", web=True), "chunks")
+        fresh = self._stored(chunk_documents(pages, collection=collection, path="url", text="content", web=True))
         self.store.replace_sources(collection, fresh, pages.select(F.col("url").alias("source")))
         return fresh.count()
 
@@ -100,10 +104,12 @@ class Engine:
 
     def search(self, queries: DataFrame | str, **one) -> DataFrame:
         """Results of a relation of queries, or of one query text (with n_results, category, filename, collection)."""
+        only = None  # a request for one collection reads no other
         if isinstance(queries, str):
-            row = (0, queries, one.get("n_results", 5), one.get("category"), one.get("filename"), one.get("collection", SETTINGS.default_collection))
+            only = one.get("collection", SETTINGS.default_collection)
+            row = (0, queries, one.get("n_results", 5), one.get("category"), one.get("filename"), only)
             queries = self.spark.createDataFrame([row], QUERIES)
-        return search(queries, self.store.chunks(), embedder=self.embedder, reranker=self.reranker, index=self.store.bm25_index())
+        return search(queries, self.store.chunks(only), embedder=self.embedder, reranker=self.reranker, index=self.store.bm25_index(only))
 
     def status(self, collection: str = SETTINGS.default_collection) -> DataFrame:
         return stats.status(self.store.chunks(collection))

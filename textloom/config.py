@@ -49,3 +49,7 @@ class SearchError(TextloomError):
 
 class CollectionError(TextloomError):
     pass
+
+
+class StoreError(TextloomError):
+    pass

@@ -46,28 +46,32 @@ def doc_stats(chunks: DataFrame, *, text: str = "text", collection: str | None =
     return size.groupBy("collection").agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
 
 
-def term_stats(post: DataFrame, stats: DataFrame, epsilon: float = 0.25) -> DataFrame:
-    """(collection, term, df, idf) with the floor for terms that are in more than half of the chunks."""
-    df = post.groupBy("collection", "term").agg(F.count("*").alias("df"))
+def term_stats(post: DataFrame, stats: DataFrame, epsilon: float = 0.25, counted: bool = False) -> DataFrame:
+    """(collection, term, df, idf) with the floor for terms that are in more than half of the chunks; ``counted`` says
+    that ``post`` has (collection, term, df) already."""
+    df = post if counted else post.groupBy("collection", "term").agg(F.count("*").alias("df"))
     raw = df.join(stats, "collection").withColumn("raw", F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
     mean = raw.groupBy("collection").agg(F.avg("raw").alias("mean"))
     return raw.join(mean, "collection").select("collection", "term", "df", F.when(F.col("raw") < 0, epsilon * F.col("mean")).otherwise(F.col("raw")).alias("idf"))
 
 
-def bm25_scores(queries: DataFrame, chunks: DataFrame, *, key: str = "chunk_id", text: str = "text", collection: str | None = "collection", k1: float = 1.5, b: float = 0.75, epsilon: float = 0.25, index: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
+def bm25_scores(queries: DataFrame, chunks: DataFrame, *, key: str = "chunk_id", text: str = "text", collection: str | None = "collection", k1: float = 1.5, b: float = 0.75, epsilon: float = 0.25, index: tuple[DataFrame, DataFrame, DataFrame] | None = None) -> DataFrame:
     """(query_id, key, score) of each chunk that shares a term with a query of its collection.
 
     Repeated query terms count as often as they occur.  Queries without terms and chunks without terms give no
-    row.  The query's terms reach the postings by a join on (collection, term).  ``index`` gives stored postings
-    and document statistics in place of the chunks' own.
+    row.  ``index`` gives stored postings, document statistics and term statistics in place of the chunks' own.
+    The asked terms are few, so they meet the statistics and the postings before anything is aggregated by chunk.
     """
-    # the postings are read for the statistics and for the scores, so they are written once
-    post, stats = index or (materialize(postings(chunks, key=key, text=text, collection=collection), "postings"), doc_stats(chunks, text=text, collection=collection))
     coll = F.col("collection") if collection else F.lit("all")
     q = queries.select("query_id", coll.alias("collection"), F.explode(tokens(F.col("query"))).alias("term")).groupBy("query_id", "collection", "term").agg(F.count("*").alias("qtf"))
-    # statistics of the asked terms only; the mean over all terms comes with them
-    weight = term_stats(post, stats, epsilon).join(q.select("collection", "term").distinct(), ["collection", "term"], "left_semi")
-    hit = q.join(weight, ["collection", "term"]).join(post, ["collection", "term"]).join(stats, "collection")
+    if index:
+        post, stats, terms = index
+    else:
+        # the postings are read for the statistics and for the scores, so they are written once
+        post, stats = materialize(postings(chunks, key=key, text=text, collection=collection), "postings"), doc_stats(chunks, text=text, collection=collection)
+        terms = term_stats(post, stats, epsilon)
+    weight = q.join(terms.select("collection", "term", "idf"), ["collection", "term"])
+    hit = weight.join(post, ["collection", "term"]).join(stats, "collection")
     part = F.col("qtf") * F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
     return hit.groupBy("query_id", "key").agg(F.round(F.sum(part), 9).alias("score"))
 

@@ -13,7 +13,7 @@ from textloom.functions.render import breadcrumb, result_block, snippet
 from textloom.operators import fusion
 from textloom.operators.bm25 import bm25_scores
 from textloom.operators.dedup import greedy_dedup, ranked
-from textloom.operators.vector import Embedder, HashEmbedder, embed, vector_topk
+from textloom.operators.vector import Embedder, HashEmbedder, VectorIndex, embed, vector_topk
 from textloom.plans.materialize import materialize
 
 
@@ -28,19 +28,20 @@ def rerank(short: DataFrame, model: Reranker, chars: int = 8000) -> DataFrame:
     return short.withColumn("rerank_score", score(F.col("query"), F.substring(F.coalesce(F.col("text"), F.lit("")), 1, chars)))
 
 
-def search(queries: DataFrame, chunks: DataFrame, *, key: str = "chunk_id", embedder: Embedder | None = None, reranker: Reranker | None = None, default_n: int = 5, index: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
+def search(queries: DataFrame, chunks: DataFrame, *, key: str = "chunk_id", embedder: Embedder | None = None, reranker: Reranker | None = None, default_n: int = 5, index: tuple[DataFrame, DataFrame, DataFrame] | None = None, vector_index: VectorIndex | None = None) -> DataFrame:
     """Ranked results of each query: (query_id, rank, key, filename, heading, category, text, final_score, rendered).
 
     ``queries`` has query_id, query, n_results, category, filename and collection.  Null and blank queries and
     queries without candidates give no row; a null n_results counts as ``default_n`` and less than one as one;
-    empty and null filters do not filter.  Keys of ``chunks`` must be unique.  ``index`` has
-    stored postings and statistics of the same chunks.
+    empty and null filters do not filter.  Keys of ``chunks`` must be unique.  Chunks with a column ``embedding`` are
+    not embedded again; ``index`` has stored postings and statistics of the same chunks.  The vector search is exact
+    unless ``vector_index`` is given, which has assigned the chunks.
     """
     asked = queries.where(F.col("query").rlike(r"\S")).withColumn("n", F.greatest(F.lit(1), F.coalesce("n_results", F.lit(default_n))))
     model = embedder or HashEmbedder()
     variants = embed(fusion.expand_queries(asked).withColumn("fetch", F.col("n") * SETTINGS.fetch_factor), "variant_query", model)
-    vectors = embed(chunks, "text", model)
-    found = vector_topk(variants, vectors, "fetch", key=key, filters=[("collection", "collection"), ("category", "category"), ("filename", "filename")])
+    vectors = chunks if "embedding" in chunks.columns else embed(chunks, "text", model)
+    found = vector_topk(variants, vectors, "fetch", key=key, filters=[("collection", "collection"), ("category", "category"), ("filename", "filename")], index=vector_index)
     scores = materialize(bm25_scores(asked, chunks, key=key, index=index), "scores")  # read for the best score and for the candidates
     fused = fusion.fuse(fusion.with_bm25(fusion.merge_variants(found, key), scores), SETTINGS.rrf_k)
     short = fusion.shortlist(fused.join(asked.select("query_id", "query", "n"), "query_id"), "n", SETTINGS.rerank_factor)
@@ -54,12 +55,12 @@ def search(queries: DataFrame, chunks: DataFrame, *, key: str = "chunk_id", embe
     return kept.select("query_id", "rank", F.col("key").alias(key), "filename", "heading", "category", "text", F.round("final_score", 9).alias("final_score"), body.alias("rendered"))
 
 
-def render(results: DataFrame, queries: DataFrame) -> DataFrame:
+def render(results: DataFrame, queries: DataFrame, reranked: bool = False) -> DataFrame:
     """(query_id, rendered): one Markdown text for each query, with its filters and method."""
     blocks = results.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("rank", "rendered"))).alias("b"))
     both = queries.where(F.col("query").rlike(r"\S")).join(blocks, "query_id", "left")
     c, f = F.coalesce("category", F.lit("")), F.coalesce("filename", F.lit(""))
     parts = F.concat_ws(", ", F.when(c != "", F.concat(F.lit("category="), c)), F.when(f != "", F.concat(F.lit("file="), f)))
-    head = F.concat(F.lit('## Results for: "'), F.col("query"), F.lit('"\n\n'), F.when(parts != "", F.concat(F.lit("**Filters:** "), parts, F.lit("\n\n"))).otherwise(F.lit("")), F.lit("**Method:** Hybrid (Vector + BM25)\n\n"))
+    head = F.concat(F.lit('## Results for: "'), F.col("query"), F.lit('"\n\n'), F.when(parts != "", F.concat(F.lit("**Filters:** "), parts, F.lit("\n\n"))).otherwise(F.lit("")), F.lit(f"**Method:** Hybrid (Vector + BM25{' + Reranker' if reranked else ''})\n\n"))
     text = F.when(F.col("b").isNull(), F.concat(F.lit("No results found for: '"), F.col("query"), F.lit("'"))).otherwise(F.concat(head, F.array_join(F.transform("b", lambda x: x["rendered"]), "\n")))
     return both.select("query_id", text.alias("rendered"))

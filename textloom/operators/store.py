@@ -1,127 +1,228 @@
-"""Collections as immutable snapshots: Parquet tables below a folder, and one pointer to the current ones.
+"""Collections as immutable snapshots: Parquet files below a folder, and a numbered pointer to the current ones.
 
-A commit writes the new chunks, then the new manifest, then the pointer, so a reader never sees half of it and
-a job that dies leaves the old state.  Chunks are partitioned by collection, so a query reads its own only.
+A collection is cut into buckets by a hash of the source.  A commit reads and writes only the buckets of the sources that change,
+each into a new folder, and then the pointer ``current-N.json`` with the next number, which names the folder of
+every bucket.  The highest number wins; pointers are never changed or deleted before their successor stands, so
+a reader sees the old state or the new one whole, and a job that dies at any step leaves the old one.  Folders
+that no kept pointer names are removed by ``vacuum``.
+
+Chunks hold their vectors.  Beside the chunks of a bucket lie its postings, sorted by term, and its counts of
+terms and words; the statistics of a collection's terms are added up from these when they are first asked for.
 """
 
 from __future__ import annotations
 
 import json
+import re
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textloom.config import CollectionError
-from textloom.operators.bm25 import doc_stats, postings
+from textloom.config import CollectionError, StoreError
+from textloom.operators.bm25 import doc_stats, postings, term_stats
 from textloom.operators.manifest import diff, upsert
 from textloom.schema import CHUNKS, MANIFEST
 
+POSTINGS = "collection string, key string, term string, tf int, dl int"
+TERMS = "collection string, term string, df bigint"
+SIZES = "collection string, n bigint, words bigint"
+TERM_STATS = "collection string, term string, df bigint, idf double"
+
+
+def names_of(schema: str) -> list[str]:
+    return [c.strip().split(" ")[0] for c in schema.split(",")]
+
+
+def from_file(collection: Column, filename: Column, wanted_collection: str, wanted_file: str) -> Column:
+    """Whether a chunk is of the files of that name in a collection; never null."""
+    return F.coalesce((collection == wanted_collection) & (filename == wanted_file), F.lit(False))
+
 
 class Store:
-    def __init__(self, spark: SparkSession, folder: str) -> None:
-        self.spark, self.folder = spark, folder.rstrip("/")
+    """``buckets`` is the number of buckets of a collection; it is fixed by the first commit of the store."""
+
+    def __init__(self, spark: SparkSession, folder: str, buckets: int = 16) -> None:
+        self.spark, self.folder, self._buckets = spark, folder.rstrip("/"), buckets
         jvm = spark._jvm
         self._path = jvm.org.apache.hadoop.fs.Path
         self._fs = self._path(self.folder).getFileSystem(spark._jsc.hadoopConfiguration())
 
     # the pointer
-    def _current(self) -> dict[str, str]:
-        p = self._path(f"{self.folder}/current.json")
-        if not self._fs.exists(p):
-            return {}
+    def _numbers(self) -> list[int]:
+        root = self._path(self.folder)
+        names = [f.getPath().getName() for f in self._fs.listStatus(root)] if self._fs.exists(root) else []
+        return sorted(int(m[1]) for m in (re.fullmatch(r"current-(\d+)\.json", n) for n in names) if m)
+
+    def _state(self) -> tuple[int, dict]:
+        numbers = self._numbers()
+        if not numbers:
+            return 0, {"buckets": self._buckets, "chunks": {}, "manifest": {}, "stats": {}}
+        return numbers[-1], self._read_pointer(numbers[-1])
+
+    def _read_pointer(self, number: int) -> dict:
+        path = f"{self.folder}/current-{number:012d}.json"
         try:
-            return json.loads("".join(r[0] for r in self.spark.read.text(f"{self.folder}/current.json", wholetext=True).collect()))
-        except ValueError:
-            return {}  # a faulty pointer counts as none
-
-    def _commit(self, **tables: DataFrame) -> None:
-        state = self._current()
-        for name, df in tables.items():
-            path = f"{self.folder}/{name}-{uuid.uuid4().hex}"
-            w = df.write
-            (w.partitionBy("collection") if name == "chunks" else w).parquet(path)
-            state[name] = path
-        self._point(state)
-
-    def _point(self, state: dict[str, str]) -> None:
-        temp, final = self._path(f"{self.folder}/current.json.{uuid.uuid4().hex}"), self._path(f"{self.folder}/current.json")
+            return json.loads("".join(r[0] for r in self.spark.read.text(path, wholetext=True).collect()))
+        except ValueError as e:
+            raise StoreError(f"{path} is damaged") from e
+
+    def _point(self, number: int, state: dict) -> None:
+        temp, final = self._path(f"{self.folder}/.pointer-{uuid.uuid4().hex}"), self._path(f"{self.folder}/current-{number:012d}.json")
         out = self._fs.create(temp, True)
         out.write(bytearray(json.dumps(state), "utf-8"))
         out.close()
-        if self._fs.exists(final):
-            self._fs.delete(final, False)
-        self._fs.rename(temp, final)
+        if self._fs.exists(final) or not self._fs.rename(temp, final):
+            raise StoreError(f"another commit has written pointer {number}")
+
+    def bucket(self, source: Column) -> Column:
+        return F.pmod(F.xxhash64(F.coalesce(source, F.lit(""))), F.lit(self._state()[1]["buckets"])).cast("int")
+
+    def _read(self, paths: list[str], schema: str) -> DataFrame:
+        df = self.spark.read.schema(schema).parquet(*paths) if paths else self.spark.createDataFrame([], schema)
+        return df.select(*names_of(schema))
+
+    def _folders(self, state: dict, table: str, collection: str | None, buckets: list[int] | None = None, part: str = "rows") -> list[str]:
+        live = state[table] if collection is None else {collection: state[table].get(collection, {})}
+        return [f"{p}/{part}/bucket={b}" for c in sorted(live) for b, p in sorted(live[c].items()) if buckets is None or int(b) in buckets]
+
+    def _write(self, state: dict, table: str, collection: str, rows: DataFrame, key: str, touched: list[int]) -> None:
+        """Write the rows of the touched buckets of a collection and enter them into ``state``."""
+        root = f"{self.folder}/{table}-{uuid.uuid4().hex}"
+        size = state["buckets"]
+        bucket = F.pmod(F.xxhash64(F.coalesce(F.col(key), F.lit(""))), F.lit(size)).cast("int").alias("bucket")
+        rows.select("*", bucket).repartition("bucket").write.partitionBy("bucket").parquet(f"{root}/rows")
+        live = state[table].setdefault(collection, {})
+        for b in touched:
+            live.pop(str(b), None)
+            if self._fs.exists(self._path(f"{root}/rows/bucket={b}")):
+                live[str(b)] = root
+        if not live:
+            del state[table][collection]
+        if table == "chunks":
+            schema = f"{CHUNKS}, bucket int"
+            own = self.spark.read.schema(schema).parquet(f"{root}/rows")
+            at = own.select("chunk_id", "bucket").distinct()
+            post = postings(own).join(at, F.col("key") == F.col("chunk_id")).select(*names_of(POSTINGS), "bucket")
+            post.repartition("bucket").sortWithinPartitions("bucket", "term").write.partitionBy("bucket").parquet(f"{root}/postings")
+            self.spark.read.schema(f"{POSTINGS}, bucket int").parquet(f"{root}/postings").groupBy("collection", "term", "bucket").agg(F.count("*").alias("df")).write.partitionBy("bucket").parquet(f"{root}/terms")
+            doc_stats(own.select(F.concat_ws("\x01", "collection", "bucket").alias("collection"), "text")).select(F.split("collection", "\x01")[0].alias("collection"), "n", F.round(F.col("n") * F.col("avgdl")).cast("bigint").alias("words"), F.split("collection", "\x01")[1].cast("int").alias("bucket")).write.partitionBy("bucket").parquet(f"{root}/sizes")
+            state["stats"].pop(collection, None)
+
+    def _change(self, collection: str, gone: DataFrame, fresh: DataFrame, files: DataFrame | None = None, left: DataFrame | None = None) -> None:
+        """Commit: without the chunks of the sources ``gone`` (path), with ``fresh`` ones, and the manifest rows ``files``
+        (root, path, md5) in place of those ``left`` (root, path)."""
+        number, state = self._state()
+        touched = self._touched(gone.select("path").unionByName(fresh.select(F.col("source").alias("path"))))
+        if touched:
+            old = self._read(self._folders(state, "chunks", collection, touched), CHUNKS)
+            here = gone.select(F.lit(collection).alias("collection"), "path")
+            fresh = fresh if "embedding" in fresh.columns else fresh.withColumn("embedding", F.lit(None).cast("array<float>"))
+            self._write(state, "chunks", collection, upsert(old, here, fresh.select(*names_of(CHUNKS))), "source", touched)
+        if files is not None:
+            touched = self._touched(files.select("path").unionByName(left.select("path")))
+            if touched:
+                old = self._read(self._folders(state, "manifest", collection, touched), MANIFEST)
+                rest = old.join(left.select("root", "path").distinct(), ["root", "path"], "left_anti").select(*names_of(MANIFEST))
+                self._write(state, "manifest", collection, rest.unionByName(files.select(F.lit(collection).alias("collection"), "root", "path", "md5")), "path", touched)
+        self._point(number + 1, state)
+
+    def _touched(self, paths: DataFrame) -> list[int]:
+        """The buckets of paths; at most as many as there are buckets reach the driver."""
+        return sorted(r[0] for r in paths.select(self.bucket(F.col("path"))).distinct().collect())
 
     def chunks(self, collection: str | None = None) -> DataFrame:
-        path = self._current().get("chunks")
-        df = self.spark.read.schema(CHUNKS).parquet(path) if path else self.spark.createDataFrame([], CHUNKS)
-        df = df.select(*[c.strip().split(" ")[0] for c in CHUNKS.split(",")])
-        return df.where(F.col("collection") == collection) if collection else df
-
-    def manifest(self) -> DataFrame:
-        path = self._current().get("manifest")
-        return self.spark.read.schema(MANIFEST).parquet(path) if path else self.spark.createDataFrame([], MANIFEST)
-
-    def bm25_index(self) -> tuple[DataFrame, DataFrame]:
-        """Stored postings and document statistics; they are written again when the chunks have changed since."""
-        state = self._current()
-        if not state.get("chunks") or state.get("indexed") != state["chunks"]:
-            chunks, tag = self.chunks(), uuid.uuid4().hex
-            # terms of a collection lie together, so a scan for a few terms skips most row groups
-            postings(chunks).repartition("collection", F.pmod(F.xxhash64("term"), F.lit(64))).sortWithinPartitions("collection", "term").write.parquet(f"{self.folder}/postings-{tag}")
-            doc_stats(chunks).write.parquet(f"{self.folder}/doc_stats-{tag}")
-            state |= {"postings": f"{self.folder}/postings-{tag}", "doc_stats": f"{self.folder}/doc_stats-{tag}", "indexed": state.get("chunks", "")}
-            if state["indexed"]:
-                self._point(state)
-        return self.spark.read.parquet(state["postings"]), self.spark.read.parquet(state["doc_stats"])
+        return self._read(self._folders(self._state()[1], "chunks", collection), CHUNKS)
+
+    def manifest(self, collection: str | None = None) -> DataFrame:
+        return self._read(self._folders(self._state()[1], "manifest", collection), MANIFEST)
+
+    def bm25_index(self, collection: str | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+        """(postings, document statistics, term statistics); the last are written for the collections that have changed since."""
+        number, state = self._state()
+        asked = [c for c in ([collection] if collection else sorted(state["chunks"])) if c in state["chunks"]]
+        sizes = self._read([p for c in asked for p in self._folders(state, "chunks", c, part="sizes")], SIZES)
+        stats = sizes.groupBy("collection").agg(F.sum("n").alias("n"), (F.sum("words") / F.sum("n")).alias("avgdl"))
+        stale = [c for c in asked if c not in state["stats"]]
+        if stale:
+            root = f"{self.folder}/stats-{uuid.uuid4().hex}"
+            counts = self._read([p for c in stale for p in self._present(self._folders(state, "chunks", c, part="terms"))], TERMS).groupBy("collection", "term").agg(F.sum("df").alias("df"))
+            term_stats(counts, stats, counted=True).sortWithinPartitions("term").write.parquet(root)
+            state["stats"] |= dict.fromkeys(stale, root)
+            self._point(number + 1, state)
+        roots = sorted({state["stats"][c] for c in asked})
+        terms = self._read(roots, TERM_STATS).where(F.col("collection").isin(asked))
+        return self._read(self._present([p for c in asked for p in self._folders(state, "chunks", c, part="postings")]), POSTINGS), stats, terms
+
+    def _present(self, paths: list[str]) -> list[str]:
+        """A bucket whose chunks have no terms has no folder of postings."""
+        return [p for p in paths if self._fs.exists(self._path(p))]
 
     def collections(self) -> DataFrame:
-        return self.chunks().groupBy("collection").agg(F.count("*").alias("chunks"))
+        return collection_counts(self.chunks())
 
     def changes(self, collection: str, root: str, now: DataFrame, force: bool = False) -> DataFrame:
         """The state of each file of (path, md5) against the manifest of this collection and root."""
-        mine = self.manifest().where((F.col("collection") == collection) & (F.col("root") == root))
+        mine = self.manifest(collection).where(F.col("root") == root)
         new = now.select(F.lit(collection).alias("collection"), F.lit(root).alias("root"), "path", "md5")
         d = diff(mine, new)
         return d.withColumn("state", F.when(F.col("state") == "unchanged", "changed").otherwise(F.col("state"))) if force else d
 
     def apply(self, collection: str, root: str, now: DataFrame, states: DataFrame, fresh: DataFrame) -> None:
         """Commit fresh chunks for added and changed files; chunks of changed and deleted ones go."""
-        gone = states.where(F.col("state").isin("changed", "deleted", "added")).select("collection", "path")
-        manifest = self.manifest()
-        others = manifest.where(~((F.col("collection") == collection) & (F.col("root") == root)))
-        mine = now.where("md5 IS NOT NULL").select(F.lit(collection).alias("collection"), F.lit(root).alias("root"), "path", "md5")
-        self._commit(chunks=upsert(self.chunks(), gone, fresh), manifest=others.unionByName(mine))
-
-    def replace_sources(self, collection: str, fresh: DataFrame, sources: DataFrame | None = None) -> None:
-        """Commit fresh chunks in place of all chunks of their sources (web pages, single files)."""
-        s = (sources or fresh.select("source")).select(F.lit(collection).alias("collection"), F.col("source").alias("path")).distinct()
-        self._commit(chunks=upsert(self.chunks(), s, fresh))
-
-    def patch_manifest(self, collection: str, root: str, path: str, md5: str) -> None:
-        row = self.spark.createDataFrame([(collection, root, path, md5)], MANIFEST)
-        old = self.manifest().where(~((F.col("collection") == collection) & (F.col("root") == root) & (F.col("path") == path)))
-        self._commit(manifest=old.unionByName(row))
+        moved = states.where(F.col("state").isin("changed", "deleted", "added")).select("path", "state", F.lit(root).alias("root"))
+        files = now.where("md5 IS NOT NULL").join(moved.where("state <> 'deleted'").select("path"), "path", "left_semi").select(F.lit(root).alias("root"), "path", "md5")
+        self._change(collection, moved, fresh, files, moved)
+
+    def replace_sources(self, collection: str, fresh: DataFrame, sources: DataFrame | None = None, files: DataFrame | None = None) -> None:
+        """Commit fresh chunks in place of all chunks of their sources (web pages, single files), with the manifest rows
+        ``files`` (root, path, md5) if given."""
+        s = (sources if sources is not None else fresh.select("source")).select(F.col("source").alias("path")).distinct()
+        self._change(collection, s, fresh, files, files)
 
     def remove_source(self, collection: str, filename: str, reset: bool = False) -> int:
         """Delete the chunks of all files of that name; their manifest rows stay, so unchanged files do not come
         back by themselves, unless ``reset``."""
-        hit = (F.col("collection") == collection) & (F.col("filename") == filename)
-        n = self.chunks().where(hit).count()
+        mine = self.chunks(collection)
+        hit = mine.where(from_file(F.col("collection"), F.col("filename"), collection, filename))
+        n = hit.count()
         if n:
-            tables = {"chunks": self.chunks().where(~F.coalesce(hit, F.lit(False)))}
-            if reset:
-                tables["manifest"] = self.manifest().where(~((F.col("collection") == collection) & (F.regexp_extract("path", "([^/]*)$", 1) == filename)))
-            self._commit(**tables)
+            rows = self.manifest(collection).where(F.regexp_extract("path", "([^/]*)$", 1) == filename)
+            # the pair (source, filename) is one to one, so whole sources go
+            self._change(collection, hit.select(F.col("source").alias("path")).distinct(), self.spark.createDataFrame([], CHUNKS), rows.limit(0) if reset else None, rows if reset else None)
         return n
 
     def drop(self, collection: str, confirm: bool = False) -> int:
         """The number of chunks of a collection, which goes with its manifest only if ``confirm``."""
-        n = self.chunks(collection).count()
-        known = n or self.manifest().where(F.col("collection") == collection).count()
-        if not known:
+        number, state = self._state()
+        if collection not in state["chunks"] and collection not in state["manifest"]:
             raise CollectionError(f"there is no collection {collection!r}")
+        n = self.chunks(collection).count()
         if confirm:
-            self._commit(chunks=self.chunks().where(F.col("collection") != collection), manifest=self.manifest().where(F.col("collection") != collection))
+            for table in ("chunks", "manifest", "stats"):
+                state[table].pop(collection, None)
+            self._point(number + 1, state)
         return n
+
+    def vacuum(self, keep: int = 2) -> int:
+        """Remove all but the last ``keep`` pointers, and the folders that these do not name; returns the number of folders.
+
+        Readers of older states and commits that are under way must have ended.
+        """
+        numbers = self._numbers()
+        kept = [self._read_pointer(n) for n in numbers[-keep:]]
+        named = {p for s in kept for t in ("chunks", "manifest") for live in s[t].values() for p in live.values()} | {p for s in kept for p in s["stats"].values()}
+        names = {p.rsplit("/", 1)[1] for p in named}
+        gone = 0
+        for f in self._fs.listStatus(self._path(self.folder)) if numbers else []:
+            name = f.getPath().getName()
+            old = re.fullmatch(r"current-(\d+)\.json", name)
+            if (old and int(old[1]) not in numbers[-keep:]) or name.startswith(".pointer-") or (re.match(r"(chunks|manifest|stats)-", name) and name not in names):
+                self._fs.delete(f.getPath(), True)
+                gone += f.isDirectory()
+        return gone
+
+
+def collection_counts(chunks: DataFrame) -> DataFrame:
+    """(collection, chunks)."""
+    return chunks.groupBy("collection").agg(F.count("*").alias("chunks"))
