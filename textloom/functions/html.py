@@ -9,11 +9,17 @@ from html.parser import HTMLParser
 from textloom.config import SETTINGS
 
 #: Elements that hold no content, and where content is looked for, in this order.
-NOISE = "nav footer header aside .sidebar .navigation .breadcrumb .toc .cookie-banner .cookie-consent .announcement-bar [role=navigation] [role=banner] [role=complementary] script style noscript iframe svg".split()
+NOISE = (
+    "nav", "footer", "header", "aside", ".sidebar", ".navigation", ".breadcrumb", ".toc",
+    ".cookie-banner", ".cookie-consent", ".announcement-bar", "[role=navigation]", "[role=banner]", "[role=complementary]", "script", "style",
+    "noscript", "iframe", "svg",
+)
 CONTENT = (
-    "main article #content #main-content #main #app-content #docs-content #page-content #primary .content .main-content .page-content .documentation .docs-content .doc-content "
-    ".markdown-body .article-content .post-content .entry-content .rich-text .prose #root #app #__next #__nuxt [role=main] .gitbook-root .theme-doc-markdown .md-content .rst-content"
-).split()
+    "main", "article", "#content", "#main-content", "#main", "#app-content", "#docs-content", "#page-content",
+    "#primary", ".content", ".main-content", ".page-content", ".documentation", ".docs-content", ".doc-content", ".markdown-body",
+    ".article-content", ".post-content", ".entry-content", ".rich-text", ".prose", "#root", "#app", "#__next",
+    "#__nuxt", "[role=main]", ".gitbook-root", ".theme-doc-markdown", ".md-content", ".rst-content",
+)
 DENSE = {"div", "section", "article", "main", "td", "li", "p", "span"}
 BONUS = {"p", "h1", "h2", "h3", "h4", "li"}
 SILENT = {"script", "style", "noscript", "svg", "iframe"}
@@ -166,7 +172,8 @@ def to_markdown(node: Node) -> str:
     return "".join(out).strip() + "\n"
 
 
-def tidy(text: str) -> str:
+def clean_markdown(text: str) -> str:
+    """At most three newlines in a row, no blanks before a newline, no lines of marks alone."""
     text = re.sub(r"[ \t]+\n", "\n", re.sub(r"\n{4,}", "\n\n\n", text))
     return "\n".join(x for x in text.split("\n") if re.sub(r"[|\\—\-\s#*`>]", "", x) or not x.strip())
 
@@ -202,6 +209,12 @@ def title_of(html: str) -> str:
     return "".join(node.strings()).strip() if node else ""
 
 
+def page_header(html: str, url: str) -> str:
+    """The page's title, if it has one, and its URL."""
+    title = title_of(html)
+    return (f"# {title}\n\n" if title else "") + f"Source: {url}\n\n"
+
+
 def links_of(html: str) -> list[str]:
     hrefs = (n.attrs["href"].strip() for n in parse(html).walk() if n.tag == "a" and "href" in n.attrs)
     return [h for h in hrefs if h and not h.startswith(("javascript:", "mailto:", "tel:", "#"))]
@@ -214,11 +227,10 @@ def page_to_markdown(html: str | None, url: str, extractor=None) -> str:  # noqa
     """
     if not html:
         return ""
-    title = title_of(html)
-    head = (f"# {title}\n\n" if title else "") + f"Source: {url}\n\n"
+    head = page_header(html, url)
     for way, clean in ((extractor, False), (by_selectors, True), (by_density, True)):
         if way and len((body := way(html) or "").strip()) >= SETTINGS.least_content:
-            return head + (tidy(body) if clean else body)
+            return head + (clean_markdown(body) if clean else body)
     return ""
 
 

@@ -26,29 +26,11 @@ def word_count(text: Column) -> Column:
     return F.size(words(text))
 
 
-def sentences(text: Column) -> Column:
-    """Pieces after sentence ends or between blank lines, trimmed, without empty ones."""
-    pieces = F.split(F.coalesce(text, F.lit("")), r"(?<=[.!?。])" + WS + r"+|\n{2,}")
-    return F.filter(F.transform(pieces, trim), lambda s: s != "")
-
-
 def trim(text: Column) -> Column:
     """Without white space at both ends, in Python's sense."""
     return F.regexp_replace(text, f"^{WS}+|{WS}+$", "")
 
 
-def strip_frontmatter(text: Column) -> Column:
-    """Without a leading block between two ``---``; the second one need not start a line."""
-    return F.regexp_replace(text, r"(?s)\A---.*?---" + WS + "*", "")
-
-
-def word_windows(text: Column, over: int = 700, size: int = 600) -> Column:
-    """The text itself, or windows of ``size`` words if it has more than ``over``."""
-    w = words(text)
-    starts = F.sequence(F.lit(0), F.size(w) - 1, F.lit(size))
-    return F.when(F.size(w) > over, F.transform(starts, lambda i: F.array_join(F.slice(w, i + 1, size), " "))).otherwise(F.array(text))
-
-
 def file_name(path: Column) -> Column:
     return F.regexp_extract(path, r"([^/\\]*)/*$", 1)
 
@@ -67,8 +49,3 @@ def chunk_id(path: Column, text: Column, prefix: Column | None = None) -> Column
     head = stem(path) if prefix is None else prefix
     raw = F.concat(head, F.lit("_"), F.substring(F.md5(path), 1, 6), F.lit("__"), F.substring(F.md5(text), 1, 10))
     return F.regexp_replace(raw, r"[^A-Za-z0-9_]", "_")
-
-
-def enough_content(text: Column, least: int = 30) -> Column:
-    """Whether ``least`` characters are left without table bars, dashes, white space and Markdown marks."""
-    return F.length(F.regexp_replace(F.coalesce(text, F.lit("")), r"[|\-#*`>]|" + WS, "")) >= least

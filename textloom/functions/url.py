@@ -7,9 +7,12 @@ from pyspark.sql import functions as F
 
 #: Suffixes of files that a crawl skips.
 SKIPPED = (
-    ".jpg .jpeg .png .gif .svg .ico .webp .bmp .css .js .mjs .woff .woff2 .ttf .eot .otf .zip .tar .gz .bz2 .7z .rar "
-    ".exe .dmg .pkg .deb .rpm .msi .mp3 .mp4 .avi .mov .mkv .wav .ogg .pdf"
-).split()
+    ".jpg", ".jpeg", ".png", ".gif", ".svg", ".ico", ".webp", ".bmp",
+    ".css", ".js", ".mjs", ".woff", ".woff2", ".ttf", ".eot", ".otf",
+    ".zip", ".tar", ".gz", ".bz2", ".7z", ".rar", ".exe", ".dmg",
+    ".pkg", ".deb", ".rpm", ".msi", ".mp3", ".mp4", ".avi", ".mov",
+    ".mkv", ".wav", ".ogg", ".pdf",
+)
 #: Hrefs that lead to no page.
 NO_PAGE = ("javascript:", "mailto:", "tel:", "#")
 
@@ -46,28 +49,6 @@ def page_links(html: Column) -> Column:
     return F.filter(trimmed, lambda h: (h != "") & ~h.rlike("^(?:" + "|".join(NO_PAGE) + ")"))
 
 
-def page_title(html: Column) -> Column:
-    """Text of the first ``h1``, else of ``title``, without tags; empty if there is none."""
-
-    def inner(tag: str) -> Column:
-        return F.trim(F.regexp_replace(F.regexp_extract(F.coalesce(html, F.lit("")), rf"(?is)<{tag}\b[^>]*>(.*?)</{tag}>", 1), r"(?s)<[^>]*>", ""))
-
-    has_h1 = F.coalesce(html, F.lit("")).rlike(r"(?is)<h1\b[^>]*>.*?</h1>")
-    return F.when(has_h1, inner("h1")).otherwise(inner("title"))
-
-
-def page_header(html: Column, url: Column) -> Column:
-    title = page_title(html)
-    return F.concat(F.when(title != "", F.concat(F.lit("# "), title, F.lit("\n\n"))).otherwise(F.lit("")), F.lit("Source: "), url, F.lit("\n\n"))
-
-
-def clean_markdown(text: Column) -> Column:
-    """At most three newlines in a row, no blanks before a newline, no lines of marks alone."""
-    t = F.regexp_replace(F.regexp_replace(text, r"\n{4,}", "\n\n\n"), r"[ \t]+\n", "\n")
-    kept = F.filter(F.split(t, "\n"), lambda x: (F.regexp_replace(x, r"[|\\—\-#*`>\s]", "") != "") | (F.trim(x) == ""))
-    return F.array_join(kept, "\n")
-
-
 def sitemap_urls(xml: Column) -> Column:
     """The distinct locations of a sitemap in order."""
     return F.array_distinct(F.transform(F.regexp_extract_all(F.coalesce(xml, F.lit("")), F.lit(r"<loc>(.*?)</loc>"), 1), lambda u: F.trim(u)))

@@ -28,7 +28,7 @@ def rerank(short: DataFrame, model: Reranker, chars: int = 8000) -> DataFrame:
     return short.withColumn("rerank_score", score(F.col("query"), F.substring(F.coalesce(F.col("text"), F.lit("")), 1, chars)))
 
 
-def search(queries: DataFrame, chunks: DataFrame, *, key: str = "chunk_id", embedder: Embedder | None = None, reranker: Reranker | None = None, default_n: int = 5, index: tuple[DataFrame, DataFrame, DataFrame] | None = None, vector_index: VectorIndex | None = None) -> DataFrame:
+def search(queries: DataFrame, chunks: DataFrame, *, key: str = "chunk_id", embedder: Embedder | None = None, reranker: Reranker | None = None, default_n: int = 5, duplicate_ratio: float = SETTINGS.duplicate_ratio, index: tuple[DataFrame, DataFrame, DataFrame] | None = None, vector_index: VectorIndex | None = None) -> DataFrame:
     """Ranked results of each query: (query_id, rank, key, filename, heading, category, text, final_score, rendered).
 
     ``queries`` has query_id, query, n_results, category, filename and collection.  Null and blank queries and
@@ -50,7 +50,7 @@ def search(queries: DataFrame, chunks: DataFrame, *, key: str = "chunk_id", embe
     if reranker:
         short = rerank(short, reranker, SETTINGS.rerank_chars)
     final = fusion.final_scores(short, "rerank_score" if reranker else None, SETTINGS.hybrid_weight, SETTINGS.rerank_weight)
-    kept = ranked(greedy_dedup(final, ratio=SETTINGS.duplicate_ratio, chars=SETTINGS.duplicate_chars))
+    kept = ranked(greedy_dedup(final, ratio=duplicate_ratio, chars=SETTINGS.duplicate_chars))
     body = result_block(F.col("rank"), breadcrumb(F.col("filename"), F.col("parent_heading"), F.col("heading")), F.col("final_score"), F.col("category"), snippet(F.col("text"), SETTINGS.result_chars))
     return kept.select("query_id", "rank", F.col("key").alias(key), "filename", "heading", "category", "text", F.round("final_score", 9).alias("final_score"), body.alias("rendered"))
 

@@ -2,17 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from textloom.functions import html
 from textloom.functions import render as R
 from textloom.functions import text as X
 from textloom.functions import url as U
-from textloom.functions.html import page_to_markdown
 from textloom.operators import bm25, chunking, crawl, fusion, manifest, stats
 from textloom.operators.search import render as render_results
 from textloom.operators.search import search
 from textloom.operators.vector import vector_topk
+from textloom.plans.materialize import materialize, shared_dir
 from textloom.plans.tables import table as t
 from textloom.sources.files import admitted, supported
 from textloom.streaming.watch import bursts, watched
@@ -39,6 +40,13 @@ def query(sql: str | None = None):  # noqa: ANN201
     return add
 
 
+def by_row(f, kind: str):  # noqa: ANN001, ANN201
+    """A function of one text, of those that the engine runs in its tasks, as a column function."""
+    import pandas as pd
+
+    return F.pandas_udf(lambda s: pd.Series([f(x) for x in s], dtype=object), kind)
+
+
 def asked(spark: SparkSession, d: str) -> DataFrame:
     """The stated query set: every request whose id is divisible by 20."""
     return t(spark, d, "queries").where((F.col("query_id") % 20 == 0) & F.col("query").rlike(r"\S"))
@@ -67,13 +75,13 @@ def word_count(spark: SparkSession, d: str) -> DataFrame:
 @query(rf"""SELECT doc_id, len(s) AS n_sentences, md5(array_to_string(s, '|')) AS digest FROM (
 SELECT doc_id, list_filter(list_transform(string_split(regexp_replace(regexp_replace(coalesce(text, ''), '([.!?。]){WS}+', '\1' || chr(1), 'g'), '\n{{2,}}', chr(1), 'g'), chr(1)), lambda x: regexp_replace(x, '^{WS}+|{WS}+$', '', 'g')), lambda x: x <> '') AS s FROM documents)""")
 def sentence_split(spark: SparkSession, d: str) -> DataFrame:
-    s = X.sentences(F.col("text"))
+    s = by_row(chunking.sentences, "array<string>")(F.coalesce("text", F.lit("")))
     return t(spark, d, "documents").select("doc_id", F.size(s).cast("bigint").alias("n_sentences"), F.md5(F.array_join(s, "|")).alias("digest"))
 
 
 @query(rf"SELECT doc_id, md5(regexp_replace(text, '(?s)\A---.*?---{WS}*', '')) AS digest FROM documents WHERE text IS NOT NULL")
 def frontmatter_strip(spark: SparkSession, d: str) -> DataFrame:
-    return t(spark, d, "documents").where("text IS NOT NULL").select("doc_id", F.md5(X.strip_frontmatter(F.col("text"))).alias("digest"))
+    return t(spark, d, "documents").where("text IS NOT NULL").select("doc_id", F.md5(by_row(chunking.strip_frontmatter, "string")("text")).alias("digest"))
 
 
 @query(f"""WITH w AS (SELECT doc_id, text, {WORDS.format('text')} AS w FROM documents WHERE text IS NOT NULL),
@@ -81,7 +89,7 @@ p AS (SELECT doc_id, CASE WHEN len(w) > 120 THEN list_transform(generate_series(
 SELECT doc_id, (generate_subscripts(p, 1) - 1)::INTEGER AS part, md5(unnest(p)) AS digest FROM p""")
 def word_windows(spark: SparkSession, d: str) -> DataFrame:
     """Windows of 100 words for texts of more than 120, as the tables hold few long texts."""
-    p = t(spark, d, "documents").where("text IS NOT NULL").select("doc_id", F.posexplode(X.word_windows(F.col("text"), 120, 100)).alias("part", "p"))
+    p = t(spark, d, "documents").where("text IS NOT NULL").select("doc_id", F.posexplode(by_row(lambda x: chunking.window(x, 120, 100), "array<string>")("text")).alias("part", "p"))
     return p.select("doc_id", "part", F.md5("p").alias("digest"))
 
 
@@ -93,7 +101,7 @@ def chunk_ids(spark: SparkSession, d: str) -> DataFrame:
 
 @query(rf"SELECT section_id, length(regexp_replace(coalesce(text, ''), '[|\-#*`>]|{WS}', '', 'g')) >= 30 AS enough FROM sections")
 def min_content(spark: SparkSession, d: str) -> DataFrame:
-    return t(spark, d, "sections").select("section_id", X.enough_content(F.col("text")).alias("enough"))
+    return t(spark, d, "sections").select("section_id", by_row(chunking.enough_content, "boolean")(F.coalesce("text", F.lit(""))).alias("enough"))
 
 
 @query()
@@ -338,14 +346,20 @@ def link_extract(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(r"""WITH h AS (SELECT page_id, url, trim(regexp_replace(CASE WHEN regexp_matches(html, '(?is)<h1\b[^>]*>.*?</h1>') THEN regexp_extract(html, '(?is)<h1\b[^>]*>(.*?)</h1>', 1) ELSE regexp_extract(html, '(?is)<title\b[^>]*>(.*?)</title>', 1) END, '(?s)<[^>]*>', '', 'g')) AS title FROM pages WHERE html IS NOT NULL)
-SELECT page_id, CASE WHEN title <> '' THEN '# ' || title || chr(10) || chr(10) ELSE '' END || 'Source: ' || url || chr(10) || chr(10) AS header FROM h""")
+SELECT page_id, CASE WHEN title <> '' THEN '# ' || replace(replace(title, '&lt;', '<'), '&gt;', '>') || chr(10) || chr(10) ELSE '' END || 'Source: ' || url || chr(10) || chr(10) AS header FROM h""")
 def page_headers(spark: SparkSession, d: str) -> DataFrame:
-    return t(spark, d, "pages").where("html IS NOT NULL").select("page_id", U.page_header(F.col("html"), F.col("url")).alias("header"))
+    import pandas as pd
+
+    header = F.pandas_udf(lambda h, u: pd.Series([html.page_header(x, y) for x, y in zip(h, u)]), "string")
+    return t(spark, d, "pages").where("html IS NOT NULL").select("page_id", header("html", "url").alias("header"))
 
 
-@query(r"""SELECT page_id, md5(array_to_string(list_filter(string_split(regexp_replace(regexp_replace(content, '\n{4,}', chr(10) || chr(10) || chr(10), 'g'), '[ \t]+\n', chr(10), 'g'), chr(10)), lambda x: regexp_replace(x, '[|\\—\-#*`>\s]', '', 'g') <> '' OR trim(x) = ''), chr(10))) AS digest FROM pages WHERE content IS NOT NULL""")
+CLEAN = r"array_to_string(list_filter(string_split(regexp_replace(regexp_replace({0}, '\n{{4,}}', chr(10) || chr(10) || chr(10), 'g'), '[ \t]+\n', chr(10), 'g'), chr(10)), lambda x: regexp_replace(x, '[|\\—\-#*`>]|" + WS.replace("{", "{{").replace("}", "}}") + r"', '', 'g') <> '' OR regexp_replace(x, '" + WS.replace("{", "{{").replace("}", "}}") + r"', '', 'g') = ''), chr(10))"
+
+
+@query(f"SELECT page_id, md5({CLEAN.format('content')}) AS digest FROM pages WHERE content IS NOT NULL")
 def clean_markdown(spark: SparkSession, d: str) -> DataFrame:
-    return t(spark, d, "pages").where("content IS NOT NULL").select("page_id", F.md5(U.clean_markdown(F.col("content"))).alias("digest"))
+    return t(spark, d, "pages").where("content IS NOT NULL").select("page_id", F.md5(by_row(html.clean_markdown, "string")("content")).alias("digest"))
 
 
 @query("SELECT lower(regexp_extract(url, '://([^/?#]*)', 1)) AS site, count(DISTINCT trim(url)) AS n_urls, min(trim(url)) AS first FROM pages WHERE url IS NOT NULL GROUP BY 1")
@@ -357,22 +371,77 @@ def sitemaps(spark: SparkSession, d: str) -> DataFrame:
     return xml.select("site", F.size(urls).cast("bigint").alias("n_urls"), F.element_at(urls, 1).alias("first"))
 
 
-@query()
+UNESCAPED = "replace(replace({0}, '&lt;', '<'), '&gt;', '>')"
+TRIMMED = "regexp_replace({0}, '^" + WS.replace("{", "{{").replace("}", "}}") + "+|" + WS.replace("{", "{{").replace("}", "}}") + "+$', '', 'g')"
+SPACED = "regexp_replace({0}, '" + WS.replace("{", "{{").replace("}", "}}") + "+', ' ', 'g')"
+# the raw pages are flat: a title, blocks without tags inside, and links at the end of the body
+MAIN_SQL = (
+    r"WITH p AS (SELECT page_id, url, " + TRIMMED.format(UNESCAPED.format("regexp_extract(html, '(?s)<title>(.*?)</title>', 1)")) + r" AS title, list_transform(regexp_extract_all(html, '(?s)<div>(.*?)</div>', 1), lambda x: " + UNESCAPED.format("x") + r") AS blocks, "
+    r"regexp_extract_all(html, '(?s)<a href=\"([^\"]*)\">(.*?)</a>', 1) AS hrefs, list_transform(regexp_extract_all(html, '(?s)<a href=\"([^\"]*)\">(.*?)</a>', 2), lambda x: " + UNESCAPED.format("x") + r") AS names FROM pages WHERE html IS NOT NULL), "
+    r"q AS (SELECT *, coalesce(list_sum(list_transform(list_concat(blocks, names), lambda x: length(" + TRIMMED.format("x") + r"))), 0) AS size, "
+    r"list_filter(list_concat(list_transform(blocks, lambda x: " + TRIMMED.format(SPACED.format("x")) + r"), [array_to_string(list_transform(hrefs, lambda h, i: '[' || " + TRIMMED.format(SPACED.format("names[i]")) + r" || '](' || h || ')'), '')]), lambda x: x <> '') AS parts FROM p) "
+    r"SELECT page_id, CASE WHEN size >= 200 THEN CASE WHEN title <> '' THEN '# ' || title || chr(10) || chr(10) ELSE '' END || 'Source: ' || coalesce(url, '') || chr(10) || chr(10) || " + CLEAN.format("(array_to_string(parts, chr(10) || chr(10)) || chr(10))") + r" ELSE '' END AS content FROM q"
+)
+
+
+@query(MAIN_SQL)
 def html_main_content(spark: SparkSession, d: str) -> DataFrame:
     """Markdown of each raw page."""
     import pandas as pd
 
-    main = F.pandas_udf(lambda h, u: pd.Series([page_to_markdown(x, y) for x, y in zip(h, u)]), "string")
+    main = F.pandas_udf(lambda h, u: pd.Series([html.page_to_markdown(x, y) for x, y in zip(h, u)]), "string")
     return t(spark, d, "pages").where("html IS NOT NULL").select("page_id", main("html", F.coalesce("url", F.lit(""))).alias("content"))
 
 
-@query()
-def bfs_crawl(spark: SparkSession, d: str) -> DataFrame:
-    """A crawl of each site from its raw pages over the table of pages."""
+NETLOC = "regexp_extract({0}, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)', 1)"
+LINKED_SQL = (
+    f"u AS (SELECT page_id, content, fetched_at, {NORM.format(BARE)} AS url FROM pages WHERE url IS NOT NULL), "
+    f"own AS (SELECT DISTINCT url, {NETLOC.format('url')} AS site FROM u WHERE regexp_matches(url, '^https?://') AND {NETLOC.format('url')} = lower({NETLOC.format('url')}) AND NOT regexp_matches(lower(url), '\\.[a-z0-9]+$')), "
+    "r AS (SELECT *, row_number() OVER (PARTITION BY site ORDER BY url) AS r FROM own)"
+)
+
+
+def linked(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Pages, seeds and links: the pages of a site by URL as a tree, in which page k links to pages 2k and 2k + 1."""
     pages = t(spark, d, "pages").where("url IS NOT NULL")
-    seeds = pages.where("html IS NOT NULL").select(U.normalize_url(F.col("url")).alias("seed")).distinct()
-    links = pages.where("html IS NOT NULL").select(F.col("url").alias("src_url"), F.posexplode(U.page_links(F.col("html"))).alias("pos", "link"))
-    return crawl.crawl(crawl.TablePages(pages), links, seeds, stay=False).select("seed", "url", "depth")
+    url = U.normalize_url(F.col("url"))
+    host = U.url_part(F.col("url"), "netloc")
+    own = pages.select(url.alias("url")).distinct().where(F.col("url").rlike("^https?://") & (host == F.lower(host)) & ~F.lower("url").rlike(r"\.[a-z0-9]+$")).withColumn("site", host)
+    ranked = materialize(own.withColumn("r", F.row_number().over(Window.partitionBy("site").orderBy("url"))), "tree")
+    up = ranked.select("site", F.col("r").alias("up"), F.col("url").alias("src_url"))
+    links = ranked.where("r > 1").withColumn("up", F.floor(F.col("r") / 2).cast("int")).join(up, ["site", "up"]).select("src_url", F.concat("url", F.lit("#part")).alias("link"), (F.col("r") % 2).alias("pos"))
+    back = ranked.where("r > 1").select(F.col("url").alias("src_url"), F.lit("/").alias("link"), F.lit(9).alias("pos"))  # leads out of the tree
+    return pages, ranked.where("r = 1").select(F.col("url").alias("seed")), links.unionByName(back)
+
+
+@query(f"""WITH {LINKED_SQL}, seeds AS (SELECT site, url AS seed FROM r WHERE r = 1), last AS (SELECT url, arg_max({{'c': content}}, row(coalesce(fetched_at, TIMESTAMP '0001-01-01'), page_id)).c AS content FROM u GROUP BY url),
+t AS (SELECT seed, r.url, r, floor(log2(r))::INTEGER AS depth FROM r JOIN seeds USING (site) JOIN last ON last.url = r.url WHERE r < 16 AND regexp_matches(content, '\\S'))
+SELECT seed, url, depth FROM (SELECT *, row_number() OVER (PARTITION BY seed ORDER BY r) AS k FROM t) WHERE k <= 9""")
+def bfs_crawl(spark: SparkSession, d: str) -> DataFrame:
+    """A crawl of each site from its first page, three levels deep, of at most nine pages with content."""
+    pages, seeds, links = linked(spark, d)
+    return crawl.crawl(crawl.TablePages(pages), links, seeds, stay=False, max_depth=3, max_pages=9).select("seed", "url", "depth")
+
+
+@query(rf"""SELECT page_id FROM pages WHERE url IS NOT NULL AND NOT (length(regexp_extract(url, '^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)', 1)) % 2 = 0 AND regexp_matches(url, '^[^:]*://[^/?#]*/docs/'))""")
+def robots_allowed(spark: SparkSession, d: str) -> DataFrame:
+    """The pages that a crawl may fetch, where hosts whose address has an even length keep /docs/ to themselves."""
+    pages = t(spark, d, "pages").where("url IS NOT NULL").select("page_id", "url")
+    host = F.regexp_extract("url", r"^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)", 1).alias("host")
+    rules = pages.select(host).distinct().where(F.length("host") % 2 == 0).withColumn("rules", F.lit("User-agent: *\nDisallow: /docs/\n"))
+    return crawl.robots_filter(pages, rules).select("page_id")
+
+
+PLAIN_URL = "'^https?://[^/?#]+/[^/?#]+/[^?#]*$'"
+
+
+@query(rf"""WITH p AS (SELECT page_id, url, regexp_extract(url, '^(https?://[^/]+/(?:[^/]*/)*)', 1) AS dir, regexp_extract(url, '^(https?://[^/]+)', 1) AS host FROM pages WHERE regexp_matches(url, {PLAIN_URL}))
+SELECT page_id, host || '/top/x' AS a, dir || 'next' AS b, regexp_replace(dir, '[^/]+/$', '') || 'up' AS c, 'https://other.test/y?z=1' AS d, url || '?page=2' AS e FROM p""")
+def url_join(spark: SparkSession, d: str) -> DataFrame:
+    """Links of five kinds, joined to the pages' URLs."""
+    p = t(spark, d, "pages").where(F.col("url").rlike(PLAIN_URL.strip("'")))
+    links = {"a": "/top/x", "b": "next", "c": "../up", "d": "https://other.test/y?z=1", "e": "?page=2"}
+    return p.select("page_id", *[crawl.join_url("url", F.lit(x)).alias(k) for k, x in links.items()])
 
 
 # --- changes ------------------------------------------------------------------------------------------------

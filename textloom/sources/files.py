@@ -26,7 +26,12 @@ from textloom.functions.text import suffix
 
 #: Suffixes of readable files by kind, and folders that are never read.
 TEXT = (".md", ".txt", ".rst", ".text", ".log")
-CODE = tuple(".py .js .ts .jsx .tsx .css .scss .java .go .rs .c .cpp .h .hpp .rb .php .swift .kt .lua .sh .bash .json .yaml .yml .toml .xml .ini .cfg".split())
+CODE = (
+    ".py", ".js", ".ts", ".jsx", ".tsx", ".css", ".scss", ".java",
+    ".go", ".rs", ".c", ".cpp", ".h", ".hpp", ".rb", ".php",
+    ".swift", ".kt", ".lua", ".sh", ".bash", ".json", ".yaml", ".yml",
+    ".toml", ".xml", ".ini", ".cfg",
+)
 WEB = (".html", ".htm")
 BINARY = (".pdf", ".docx", ".xlsx", ".pptx", ".ipynb")
 SUPPORTED = (*TEXT, *CODE, ".csv", *WEB, *BINARY)
@@ -189,10 +194,27 @@ def read_files(paths: DataFrame, *, text: bool = True) -> DataFrame:
                     with open(p, "rb") as f:
                         content = f.read()
                 except OSError:
-                    rows.append((p, None, None, None))
-                    continue
-                raw = decode(content) if text and PurePosixPath(p).suffix.lower() not in BINARY else None
-                rows.append((p, hashlib.md5(content).hexdigest(), raw, file_text(p, content) if text else None))  # noqa: S324
+                    content = None
+                rows.append((p, *converted(p, content, text)))
             yield pd.DataFrame(rows, columns=["path", "md5", "raw", "text"])
 
     return paths.select("path").mapInPandas(run, "path string, md5 string, raw string, text string")
+
+
+def converted(path: str, content: bytes | None, text: bool = True) -> tuple[str | None, str | None, str | None]:
+    """(md5, raw, text) of a file's bytes; all null for a file that cannot be read."""
+    if content is None:
+        return None, None, None
+    raw = decode(content) if text and PurePosixPath(path).suffix.lower() not in BINARY else None
+    return hashlib.md5(content).hexdigest(), raw, file_text(path, content) if text else None  # noqa: S324
+
+
+def convert_files(files: DataFrame) -> DataFrame:
+    """(path, md5, raw, text) of files given as (path, content), as Spark's reader of binary files lists them, wherever
+    they lie.  (That reader leaves out names that start with ``_`` or ``.``.)"""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            yield pd.DataFrame([(p, *converted(p, c)) for p, c in zip(pdf["path"], pdf["content"])], columns=["path", "md5", "raw", "text"])
+
+    return files.select("path", "content").mapInPandas(run, "path string, md5 string, raw string, text string")

@@ -19,8 +19,11 @@ def watched(events: DataFrame) -> DataFrame:
     return events.where(F.col("ts").isNotNull() & F.col("kind").isin(*KINDS) & supported(F.col("path")))
 
 
-def bursts(events: DataFrame, quiet: float = 2.0, late: str | None = None, bucket: int = 3600) -> DataFrame:
-    """(start, last, n_events, n_paths): watched events that follow each other by at most ``quiet`` seconds.
+def bursts(events: DataFrame, quiet: float = 2.0, late: str | None = None, bucket: int = 3600, key: str | None = None) -> DataFrame:
+    """([key,] start, last, n_events, n_paths): watched events that follow each other by at most ``quiet`` seconds.
+
+    ``key`` names a column (a root, a collection) whose values have bursts of their own, so that many roots are watched
+    side by side; without it all events are those of one root.
 
     On a stream these are session windows; give ``late``, how long late events are waited for; later ones are
     dropped.  On a table nothing is late, and the timeline is cut into buckets of ``bucket`` seconds, so that no
@@ -29,21 +32,24 @@ def bursts(events: DataFrame, quiet: float = 2.0, late: str | None = None, bucke
     """
     e = watched(events)
     if events.isStreaming:
-        e = e.withWatermark("ts", late or "0 seconds").withColumn("all", F.length("path") >= 0)  # sessions need a key
-        s = e.groupBy("all", F.session_window("ts", f"{quiet} seconds").alias("w")).agg(F.count("*").alias("n_events"), F.size(F.collect_set("path")).alias("n_paths"), F.max("ts").alias("last"))
-        return s.select(F.col("w.start").alias("start"), "last", "n_events", "n_paths")
+        e = e.withWatermark("ts", late or "0 seconds")
+        by = [key] if key else [F.length("path") >= 0]  # sessions need a key; this one is the same for all events of one root
+        s = e.groupBy(*by, F.session_window("ts", f"{quiet} seconds").alias("w")).agg(F.count("*").alias("n_events"), F.size(F.collect_set("path")).alias("n_paths"), F.max("ts").alias("last"))
+        return s.select(*([key] if key else []), F.col("w.start").alias("start"), "last", "n_events", "n_paths")
+    own = [key] if key else []
     kind = dict(events.dtypes)["ts"]
     micros = F.unix_micros(F.col("ts").cast("timestamp"))
-    e = e.select("ts", "path", micros.alias("us"), F.floor(micros / (bucket * 1_000_000)).alias("bucket"))
+    e = e.select(*own, "ts", "path", micros.alias("us"), F.floor(micros / (bucket * 1_000_000)).alias("bucket"))
     gap = F.lit(int(quiet * 1_000_000))
-    ends = e.groupBy("bucket").agg(F.max("us").alias("end")).withColumn("before", F.lag("end").over(Window.orderBy("bucket"))).select("bucket", "before")
-    order = Window.partitionBy("bucket").orderBy("us")
-    e = e.join(ends, "bucket").withColumn("prev", F.coalesce(F.lag("us").over(order), "before"))
+    at = [*own, "bucket"]
+    ends = e.groupBy(*at).agg(F.max("us").alias("end")).withColumn("before", F.lag("end").over(Window.partitionBy(*own).orderBy("bucket"))).select(*at, "before")
+    order = Window.partitionBy(*at).orderBy("us")
+    e = e.join(ends, at).withColumn("prev", F.coalesce(F.lag("us").over(order), "before"))
     e = e.withColumn("opens", F.when(F.col("prev").isNull() | (F.col("us") - F.col("prev") > gap), F.col("us")))
     e = e.withColumn("own", F.max("opens").over(order.rangeBetween(Window.unboundedPreceding, 0)))
-    carried = e.groupBy("bucket").agg(F.max("opens").alias("opened")).withColumn("open", F.last("opened", ignorenulls=True).over(Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1))).select("bucket", "open")
-    s = e.join(carried, "bucket").withColumn("start", F.coalesce("own", "open"))
-    return s.groupBy(F.timestamp_micros("start").cast(kind).alias("start")).agg(F.max("ts").alias("last"), F.count("*").alias("n_events"), F.countDistinct("path").cast("int").alias("n_paths"))
+    carried = e.groupBy(*at).agg(F.max("opens").alias("opened")).withColumn("open", F.last("opened", ignorenulls=True).over(Window.partitionBy(*own).orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1))).select(*at, "open")
+    s = e.join(carried, at).withColumn("start", F.coalesce("own", "open"))
+    return s.groupBy(*own, F.timestamp_micros("start").cast(kind).alias("start")).agg(F.max("ts").alias("last"), F.count("*").alias("n_events"), F.countDistinct("path").cast("int").alias("n_paths"))
 
 
 def event_stream(spark: SparkSession, folder: str, kind: str = "parquet") -> DataFrame:
