@@ -15,7 +15,8 @@ from textloom.operators.search import search
 from textloom.operators.vector import vector_topk
 from textloom.plans.materialize import materialize, shared_dir
 from textloom.plans.tables import table as t
-from textloom.sources.files import admitted, supported
+from textloom.sources import remote, samples
+from textloom.sources.files import admitted, convert_files, supported
 from textloom.streaming.watch import bursts, watched
 
 QUERIES: dict = {}
@@ -104,13 +105,117 @@ def min_content(spark: SparkSession, d: str) -> DataFrame:
     return t(spark, d, "sections").select("section_id", by_row(chunking.enough_content, "boolean")(F.coalesce("text", F.lit(""))).alias("enough"))
 
 
-@query()
+STRIP = "regexp_replace({0}, '^" + WS.replace("{", "{{").replace("}", "}}") + "+|" + WS.replace("{", "{{").replace("}", "}}") + "+$', '', 'g')"
+SENTENCES = "list_filter(list_transform(string_split(regexp_replace(regexp_replace({0}, '([.!?。])" + WS.replace("{", "{{").replace("}", "}}") + r"+', '\1' || chr(1), 'g'), '\n{{2,}}', chr(1), 'g'), chr(1)), lambda x: " + STRIP.format("x").replace("{", "{{").replace("}", "}}") + "), lambda x: x <> '')"
+# frontmatter, then the first level-1 heading in plain lower case, then the stem
+CATEGORY = (
+    "CASE WHEN named IS NOT NULL THEN lower(" + STRIP.format("named") + r") WHEN titled <> '' THEN titled ELSE regexp_replace(lower(stem), '[_-]', ' ', 'g') END"
+)
+CATEGORY_PARTS = (
+    rf"list_filter(string_split(regexp_extract(text, '(?s)\A---{WS}*\n(.*?)\n---', 1), chr(10)), lambda x: contains(x, ':') AND lower(" + STRIP.format("split_part(x, ':', 1)") + r") = 'category')[1] AS line, substr(line, position(':' IN line) + 1) AS named, "
+    + STRIP.format(rf"regexp_replace(lower(regexp_replace(" + STRIP.format(rf"regexp_extract(text, '(?m)^#{WS}+(.+)$', 1)") + rf", '[*_`]', '', 'g')), '[^\p{{L}}\p{{N}}_\-\t-\r\x1c-\x1f\x{{85}}\p{{Z}}]', '', 'g')") + " AS titled"
+)
+CHUNKS_SQL = (
+    "WITH RECURSIVE d AS (SELECT coalesce(source, 'none') || '/' || doc_id || '.md' AS path, doc_id::VARCHAR AS stem, text, " + CATEGORY_PARTS + r" FROM documents WHERE regexp_matches(text, '\S')), "
+    # headings between marks; what stands before a mark belongs to the heading before
+    rf"h AS (SELECT path, stem, {CATEGORY} AS category, string_split(regexp_replace(regexp_replace(text, '(?s)\A---.*?---{WS}*', ''), '(?m)^(#{{1,3}}){WS}+(.+)$', chr(1) || '\1' || chr(2) || '\2' || chr(3), 'g'), chr(1)) AS pieces FROM d), "
+    "s AS (SELECT path, stem, category, unnest(pieces) AS piece, generate_subscripts(pieces, 1) AS ord FROM h), "
+    "t AS (SELECT path, stem, category, ord, CASE WHEN ord = 1 THEN 'Introduction' ELSE " + STRIP.format("split_part(split_part(piece, chr(2), 2), chr(3), 1)") + " END AS heading, ord > 1 AND starts_with(piece, '#' || chr(2)) AS top, " + STRIP.format("CASE WHEN ord = 1 THEN piece ELSE substr(piece, position(chr(3) IN piece) + 1) END") + " AS body FROM s), "
+    "u AS (SELECT *, coalesce(last_value(CASE WHEN top THEN heading END IGNORE NULLS) OVER (PARTITION BY path ORDER BY ord ROWS UNBOUNDED PRECEDING), stem) AS parent FROM t), "
+    rf"v AS (SELECT *, {WORDS.format('body')} AS w FROM u WHERE length(regexp_replace(body, '[|\-#*`>]|{WS}', '', 'g')) >= 30), "
+    "x AS (SELECT *, CASE WHEN len(w) > 700 THEN list_transform(generate_series(0, len(w) - 1, 600), lambda i: array_to_string(w[i + 1 : i + 600], ' ')) ELSE [body] END AS ps FROM v), "
+    "y AS (SELECT path, stem, category, ord, heading, parent, unnest(ps) AS p, (generate_subscripts(ps, 1) - 1)::INTEGER AS sub FROM x), "
+    "z AS (SELECT *, row_number() OVER (PARTITION BY path ORDER BY ord, sub) AS n FROM y), "
+    # each chunk begins with the end of what the one before has become
+    "f AS (SELECT path, n, p AS t FROM z WHERE n = 1 UNION ALL SELECT z.path, z.n, CASE WHEN len(" + SENTENCES.format("f.t") + ") >= 2 THEN '[...] ' || array_to_string(" + SENTENCES.format("f.t") + "[-2:], ' ') || chr(10) || chr(10) || z.p ELSE z.p END FROM f JOIN z ON z.path = f.path AND z.n = f.n + 1) "
+    "SELECT 'docs_v4' AS collection, regexp_replace(stem || '_' || md5(path)[1:6] || '__' || md5(t)[1:10], '[^A-Za-z0-9_]', '_', 'g') AS chunk_id, path AS source, stem || '.md' AS filename, heading, parent AS parent_heading, category, "
+    "(z.n - 1)::INTEGER AS section_ordinal, sub AS sub_index, len(" + WORDS.format("t") + ")::INTEGER AS word_count, t AS text FROM f JOIN z USING (path, n)"
+)
+
+
+@query(CHUNKS_SQL)
 def chunk_texts(spark: SparkSession, d: str) -> DataFrame:
     """Every document through the chunker; its source and id make the path."""
     docs = t(spark, d, "documents").select(F.concat(F.coalesce("source", F.lit("none")), F.lit("/"), F.col("doc_id").cast("string"), F.lit(".md")).alias("path"), "text")
     return chunking.chunk_documents(docs, collection="docs_v4")
 
 
+@query(f"SELECT doc_id, {CATEGORY} AS category FROM (SELECT doc_id, text, 'My_file-' || doc_id AS stem, {CATEGORY_PARTS} FROM documents WHERE text IS NOT NULL)")
+def categories(spark: SparkSession, d: str) -> DataFrame:
+    import pandas as pd
+
+    one = F.pandas_udf(lambda i, x: pd.Series([chunking.category_of(b, f"a/My_file-{a}.txt") for a, b in zip(i, x)]), "string")
+    return t(spark, d, "documents").where("text IS NOT NULL").select("doc_id", one("doc_id", "text").alias("category"))
+
+
+PYTHON = "import os\n\n@deco\ndef f{0}(a):\n    return a\n\nasync def g{0}():\n    pass\n\nclass C{0}:\n    x = 1\n\nprint(1)\n"
+SCRIPT = "export class C{0} {{ x = 1; }}\nconst a{0} = async (x) => {{ return x; }};\nasync function f{0}(a) {{ return a; }}\nlet y = 2;\n"
+BROKEN = "# Part {0}\n\ndef broken(:\n    a line that is long enough to be kept as text\n"
+
+
+@query(r"""WITH d AS (SELECT doc_id, doc_id::VARCHAR AS i FROM documents), n AS (SELECT chr(10) AS n)
+SELECT 'src/' || i || '.py' AS source, 0 AS section_ordinal, 'Function: f' || i AS heading, '```python' || n || 'def f' || i || '(a):' || n || '    return a' || n || '```' AS text FROM d, n WHERE doc_id % 3 = 0
+UNION ALL SELECT 'src/' || i || '.py', 1, 'async Function: g' || i, '```python' || n || 'async def g' || i || '():' || n || '    pass' || n || '```' FROM d, n WHERE doc_id % 3 = 0
+UNION ALL SELECT 'src/' || i || '.py', 2, 'Class: C' || i, '```python' || n || 'class C' || i || ':' || n || '    x = 1' || n || '```' FROM d, n WHERE doc_id % 3 = 0
+UNION ALL SELECT 'src/' || i || '.ts', 0, 'function: f' || i, '```ts' || n || 'async function f' || i || '(a) { return a; }' || n || '```' FROM d, n WHERE doc_id % 3 = 1
+UNION ALL SELECT 'src/' || i || '.ts', 1, 'class: C' || i, '```ts' || n || 'export class C' || i || ' { x = 1; }' || n || '```' FROM d, n WHERE doc_id % 3 = 1
+UNION ALL SELECT 'src/' || i || '.ts', 2, 'function: a' || i, '```ts' || n || 'const a' || i || ' = async (x) => { return x; }' || n || '```' FROM d, n WHERE doc_id % 3 = 1
+UNION ALL SELECT 'src/' || i || '.py', 0, 'Part ' || i, 'def broken(:' || n || '    a line that is long enough to be kept as text' FROM d, n WHERE doc_id % 3 = 2""")
+def code_sections(spark: SparkSession, d: str) -> DataFrame:
+    """A source file for each document, of three sorts: one in Python, one in a script language, one that does not parse."""
+    sorts = t(spark, d, "documents").select((F.col("doc_id") % 3).alias("k"), F.col("doc_id").cast("string").alias("i"))
+    fill = lambda text: F.replace(F.lit(text.format("@1@")), F.lit("@1@"), F.col("i"))
+    code = F.when(F.col("k") == 0, fill(PYTHON)).when(F.col("k") == 1, fill(SCRIPT)).otherwise(fill(BROKEN))
+    path = F.concat(F.lit("src/"), F.col("i"), F.when(F.col("k") == 1, F.lit(".ts")).otherwise(F.lit(".py")))
+    return chunking.chunk_documents(sorts.select(path.alias("path"), code.alias("text"), code.alias("raw")), collection="code", raw="raw").select("source", "section_ordinal", "heading", "text")
+
+
+# --- files --------------------------------------------------------------------------------------------------
+
+KINDS = (".md", ".csv", ".py", ".html", ".ipynb", ".docx", ".xlsx", ".pptx")
+
+
+@query(rf"""WITH d AS (SELECT doc_id, doc_id % 8 AS k, text, md5(text) AS m, chr(10) AS n FROM documents WHERE text IS NOT NULL),
+x AS (SELECT *, CASE WHEN k < 3 THEN text WHEN k = 3 THEN '<p>' || m || '</p><script>no</script><b>' || doc_id || '</b>' END AS raw FROM d)
+SELECT doc_id, CASE WHEN k < 4 THEN md5(raw) END AS md5, md5(CASE WHEN k < 3 AND regexp_replace(raw, '{WS}+', '', 'g') = '' THEN NULL
+WHEN k < 2 THEN replace(replace(raw, chr(13) || n, n), chr(13), n)
+WHEN k = 2 THEN '# ' || doc_id || '.py' || n || n || '```py' || n || replace(replace(raw, chr(13) || n, n), chr(13), n) || n || '```'
+WHEN k = 3 THEN m || n || doc_id
+WHEN k = 4 THEN '# ' || m || n || n || '```python' || n || 'x = ' || doc_id || n || '```'
+WHEN k = 5 THEN '## ' || m || n || n || 'Paragraph ' || doc_id || n || n || '| a | ' || m || ' |' || n || '|---|---|' || n || '| b | ' || doc_id || ' |'
+WHEN k = 6 THEN '## Sheet: S' || doc_id || n || n || '| id | digest |' || n || '|---|---|' || n || '| ' || doc_id || ' | ' || m || ' |'
+ELSE '## Slide 1' || n || n || m || n || n || '## Slide 2' || n || n || doc_id END) AS digest FROM x""")
+def file_formats(spark: SparkSession, d: str) -> DataFrame:
+    """Each document as a file of one of eight formats, read back: the hash of its bytes (for text formats) and of its text."""
+    import hashlib
+
+    import pandas as pd
+
+    def content(k: int, i: int, x: str) -> bytes:
+        m = hashlib.md5(x.encode()).hexdigest()  # noqa: S324
+        if k == 3:
+            return f"<p>{m}</p><script>no</script><b>{i}</b>".encode()
+        own = {4: lambda: samples.notebook(f"# {m}", f"x = {i}"), 5: lambda: samples.docx(m, f"Paragraph {i}", [["a", m], ["b", str(i)]]), 6: lambda: samples.xlsx(f"S{i}", [["id", "digest"], [str(i), m]]), 7: lambda: samples.pptx([m, str(i)])}
+        return own[k]() if k in own else x.encode()
+
+    made = F.pandas_udf(lambda k, i, x: pd.Series([content(*r) for r in zip(k, i, x)]), "binary")
+    k = F.col("doc_id") % 8
+    names = F.element_at(F.array(*map(F.lit, KINDS)), (k + 1).cast("int"))
+    docs = t(spark, d, "documents").where("text IS NOT NULL").select(F.concat(F.col("doc_id").cast("string"), names).alias("path"), made(k, "doc_id", "text").alias("content"))
+    got = convert_files(docs).withColumn("doc_id", F.regexp_extract("path", r"^(\d+)", 1).cast("bigint"))
+    return got.select("doc_id", F.when(F.col("doc_id") % 8 < 4, F.col("md5")).alias("md5"), F.md5("text").alias("digest"))
+
+
+@query(r"SELECT 'zip://d' || doc_id || '.zip/r/' || doc_id || '.md' AS url, md5(replace(replace(text, chr(13) || chr(10), chr(10)), chr(13), chr(10))) AS digest FROM documents WHERE text IS NOT NULL AND " + f"regexp_replace(text, '{WS}+', '', 'g') <> ''")
+def zip_members(spark: SparkSession, d: str) -> DataFrame:
+    """Each document in an archive of its own, beside members that are no documents."""
+    import pandas as pd
+
+    made = F.pandas_udf(lambda i, x: pd.Series([samples.zipped({f"r/{a}.md": b, "r/code.py": "left out", "r/blank.txt": " "}) for a, b in zip(i, x)]), "binary")
+    files = t(spark, d, "documents").where("text IS NOT NULL").select(F.concat(F.lit("/a/d"), F.col("doc_id").cast("string"), F.lit(".zip")).alias("path"), made("doc_id", "text").alias("content"))
+    return remote.zip_members(files).select("url", F.md5("content").alias("digest"))
+
+
 # --- retrieval ----------------------------------------------------------------------------------------------
 
 BM25_SQL = (
