@@ -1,7 +1,9 @@
 import datetime as dt
 
+import pytest
+
 from textloom.operators.components import connected_components
-from textloom.operators.crawl import TablePages, crawl
+from textloom.operators.crawl import RenderedPages, TablePages, crawl
 from textloom.streaming.watch import bursts, event_stream, stop, watch
 
 HOST = "https://a.b/docs"
@@ -61,3 +63,46 @@ def test_stream_runs_an_index_for_each_closed_burst(spark, tmp_path):
     assert calls == [1] and q.isActive
     stop(q)
     assert not q.isActive
+
+
+def test_the_last_fetch_counts_as_a_whole(spark):
+    rows = [(1, f"{HOST}/#a", "<old>", "z old", at(0)), (2, HOST + "/", None, "new", at(5)), (3, HOST + "/", "<late>", "zz no time", None)]
+    pages = TablePages(spark.createDataFrame(rows, "page_id bigint, url string, html string, content string, fetched_at timestamp"))
+    got = pages.fetch(spark.createDataFrame([(HOST,)], "url string")).collect()
+    assert [(r.html, r.content) for r in got] == [(None, "new")]
+
+
+def test_pages_that_a_browser_renders(spark):
+    html = "<title>T</title><main>" + "Some words of content. " * 12 + "</main>"
+    source = RenderedPages(lambda u: html if u == HOST else None)
+    got = crawl(source, spark.createDataFrame([], "src_url string, link string, pos int"), spark.createDataFrame([(HOST,), (HOST + "/none",)], "seed string")).collect()
+    assert [(r.url, r.content.split("\n")[0]) for r in got] == [(HOST, "# T")]
+
+
+def test_bursts_of_several_roots(spark):
+    rows = [(at(0), "a.md", "modified", "r"), (at(1), "b.md", "modified", "s"), (at(3), "a.md", "modified", "r"), (at(3), "c.md", "modified", "s")]
+    df = spark.createDataFrame(rows, "ts timestamp, path string, kind string, root string")
+    assert sorted((r.root, r.n_events) for r in bursts(df, key="root").collect()) == [("r", 1), ("r", 1), ("s", 2)]
+    assert [r.n_events for r in bursts(df).collect()] == [4]
+
+
+def test_a_cluster_needs_a_shared_folder(spark, monkeypatch):
+    from textloom.plans import materialize as M
+
+    class Conf:
+        def get(self, *_):
+            return None
+
+    class Context:
+        master = "spark://host:7077"
+
+        def getConf(self):
+            return Conf()
+
+    class Session:
+        sparkContext, conf = Context(), Conf()
+
+    with pytest.raises(RuntimeError):
+        M.shared_dir(Session())
+    df = M.materialize(spark.range(3))
+    assert df.count() == 3 and M.release(spark) >= 1 and M.release(spark) == 0

@@ -44,12 +44,6 @@ def test_entry_gives_rows(spark):
     assert rows and {"query_id", "rank", "final_score"} <= set(rows[0].asDict())
 
 
-@needs_data
-@pytest.mark.parametrize("name", ["chunk_texts", "html_main_content", "rendered_search", "bfs_crawl"])
-def test_queries_without_sql_give_rows(spark, name):
-    assert entry_module.queries()[name](spark, DATA).count() >= 0
-
-
 def test_filters_and_columns_reach_the_scan(spark, tmp_path):
     path = str(tmp_path / "manifest.parquet")
     spark.createDataFrame([("c", "r", "p", "m", 1, 0)], "collection string, root string, path string, md5 string, generation int, other int").write.parquet(path)

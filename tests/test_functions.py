@@ -3,7 +3,7 @@ from pyspark.sql import functions as F
 from textloom.functions import render as R
 from textloom.functions import text as X
 from textloom.functions import url as U
-from textloom.functions.html import by_density, links_of, page_to_markdown, plain_text, title_of
+from textloom.functions.html import by_density, clean_markdown, links_of, page_header, page_to_markdown, plain_text, title_of
 
 
 def one(spark, col, **values):
@@ -16,8 +16,7 @@ def test_tokens(spark):
     assert one(spark, X.tokens(F.lit(None).cast("string")), t="") == []
 
 
-def test_sentences_and_paths(spark):
-    assert one(spark, X.sentences(F.col("t")), t="One. Two!\u3000Three\n\n\nFour? ") == ["One.", "Two!", "Three", "Four?"]
+def test_paths(spark):
     assert one(spark, X.suffix(F.col("t")), t="a/b.tar.GZ") == ".gz" and one(spark, X.suffix(F.col("t")), t="a/.hidden") == ""
     assert one(spark, X.stem(F.col("t")), t="a/b.tar.gz") == "b.tar"
 
@@ -34,13 +33,12 @@ def test_urls(spark):
 def test_links_titles_and_sitemaps(spark):
     html = '<title>T</title><h1>Big <b>one</b></h1><a href=" /x ">1</a><a class="k" href="#y">2</a><a href="mailto:z">3</a><a href=\'u?v\'>4</a>'
     assert one(spark, U.page_links(F.col("h")), h=html) == ["/x", "u?v"] == links_of(html)
-    assert one(spark, U.page_title(F.col("h")), h=html) == "Big one" == title_of(html)
-    assert one(spark, U.page_title(F.col("h")), h="<title> T </title>") == "T"
+    assert title_of(html) == "Big one" and title_of("<title> T </title>") == "T" and page_header("<p>x</p>", "u") == "Source: u\n\n"
     assert one(spark, U.sitemap_urls(F.col("x")), x="<loc> a </loc><loc>b</loc><loc>a</loc>") == ["a", "b"]
 
 
-def test_clean_markdown(spark):
-    assert one(spark, U.clean_markdown(F.col("t")), t="a  \n\n\n\n\n\nb\n---\n| - |\nc") == "a\n\n\nb\nc"
+def test_clean_markdown():
+    assert clean_markdown("a  \n\n\n\n\n\nb\n---\n| - |\nc") == "a\n\n\nb\nc"
 
 
 def test_render(spark):

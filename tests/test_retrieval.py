@@ -41,8 +41,9 @@ def test_negative_weights_have_a_floor(spark):
 def test_vectors_ties_filters_and_blocks(spark):
     v = spark.createDataFrame([(1, [1.0, 0.0], "a"), (2, [2.0, 0.0], "b"), (3, [0.0, 1.0], "a"), (4, None, "a"), (5, [0.0, 0.0], "a"), (6, [1.0], "a")], "vec_id bigint, embedding array<float>, kind string")
     q = spark.createDataFrame([(10, [1.0, 0.0], "a", 2), (11, [1.0, 1.0], "", 9), (12, [1.0, 0.0], None, 1)], "query_id bigint, embedding array<float>, kind string, k int")
-    for block in (1, 100):
-        got = {(r.query_id, r.rank): r.vec_id for r in vector_topk(q, v, "k", filters=[("kind", "kind")], block=block).collect()}
+    for rows in ("1", "10000"):  # rows of a pack
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
+        got = {(r.query_id, r.rank): r.vec_id for r in vector_topk(q, v, "k", filters=[("kind", "kind")]).collect()}
         assert got == {(10, 0): 1, (10, 1): 3, (11, 0): 1, (11, 1): 2, (11, 2): 3, (11, 3): 5, (12, 0): 1}
     assert vector_topk(q.limit(0), v, 3).count() == 0 and vector_topk(q, v.limit(0), 3).count() == 0
 
@@ -98,3 +99,21 @@ def test_search_end_to_end(spark):
     assert "No results found for: 'alpha'" == texts[3] and "**Filters:** file=f1.md" in texts[4]
     again = search(q, data, reranker=lambda qs, ts: [float(len(t)) for t in ts]).count()
     assert again == len(rows)
+
+
+def test_index_holds_every_vector_and_finds_most(spark):
+    import numpy as np
+
+    from textloom.operators.vector import VectorIndex
+
+    rng = np.random.default_rng(3)
+    rows = [(k, [float(x) for x in rng.normal(size=16)]) for k in range(600)] + [(1000, None), (1001, [1.0, 2.0])]
+    v = spark.createDataFrame(rows, "vec_id bigint, embedding array<float>")
+    index = VectorIndex.fit(v)
+    assigned = index.assign(v)
+    assert assigned.where("embedding IS NOT NULL").select("vec_id").distinct().count() == 601
+    q = v.where("vec_id % 20 = 0").select(v.vec_id.alias("query_id"), "embedding")
+    exact = {(r.query_id, r.vec_id) for r in vector_topk(q, v, 10).collect()}
+    near = {(r.query_id, r.vec_id) for r in vector_topk(q, assigned, 10, index=index).collect()}
+    assert len(exact & near) >= 0.9 * len(exact)
+    assert vector_topk(q, VectorIndex.fit(v.limit(0)).assign(v.limit(0)), 3, index=VectorIndex.fit(v.limit(0))).count() == 0

@@ -6,7 +6,9 @@ import zipfile
 import pytest
 
 from textloom.api import Engine
-from textloom.config import CollectionError, IndexingError
+from textloom.config import CollectionError, IndexingError, StoreError
+from textloom.operators.store import Store
+from textloom.operators.vector import HashEmbedder
 from textloom.sources import remote
 from textloom.sources.files import decode, file_text, list_files, read_files
 
@@ -139,3 +141,61 @@ def test_remote_sources(spark, tmp_path):
     z = tmp_path / "d.zip"
     z.write_bytes(packed({"r/a.md": "A", "r/b.py": "no", "blank.txt": " "}))
     assert [(r.url, r.content) for r in remote.zip_members(spark.read.format("binaryFile").load(str(z))).collect()] == [("zip://d.zip/r/a.md", "A")]
+
+
+def test_one_changed_file_touches_its_own_buckets(spark, tree, tmp_path):
+    for k in range(30):
+        (tree / f"n{k}.md").write_text(f"# N{k}\n{BODY} {k}")
+    e = Engine(spark, str(tmp_path / "db"))
+    e.index_documents(str(tree))
+    before = e.store._state()[1]
+    (tree / "n7.md").write_text(f"# N7\n{BODY} other")
+    assert e.index_documents(str(tree)).indexed_files == 1
+    after = e.store._state()[1]
+    for name in ("chunks", "manifest"):
+        old, new = before[name]["docs_v4"], after[name]["docs_v4"]
+        assert len(old) > 5 and sum(old[b] != new[b] for b in old) == 1 and set(old) == set(new)
+    folders = {p.name for p in (tmp_path / "db").iterdir()}
+    assert e.store.vacuum(1) >= 0 and {r.heading for r in e.store.chunks().collect()} >= {"N7", "N8", "A"}
+    assert {p.name for p in (tmp_path / "db").iterdir()} < folders
+
+
+def test_a_commit_that_dies_leaves_the_old_state(spark, tree, tmp_path, monkeypatch):
+    e = Engine(spark, str(tmp_path / "db"))
+    e.index_documents(str(tree))
+    ids = lambda: sorted(r.chunk_id for r in e.store.chunks().collect())
+    before = ids()
+    (tree / "a/x.md").write_text(f"# New\n{BODY} new")
+    for step in ("_write", "_point"):
+        with monkeypatch.context() as m:
+            m.setattr(Store, step, lambda *a, **k: (_ for _ in ()).throw(RuntimeError("dies here")))
+            with pytest.raises(RuntimeError):
+                e.index_documents(str(tree))
+        assert ids() == before
+    assert e.index_documents(str(tree)).indexed_files == 1 and ids() != before
+    number = e.store._numbers()[-1]
+    with pytest.raises(StoreError):  # another writer was first
+        e.store._point(number, {})
+    (tmp_path / "db" / f"current-{number + 1:012d}.json").write_text("{half")
+    with pytest.raises(StoreError):
+        e.store.chunks()
+
+
+def test_a_search_embeds_its_request_only(spark, tree, tmp_path):
+    class Once(HashEmbedder):
+        def __call__(self, texts):
+            if self.closed and any(t != "thirty characters" for t in texts):
+                raise RuntimeError("a stored text is embedded again")
+            return super().__call__(texts)
+
+    model = Once()
+    model.closed = False
+    e = Engine(spark, str(tmp_path / "db"), embedder=model)
+    e.index_documents(str(tree))
+    model.closed = True
+    rows = e.search("thirty characters", n_results=2).collect()
+    assert rows and e.store.chunks().where("embedding IS NULL").count() == 0
+    # the statistics of terms are written once and read from then on
+    state = e.store._state()
+    e.search("thirty characters").collect()
+    assert e.store._state() == state

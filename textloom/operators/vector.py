@@ -191,7 +191,7 @@ class VectorIndex:
     probes: int
 
     @classmethod
-    def fit(cls, vectors: DataFrame, *, vector: str = "embedding", key: str = "vec_id", lists: int = 32, probes: int = 8, max_sample: int = 20_000, rounds: int = 10) -> VectorIndex:
+    def fit(cls, vectors: DataFrame, *, vector: str = "embedding", key: str = "vec_id", lists: int = 16, probes: int = 12, max_sample: int = 20_000, rounds: int = 10) -> VectorIndex:
         """The centres from at most ``max_sample`` vectors, those first by a hash of their key; every vector is then
         assigned, and a search looks at ``probes`` lists of each query.  An empty table gives one list."""
         own = vectors.where(F.col(vector).isNotNull()).orderBy(F.xxhash64(key)).limit(max_sample).select(vector).toArrow()[vector].combine_chunks()

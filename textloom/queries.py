@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -12,7 +14,8 @@ from textloom.functions import url as U
 from textloom.operators import bm25, chunking, crawl, fusion, manifest, stats
 from textloom.operators.search import render as render_results
 from textloom.operators.search import search
-from textloom.operators.vector import vector_topk
+from textloom.operators.store import Store, collection_counts, from_file
+from textloom.operators.vector import DigestEmbedder, VectorIndex, embed, vector_topk
 from textloom.plans.materialize import materialize, shared_dir
 from textloom.plans.tables import table as t
 from textloom.sources import remote, samples
@@ -279,17 +282,21 @@ def query_expand(spark: SparkSession, d: str) -> DataFrame:
     return fusion.expand_queries(t(spark, d, "queries")).select("query_id", "variant", "variant_query")
 
 
+# from candidates c (query_id, n, key, vr, seq) and BM25 scores b to the shortlist sh
+SHORTLIST = (
+    "mx AS (SELECT query_id, max(score) AS best FROM b GROUP BY query_id), "
+    "h AS (SELECT c.*, coalesce(score / CASE WHEN best > 0 THEN best ELSE 1 END, 0) AS bm25_score FROM c LEFT JOIN b USING (query_id, key) LEFT JOIN mx USING (query_id)), "
+    "k AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY vr, seq) AS vec_rank, row_number() OVER (PARTITION BY query_id ORDER BY bm25_score DESC, seq) AS bm25_rank FROM h), "
+    "hy AS (SELECT *, 1.0::DOUBLE / (60 + vec_rank) + 1.0::DOUBLE / (60 + bm25_rank) AS hybrid FROM k), "
+    "sh AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY hybrid DESC, seq) AS place FROM hy) WHERE place <= 2 * n) "
+)
 FUSED_SQL = (
     "WITH dv AS (SELECT d.doc_id, d.text, e.embedding::DOUBLE[] AS e FROM documents d JOIN embeddings e ON d.doc_id = e.vec_id), "
     + bm25_sql("'all'", "doc_id", "dv")
     + ", qv AS (SELECT q.query_id, query, greatest(1, coalesce(n_results, 5)) AS n, e.embedding::DOUBLE[] AS e FROM queries q JOIN embeddings e ON q.query_id = e.vec_id WHERE " + ASKED + "), "
     "c0 AS (SELECT query_id, n, doc_id AS key, row_number() OVER (PARTITION BY query_id ORDER BY round(list_dot_product(qv.e, dv.e) / sqrt(list_dot_product(qv.e, qv.e) * list_dot_product(dv.e, dv.e)), 9) DESC, doc_id) - 1 AS vr FROM qv, dv), "
     "c AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY vr) AS seq FROM c0 WHERE vr < 4 * n), "
-    "mx AS (SELECT query_id, max(score) AS best FROM b GROUP BY query_id), "
-    "h AS (SELECT c.*, coalesce(score / CASE WHEN best > 0 THEN best ELSE 1 END, 0) AS bm25_score FROM c LEFT JOIN b USING (query_id, key) LEFT JOIN mx USING (query_id)), "
-    "k AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY vr, seq) AS vec_rank, row_number() OVER (PARTITION BY query_id ORDER BY bm25_score DESC, seq) AS bm25_rank FROM h), "
-    "hy AS (SELECT *, 1.0::DOUBLE / (60 + vec_rank) + 1.0::DOUBLE / (60 + bm25_rank) AS hybrid FROM k), "
-    "sh AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY hybrid DESC, seq) AS place FROM hy) WHERE place <= 2 * n) "
+    + SHORTLIST
 )
 
 
@@ -320,20 +327,86 @@ def final_score_blend(spark: SparkSession, d: str) -> DataFrame:
     return fusion.final_scores(fused(spark, d), "bm25_score").select("query_id", F.col("key").alias("doc_id"), F.round("final_score", 6).alias("final_score"))
 
 
+#: The vector of a text for ``DigestEmbedder``: the digits of its digest.
+DIGEST = "list_transform(range(1, 33), lambda i: position(md5(coalesce({0}, ''))[i] IN '0123456789abcdef') - 8.5)::DOUBLE[]"
+SAME = "(coalesce(v.{0}, '') = '' OR v.{0} = e.{0})"
+VARIANTS_SQL = (
+    f"q0 AS (SELECT query_id, query, greatest(1, coalesce(n_results, 5)) AS n, collection, category, filename, regexp_matches(query, '[Ѐ-ӿ]') AS c, array_to_string({EXPAND_SQL}, ' ') AS en FROM queries WHERE {ASKED}), "
+    "q1 AS (SELECT *, CASE WHEN NOT c THEN [query] WHEN en = '' THEN [query, lower(query)] ELSE [query, lower(query), en] END AS vs FROM q0), "
+    "q2 AS (SELECT * EXCLUDE (vs), unnest(vs) AS vq, generate_subscripts(vs, 1) - 1 AS variant FROM q1), "
+    f"v AS (SELECT *, {DIGEST.format('vq')} AS ve FROM q2), e AS (SELECT section_id, collection, category, filename, {DIGEST.format('text')} AS e FROM sections), "
+    "si AS (SELECT v.query_id, variant, n, section_id AS key, round(list_dot_product(ve, e) / sqrt(list_dot_product(ve, ve) * list_dot_product(e, e)), 9) AS sim FROM v JOIN e ON " + " AND ".join(SAME.format(x) for x in ("collection", "category", "filename")) + "), "
+    "vr AS (SELECT *, row_number() OVER (PARTITION BY query_id, variant ORDER BY sim DESC, key) - 1 AS r FROM si), "
+    "c1 AS (SELECT query_id, n, key, min(r) AS vr, min(variant * 1000000000 + r) AS first FROM vr WHERE r < 4 * n GROUP BY query_id, n, key), "
+    "c AS (SELECT query_id, n, key, vr, row_number() OVER (PARTITION BY query_id ORDER BY first) AS seq FROM c1), "
+)
+SEARCH_SQL = (
+    f"WITH {SECTIONS_BM25}, {VARIANTS_SQL} {SHORTLIST}, "
+    "fs AS (SELECT *, CASE WHEN max(hybrid) OVER w > 0 THEN hybrid / max(hybrid) OVER w ELSE 0 END AS final FROM sh WINDOW w AS (PARTITION BY query_id)), "
+    "rk AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY final DESC, place) AS rank FROM fs) "
+)
+
+
 def search_results(spark: SparkSession, d: str) -> DataFrame:
-    return search(asked(spark, d), t(spark, d, "sections"), key="section_id")
+    """The whole pipeline over the sections, with vectors that SQL can compute and without the greedy removal of like
+    results, which it cannot (tests compare that with brute force)."""
+    return search(asked(spark, d), t(spark, d, "sections"), key="section_id", embedder=DigestEmbedder(), duplicate_ratio=1.0)
 
 
-@query()
+@query(f"WITH {VARIANTS_SQL[:-2]} SELECT query_id, key AS section_id, vr::INTEGER AS min_vec_rank, seq::INTEGER AS seq FROM c")
+def variant_candidates(spark: SparkSession, d: str) -> DataFrame:
+    """Candidates over all variants of each request: their best rank, and their place of first appearance."""
+    q = asked(spark, d).withColumn("fetch", 4 * F.greatest(F.lit(1), F.coalesce("n_results", F.lit(5))))
+    variants = embed(fusion.expand_queries(q), "variant_query", DigestEmbedder())
+    found = vector_topk(variants, embed(t(spark, d, "sections"), "text", DigestEmbedder()), "fetch", key="section_id", filters=[(c, c) for c in ("collection", "category", "filename")])
+    return fusion.merge_variants(found, "section_id").withColumnRenamed("key", "section_id")
+
+
+@query(SEARCH_SQL + "SELECT query_id, rank::INTEGER AS rank, key AS section_id, filename, heading, category, round(final, 6) AS final_score FROM rk JOIN sections ON section_id = key WHERE rank <= n")
 def hybrid_search(spark: SparkSession, d: str) -> DataFrame:
-    return search_results(spark, d).select("query_id", "rank", "section_id", "filename", "heading", "category", "final_score")
+    return search_results(spark, d).select("query_id", "rank", "section_id", "filename", "heading", "category", F.round("final_score", 6).alias("final_score"))
 
 
 @query()
+def hybrid_search_dedup(spark: SparkSession, d: str) -> DataFrame:
+    """The pipeline as the engine runs it, with the hashed vectors and without results that are like better ones."""
+    return search(asked(spark, d), t(spark, d, "sections"), key="section_id").select("query_id", "rank", "section_id", "filename", "heading", "category", "final_score")
+
+
+def snippet_sql(limit: int) -> tuple[str, str]:
+    """(the cleaned text, its cut as an expression of the cleaned text t) of a snippet of ``limit`` characters."""
+    clean = rf"regexp_replace(regexp_replace(regexp_replace(coalesce(text, ''), '^{WS}+|{WS}+$', '', 'g'), '^\[\.\.\.\]\s*', ''), '\n{{3,}}', chr(10) || chr(10), 'g')"
+    fence, stop, head = f"position('```' IN t[{limit - 199}:])", f"position(' .' IN reverse(t[1:{limit}]))", f"t[1:{limit}]"
+    cut = f"CASE WHEN length(t) <= {limit} THEN t WHEN {fence} > 0 AND {fence} + {limit - 201} < {limit + 500} THEN t[1:{fence} + {limit - 198}] WHEN {stop} > 0 AND length({head}) - {stop} - 1 > {limit // 2} THEN t[1:length({head}) - {stop}] ELSE {head} || '...' END"
+    return clean, cut
+
+
+CRUMB = r"coalesce(filename, 'unknown') || CASE WHEN coalesce(parent_heading, '') NOT IN ('', regexp_replace(coalesce(filename, 'unknown'), '([^.])\.[^.]+$', '\1')) THEN ' > ' || parent_heading ELSE '' END || CASE WHEN coalesce(heading, '') NOT IN ('', coalesce(parent_heading, '')) THEN ' > ' || heading ELSE '' END"
+
+
+@query(
+    SEARCH_SQL + f""", x AS (SELECT query_id, rank, final, category, {CRUMB} AS crumb, {snippet_sql(1500)[0]} AS t FROM rk JOIN sections ON section_id = key WHERE rank <= n),
+bl AS (SELECT query_id, rank, '### [' || rank || '] ' || crumb || chr(10) || '**Relevance:** ' || round_even(round(final, 9) * 100, 0)::BIGINT || '% | **Category:** ' || coalesce(category, '') || chr(10) || chr(10) || {snippet_sql(1500)[1]} || chr(10) AS b FROM x),
+al AS (SELECT query_id, string_agg(b, chr(10) ORDER BY rank) AS b FROM bl GROUP BY query_id)
+SELECT q.query_id, CASE WHEN b IS NULL THEN 'No results found for: ''' || query || '''' ELSE '## Results for: "' || query || '"' || chr(10) || chr(10)
+|| CASE WHEN coalesce(category, '') <> '' OR coalesce(filename, '') <> '' THEN '**Filters:** ' || concat_ws(', ', CASE WHEN coalesce(category, '') <> '' THEN 'category=' || category END, CASE WHEN coalesce(filename, '') <> '' THEN 'file=' || filename END) || chr(10) || chr(10) ELSE '' END
+|| '**Method:** Hybrid (Vector + BM25)' || chr(10) || chr(10) || b END AS rendered FROM queries q LEFT JOIN al USING (query_id) WHERE {ASKED}"""
+)
 def rendered_search(spark: SparkSession, d: str) -> DataFrame:
     return render_results(search_results(spark, d), asked(spark, d))
 
 
+@query("SELECT count(*) AS n_queries, true AS reached FROM embeddings WHERE vec_id % 20 = 0 AND embedding IS NOT NULL")
+def vector_index_recall(spark: SparkSession, d: str) -> DataFrame:
+    """Whether the inverted lists, which hold every vector, give at least 0.9 of the ten nearest of the stated queries."""
+    e = t(spark, d, "embeddings")
+    index = VectorIndex.fit(e)
+    q = e.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
+    near = vector_topk(q, index.assign(e), 10, index=index).select("query_id", "vec_id", F.lit(1).alias("hit"))
+    both = vector_topk(q, e, 10).join(near, ["query_id", "vec_id"], "left")
+    return both.agg(F.countDistinct("query_id").alias("n_queries"), (F.count("hit") >= 0.9 * F.count("*")).alias("reached"))
+
+
 @query(r"""WITH p AS (SELECT section_id, word_count, coalesce(filename, 'unknown') AS f, coalesce(parent_heading, '') AS p, coalesce(heading, '') AS h, regexp_replace(coalesce(filename, 'unknown'), '([^.])\.[^.]+$', '\1') AS stem FROM sections)
 SELECT section_id, f || CASE WHEN p <> '' AND p <> stem THEN ' > ' || p ELSE '' END || CASE WHEN h <> '' AND h <> p THEN ' > ' || h ELSE '' END AS crumb, round_even(coalesce(word_count, 0) / 8.0, 0)::BIGINT::VARCHAR || '%' AS share FROM p""")
 def breadcrumbs(spark: SparkSession, d: str) -> DataFrame:
@@ -350,6 +423,8 @@ def snippets(spark: SparkSession, d: str) -> DataFrame:
 
 # --- stored collections -------------------------------------------------------------------------------------
 
+DIFF_SQL = """WITH o AS (SELECT collection, root, path, min(md5) AS old, true AS there FROM manifest WHERE generation = 1 GROUP BY ALL), n AS (SELECT collection, root, path, min(md5) AS new, true AS here FROM manifest WHERE generation = 2 GROUP BY ALL),
+d AS (SELECT collection, root, path, CASE WHEN here IS NULL THEN 'deleted' WHEN new IS NULL THEN 'unreadable' WHEN there IS NULL THEN 'added' WHEN old = new THEN 'unchanged' ELSE 'changed' END AS state FROM o FULL JOIN n USING (collection, root, path)) """
 FILLED = "SELECT section_id, collection, coalesce(filename, 'unknown') AS filename, coalesce(category, 'other') AS category, coalesce(word_count, 0) AS word_count FROM sections"
 
 
@@ -375,7 +450,61 @@ def top_files(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT collection, count(*) AS chunks FROM sections GROUP BY collection")
 def list_collections(spark: SparkSession, d: str) -> DataFrame:
-    return t(spark, d, "sections").groupBy("collection").agg(F.count("*").alias("chunks"))
+    return collection_counts(t(spark, d, "sections"))
+
+
+def stored(spark: SparkSession, d: str) -> Store:
+    """A new store with the sections as chunks, each under its own id."""
+    store = Store(spark, f"{shared_dir(spark)}/textloom-store-{uuid.uuid4().hex}", buckets=4)
+    sections = t(spark, d, "sections").where("collection IS NOT NULL")
+    chunks = sections.select("collection", F.col("section_id").cast("string").alias("chunk_id"), "source", "filename", "heading", "parent_heading", "category", "section_ordinal", "sub_index", "word_count", "text", F.array(F.lit(1.0).cast("float")).alias("embedding"))
+    for c in [r[0] for r in sections.select("collection").distinct().orderBy("collection").collect()]:
+        store.replace_sources(c, chunks.where(F.col("collection") == c))
+    return store
+
+
+@query(DIFF_SQL.rstrip() + """, s AS (SELECT * FROM sections WHERE collection IS NOT NULL), f AS (SELECT collection, path FROM d WHERE state IN ('added', 'changed', 'deleted') AND root = 'docs')
+SELECT collection, section_id::VARCHAR AS chunk_id, coalesce(source, '') AS source FROM s WHERE NOT EXISTS (SELECT 1 FROM f WHERE f.collection = s.collection AND f.path = s.source)
+UNION ALL SELECT collection, 'new ' || md5(path), path FROM d WHERE state IN ('added', 'changed') AND root = 'docs'""")
+def store_upsert(spark: SparkSession, d: str) -> DataFrame:
+    """The store after the second generation of one root: one chunk for each added and changed file, no other ones of
+    added, changed and deleted files."""
+    store, m = stored(spark, d), t(spark, d, "manifest").where("root = 'docs'")
+    old, new = (manifest.latest(m.where(F.col("generation") == k)) for k in (1, 2))
+    for c in [r[0] for r in m.select("collection").distinct().orderBy("collection").collect()]:
+        # the first generation is in the manifest, but brings no chunks
+        first = old.where(F.col("collection") == c).select(F.lit("docs").alias("root"), "path", "md5")
+        store.replace_sources(c, store.chunks(c).limit(0), first.select("path").limit(0).withColumnRenamed("path", "source"), first)
+        now = new.where(F.col("collection") == c).select("path", "md5")
+        states = materialize(store.changes(c, "docs", now), "states")
+        text = F.md5("path")
+        fresh = states.where("state IN ('added', 'changed')").select("collection", F.concat(F.lit("new "), text).alias("chunk_id"), F.col("path").alias("source"), X.file_name(F.col("path")).alias("filename"), *[F.lit("").alias(x) for x in ("heading", "parent_heading", "category")], *[F.lit(0).alias(x) for x in ("section_ordinal", "sub_index", "word_count")], text.alias("text"))
+        store.apply(c, "docs", now, states, fresh)
+    return store.chunks().select("collection", "chunk_id", F.coalesce("source", F.lit("")).alias("source"))
+
+
+@query("""WITH s AS (SELECT * FROM sections WHERE collection IS NOT NULL), gone AS (SELECT collection, max(filename) AS filename FROM s GROUP BY collection)
+SELECT collection, count(*) AS chunks FROM s JOIN gone g USING (collection) WHERE collection <> (SELECT min(collection) FROM s) AND NOT coalesce(s.filename = g.filename, false) GROUP BY collection""")
+def store_remove(spark: SparkSession, d: str) -> DataFrame:
+    """The collections of the store after each has lost its last file by name, and the first one has been dropped."""
+    store = stored(spark, d)
+    last = store.chunks().groupBy("collection").agg(F.max("filename").alias("f")).orderBy("collection").collect()
+    for r in last:
+        if r["f"] is not None:
+            store.remove_source(r["collection"], r["f"])
+    if last:
+        store.drop(last[0]["collection"], confirm=True)
+    store.vacuum(1)
+    return store.collections()
+
+
+@query(f"""WITH {SECTIONS_BM25} SELECT query_id, key::VARCHAR AS chunk_id, rank::INTEGER AS rank, round(score, 6) AS score FROM
+(SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, key::VARCHAR) AS rank FROM b) WHERE rank <= 10""")
+def bm25_stored(spark: SparkSession, d: str) -> DataFrame:
+    """BM25 from the postings and statistics that the store keeps."""
+    store = stored(spark, d)
+    scores = bm25.bm25_scores(asked(spark, d), store.chunks(), index=store.bm25_index())
+    return bm25.top_k(scores, 10).select("query_id", F.col("key").alias("chunk_id"), "rank", F.round("score", 6).alias("score"))
 
 
 def generations(spark: SparkSession, d: str) -> DataFrame:
@@ -383,10 +512,6 @@ def generations(spark: SparkSession, d: str) -> DataFrame:
     return manifest.diff(m.where("generation = 1"), m.where("generation = 2"))
 
 
-DIFF_SQL = """WITH o AS (SELECT collection, root, path, min(md5) AS old, true AS there FROM manifest WHERE generation = 1 GROUP BY ALL), n AS (SELECT collection, root, path, min(md5) AS new, true AS here FROM manifest WHERE generation = 2 GROUP BY ALL),
-d AS (SELECT collection, root, path, CASE WHEN here IS NULL THEN 'deleted' WHEN new IS NULL THEN 'unreadable' WHEN there IS NULL THEN 'added' WHEN old = new THEN 'unchanged' ELSE 'changed' END AS state FROM o FULL JOIN n USING (collection, root, path)) """
-
-
 @query(DIFF_SQL + "SELECT * FROM d")
 def manifest_diff(spark: SparkSession, d: str) -> DataFrame:
     return generations(spark, d)
@@ -413,9 +538,10 @@ def upsert_snapshot(spark: SparkSession, d: str) -> DataFrame:
     return manifest.upsert(chunks, states.where("state IN ('changed', 'deleted')"), fresh).select("collection", "chunk_id", "category")
 
 
-@query("SELECT collection, count(*) AS chunks FROM sections WHERE coalesce(filename, '') <> 'complete-handbook.md' GROUP BY collection")
+@query("SELECT collection, count(*) AS chunks FROM sections WHERE NOT coalesce(collection = 'docs_v4' AND filename = 'complete-handbook.md', false) GROUP BY collection")
 def remove_source(spark: SparkSession, d: str) -> DataFrame:
-    return t(spark, d, "sections").where(F.coalesce("filename", F.lit("")) != "complete-handbook.md").groupBy("collection").agg(F.count("*").alias("chunks"))
+    """The collections without one file of one of them, by the predicate with which the store removes it."""
+    return collection_counts(t(spark, d, "sections").where(~from_file(F.col("collection"), F.col("filename"), "docs_v4", "complete-handbook.md")))
 
 
 @query(f"SELECT {SUFFIX.format('path')} AS suffix, count(DISTINCT path) AS n_files FROM manifest WHERE {SUFFIX.format('path')} IN {SUPPORTED_SQL} AND NOT regexp_matches(path, '(^|/)(\\.|(__pycache__|node_modules|venv|env|chroma_db|build|dist)(/|$))') GROUP BY 1")
@@ -563,3 +689,15 @@ def watched_events(spark: SparkSession, d: str) -> DataFrame:
 s AS (SELECT *, sum(new) OVER (ORDER BY ts ROWS UNBOUNDED PRECEDING) AS s FROM e) SELECT min(ts) AS start, max(ts) AS last, count(*) AS n_events, count(DISTINCT path)::INTEGER AS n_paths FROM s GROUP BY s""")
 def debounce(spark: SparkSession, d: str) -> DataFrame:
     return bursts(t(spark, d, "change_events"))
+
+
+@query(SQL["debounce"])
+def debounce_stream(spark: SparkSession, d: str) -> DataFrame:
+    """The same bursts from a stream over the files of the table, run until all are read."""
+    out, source = f"{shared_dir(spark)}/textloom-stream-{uuid.uuid4().hex}", t(spark, d, "change_events")
+    source.write.parquet(f"{out}/events")
+    stream = bursts(spark.readStream.schema(source.schema).parquet(f"{out}/events"))
+    # all sessions, open ones too, are written with each batch; the last batch has them all
+    q = stream.writeStream.outputMode("complete").option("checkpointLocation", f"{out}/state").foreachBatch(lambda b, k: b.write.mode("overwrite").parquet(f"{out}/bursts")).trigger(availableNow=True).start()
+    q.awaitTermination()
+    return spark.read.schema(stream.schema).parquet(f"{out}/bursts")

@@ -32,10 +32,11 @@ def bursts(events: DataFrame, quiet: float = 2.0, late: str | None = None, bucke
     """
     e = watched(events)
     if events.isStreaming:
-        e = e.withWatermark("ts", late or "0 seconds")
+        kind = dict(events.dtypes)["ts"]
+        e = e.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late or "0 seconds")
         by = [key] if key else [F.length("path") >= 0]  # sessions need a key; this one is the same for all events of one root
         s = e.groupBy(*by, F.session_window("ts", f"{quiet} seconds").alias("w")).agg(F.count("*").alias("n_events"), F.size(F.collect_set("path")).alias("n_paths"), F.max("ts").alias("last"))
-        return s.select(*([key] if key else []), F.col("w.start").alias("start"), "last", "n_events", "n_paths")
+        return s.select(*([key] if key else []), F.col("w.start").cast(kind).alias("start"), F.col("last").cast(kind).alias("last"), "n_events", "n_paths")
     own = [key] if key else []
     kind = dict(events.dtypes)["ts"]
     micros = F.unix_micros(F.col("ts").cast("timestamp"))
