@@ -13,16 +13,21 @@ def greedy_dedup(results: DataFrame, *, text: str = "text", score: str = "final_
     """Each query's results in score order (then place) without those whose first ``chars`` characters are more
     than ``ratio`` like those of a kept one.  A query has few results (a shortlist), so a group is small."""
 
+    def like(m: SequenceMatcher, head: str) -> bool:
+        m.set_seq1(head)
+        # two bounds from above save most comparisons
+        return m.real_quick_ratio() > ratio and m.quick_ratio() > ratio and m.ratio() > ratio
+
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values([score, place], ascending=[False, True], kind="stable")
-        heads: list[str] = []
+        kept: list[SequenceMatcher] = []  # one for each kept head, which it has analysed once
         keep = []
         for t in pdf[text]:
             head = (t or "")[:chars]
-            fresh = all(SequenceMatcher(None, head, h).ratio() <= ratio for h in heads)
+            fresh = not any(like(m, head) for m in kept)
             keep.append(fresh)
             if fresh:
-                heads.append(head)
+                kept.append(SequenceMatcher(None, "", head))
         return pdf[keep]
 
     return results.groupBy("query_id").applyInPandas(run, results.schema)
