@@ -68,13 +68,17 @@ def masked(cores: pa.Array) -> pa.Array:
 def signatures(doc: np.ndarray, ids: np.ndarray, n_texts: int) -> np.ndarray:
     """64-bit SimHash of the words of each text, from ``word_ids``; 0 for a text without words."""
     n = np.bincount(doc, minlength=n_texts)
-    full = np.flatnonzero(n)
     out = np.zeros(n_texts, dtype=np.uint64)
-    if len(full):
-        first, h = (np.cumsum(n) - n)[full], mix(ids)
-        for k in range(64):
-            on = np.add.reduceat((h >> np.uint64(k) & np.uint64(1)).astype(np.int32), first) * 2 > n[full]
-            out[full] |= on.astype(np.uint64) << np.uint64(k)
+    full, end = np.flatnonzero(n), np.cumsum(n)
+    a = 0
+    while a < len(full):  # some texts at a time, as the bits of a word take 64 bytes
+        b = max(a + 1, int(np.searchsorted(end[full], (end[full[a - 1]] if a else 0) + 200_000, side="right")))
+        some = full[a:b]
+        low = end[some[0]] - n[some[0]]
+        bits = np.unpackbits(mix(ids[low : end[some[-1]]]).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+        on = np.add.reduceat(bits, end[some] - n[some] - low, axis=0, dtype=np.int32) * 2 > n[some][:, None]
+        out[some] = np.packbits(on, axis=1, bitorder="little").view(np.uint64).ravel()
+        a = b
     return out
 
 
@@ -89,7 +93,7 @@ def known_residue(core: str) -> bool:
     lines = [x for x in core.split("\n") if x.strip()]
     for x in sorted(lines, key=len, reverse=True):  # long lines decide soonest
         words = B.WORD.findall(x.lower())
-        if not (len(words) <= 24 and B.RESIDUE_RE.search(B.bare(re.sub(r"`[^`]*`", " ", x))) or words and sum(w in B.LOREM for w in words) >= 0.7 * len(words)):
+        if not (len(words) <= 24 and B.RESIDUE_RE.search(B.bare(re.sub(r"`[^`]*`", " ", x))) or words and sum(map(B.LOREM.__contains__, words)) >= 0.7 * len(words)):
             return False
     return bool(lines)
 
@@ -101,8 +105,8 @@ def word_ids(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     enc = pc.dictionary_encode(lists.flatten())
     own = np.array([xxhash.xxh3_64_intdigest(w) if w else 0 for w in enc.dictionary.to_pylist()], dtype=np.uint64)
     doc, code = np.repeat(np.arange(len(texts)), size), enc.indices.to_numpy(zero_copy_only=False).astype(np.int64)
-    order = np.lexsort((code, doc))
-    doc, code = doc[order], code[order]
+    joint = np.sort(doc * np.int64(max(len(own), 1)) + code)
+    doc, code = joint // max(len(own), 1), joint % max(len(own), 1)
     new = np.r_[True, (doc[1:] != doc[:-1]) | (code[1:] != code[:-1])] if len(doc) else np.zeros(0, bool)
     number = np.arange(len(doc)) - np.maximum.accumulate(np.where(new, np.arange(len(doc)), 0))
     word = own[code] if len(own) else np.zeros(0, np.uint64)
@@ -138,6 +142,14 @@ def words_table(tmpl: DataFrame) -> DataFrame:
     return tmpl.select("text").mapInPandas(run, "slot int")
 
 
+def in_order(doc: np.ndarray, count: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    """The order by text, count (below 2 ** 20) and identifier."""
+    joint = (doc.astype(np.uint64) << np.uint64(44)) | (count.astype(np.uint64) << np.uint64(24)) | (ids >> np.uint64(40))
+    order = np.argsort(joint)
+    tied = (doc[-1] >> 20 if len(doc) else 0) or (joint[order][1:] == joint[order][:-1]).any()
+    return np.lexsort((ids, count, doc)) if tied else order  # a number of 64 bits nearly always tells them apart
+
+
 def meeting_keys(tmpl: DataFrame, counts: np.ndarray, t: float, name: str, marks: np.ndarray | None = None) -> DataFrame:
     """(name, w, at, n, sig) of the keys at which a template meets those alike to it.
 
@@ -152,7 +164,7 @@ def meeting_keys(tmpl: DataFrame, counts: np.ndarray, t: float, name: str, marks
             doc, ids = word_ids(pdf["text"].tolist())
             own, size = pdf[name].to_numpy(), np.bincount(doc, minlength=len(pdf))
             sig = signatures(doc, ids, len(pdf))
-            order = np.lexsort((ids, counts[(ids % np.uint64(SLOTS)).astype(np.int64)], doc))
+            order = in_order(doc, np.minimum(counts[(ids % np.uint64(SLOTS)).astype(np.int64)], (1 << 20) - 1), ids)
             doc, ids = doc[order], ids[order]
             at = np.arange(len(doc)) - (np.cumsum(size) - size)[doc]
             keep = at < (size - np.ceil(t / (2 - t) * size - 1e-9).astype(np.int64) + 1)[doc]

@@ -162,13 +162,13 @@ def truncated(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text"
     very long texts are read whole; an empty table gives an empty result.  Only the three named columns are
     read, so other columns may have any names.
     """
-    ends = materialize(tails(docs, id_col, text_col, source_col), "tails").withColumn("m", mask(F.col("line")))
+    ends = materialize(tails(docs, id_col, text_col, source_col).withColumn("m", mask(F.col("line"))).drop("line"), "tails")
     limits = materialize(length_limits(ends), "limits")
     e = ends
     for u in ("chars", "bytes"):
         at = limits.where(F.col("unit") == u).select(F.col("source").alias(f"s_{u}"), F.col("limit").alias(f"l_{u}"))
         e = e.join(at, e["source"].eqNullSafe(F.col(f"s_{u}")) & (F.col(f"n_{u}") == F.col(f"l_{u}")), "left")
-    e = e.withColumn("at_limit", F.col("l_chars").isNotNull() | F.col("l_bytes").isNotNull())
+    e = materialize(e.withColumn("at_limit", F.col("l_chars").isNotNull() | F.col("l_bytes").isNotNull()).drop("s_chars", "l_chars", "s_bytes", "l_bytes"), "limited")
     # copies of one text say nothing about its last line, so different texts are counted
     often = e.where(F.col("n_words") <= closing_words).groupBy("m").agg(F.countDistinct("digest").alias("k"), F.avg(F.col("at_limit").cast("int")).alias("share")).where((F.col("k") >= closing_texts) & (F.col("share") < 0.3)).select("m")
     closing = line_trie(docs, text_col, materialize(often, "often"), closing_words).where(2 * F.col("ends") >= F.col("passes")).select("m", F.lit(True).alias("known_line"))
