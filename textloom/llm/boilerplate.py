@@ -13,6 +13,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -40,22 +41,30 @@ def recurring(keyed: DataFrame) -> DataFrame:
 
 
 def shares_of(keys: np.ndarray, counts: np.ndarray, known: np.ndarray, share: np.ndarray) -> np.ndarray:
-    """The share of its site's URLs of each line of a page, 0 where it does not recur."""
+    """The share of its site's URLs of each line of a site's pages, 0 where it does not recur."""
     if not len(known) or not len(keys):
         return np.zeros(len(keys), np.float32)
     at = np.minimum(np.searchsorted(known, keys), len(known) - 1)
     return np.where(counts & (known[at] == keys), share[at], 0).astype(np.float32)
 
 
-def split_pages(texts: pa.Array, known_keys: pa.ListArray, known_shares: pa.ListArray) -> tuple[list[B.Page], pa.Array]:
-    """The pages of a batch, with the shares of their lines, and the words of their non-blank lines."""
+def split_pages(texts: pa.Array, sites: pa.Array, known_keys: pa.ListArray, known_shares: pa.ListArray) -> tuple[list[B.Page], pa.Array]:
+    """The pages of a batch, with the shares of their lines, and the words of their non-blank lines.
+
+    Neighbouring pages of one site are looked up together.
+    """
     own = line_keys(texts)
     end = np.cumsum(own.size)
-    out = []
-    for t, a, b, ks, ss in zip(texts.to_pylist(), (end - own.size).tolist(), end.tolist(), known_keys, known_shares):
-        ks, ss = (np.zeros(0) if x.values is None else x.values.to_numpy(zero_copy_only=False) for x in (ks, ss))
-        out.append(B.split_page(t, shares_of(own.key[a:b], own.counts[a:b], ks, ss), own.fenced[a:b]))
-    full = np.concatenate([p.at + a for p, a in zip(out, (end - own.size).tolist())]) if out else np.zeros(0, np.int64)
+    first = end - own.size
+    site = pc.dictionary_encode(pc.fill_null(sites, "")).indices.to_numpy()
+    edges = np.flatnonzero(np.r_[True, site[1:] != site[:-1], True]) if len(site) else np.zeros(1, np.int64)
+    share = np.zeros(len(own.key), np.float32)
+    for p, q in zip(edges[:-1].tolist(), edges[1:].tolist()):
+        a, b = first[p], end[q - 1]
+        ks, ss = (np.zeros(0) if x.values is None else x.values.to_numpy(zero_copy_only=False) for x in (known_keys[p], known_shares[p]))
+        share[a:b] = shares_of(own.key[a:b], own.counts[a:b], ks, ss)
+    out = [B.split_page(t, share[a:b], own.fenced[a:b]) for t, a, b in zip(texts.to_pylist(), first.tolist(), end.tolist())]
+    full = np.concatenate([p.at + a for p, a in zip(out, first.tolist())]) if out else np.zeros(0, np.int64)
     return out, own.words.take(pa.array(own.at[full]))
 
 
@@ -72,7 +81,7 @@ def fit_labeller(keyed: DataFrame, known: DataFrame) -> B.Labeller:
     """The labeller, from the pages whose texts ``keyed`` carries."""
     own = keyed.where("t IS NOT NULL").join(known, F.col("site") == F.col("s"), "left").select("site", "u", "i", "t", F.col("known.key").alias("k"), F.col("known.share").alias("sh"))
     got = own.toArrow().combine_chunks()
-    pages = split_pages(*(got[c].combine_chunks() for c in ("t", "k", "sh")))[0] if got.num_rows else []
+    pages = split_pages(*(got[c].combine_chunks() for c in ("t", "site", "k", "sh")))[0] if got.num_rows else []
     order = sorted(range(got.num_rows), key=lambda r: (got["site"][r].as_py(), got["u"][r].as_py(), str(got["i"][r].as_py())))
     return B.fit([pages[r] for r in order])
 
@@ -132,7 +141,7 @@ def label_pages(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "ur
                 a = b
 
     kept = pages.where(F.col(content_col).isNotNull() & F.col(content_col).rlike(r"\S")).select(F.col(id_col).alias("i"), site_of(F.coalesce(F.col(url_col), F.lit(""))).alias("site"), F.col(content_col).alias("t"))
-    rows = kept.join(known, F.col("site") == F.col("s"), "left").select("i", "t", F.col("known.key").alias("k"), F.col("known.share").alias("sh"))
+    rows = kept.join(known, F.col("site") == F.col("s"), "left").select("i", "t", "site", F.col("known.key").alias("k"), F.col("known.share").alias("sh"))
     out = rows.mapInArrow(run, f"i {kind}, frame array<int>, n_article int, n_residue int, tmpl bigint, n int, text string, sure boolean")
     return out.withColumnRenamed("i", id_col)
 
