@@ -27,7 +27,7 @@ def diff(old: DataFrame, new: DataFrame) -> DataFrame:
 def keep_chunks(chunks: DataFrame, gone: DataFrame) -> DataFrame:
     """Chunks of files that are not in ``gone`` (collection, path)."""
     g = gone.select(F.col("collection").alias("_c"), F.col("path").alias("_p")).distinct()
-    return chunks.join(g, (F.col("collection") == F.col("_c")) & (F.col("source") == F.col("_p")), "left_anti")
+    return chunks.join(g, (F.col("collection") == F.col("_c")) & F.col("source").eqNullSafe(F.col("_p")), "left_anti")
 
 
 def upsert(chunks: DataFrame, gone: DataFrame, fresh: DataFrame) -> DataFrame:

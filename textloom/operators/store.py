@@ -188,8 +188,10 @@ class Store:
         n = hit.count()
         if n:
             rows = self.manifest(collection).where(F.regexp_extract("path", "([^/]*)$", 1) == filename)
-            # the pair (source, filename) is one to one, so whole sources go
-            self._change(collection, hit.select(F.col("source").alias("path")).distinct(), self.spark.createDataFrame([], CHUNKS), rows.limit(0) if reset else None, rows if reset else None)
+            sources = hit.select(F.col("source").alias("path")).distinct()
+            # what else a source has, under another file name, stays
+            other = mine.where(~from_file(F.col("collection"), F.col("filename"), collection, filename)).join(sources, F.col("source").eqNullSafe(F.col("path")), "left_semi")
+            self._change(collection, sources, other, rows.limit(0) if reset else None, rows if reset else None)
         return n
 
     def drop(self, collection: str, confirm: bool = False) -> int:

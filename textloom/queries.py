@@ -395,6 +395,52 @@ SELECT q.query_id, CASE WHEN b IS NULL THEN 'No results found for: ''' || query
 def rendered_search(spark: SparkSession, d: str) -> DataFrame:
     return render_results(search_results(spark, d), asked(spark, d))
 
+@query(
+    f"WITH {SECTIONS_BM25}, {VARIANTS_SQL} {SHORTLIST}, "
+    "ln AS (SELECT sh.*, length(coalesce(text, ''))::DOUBLE AS rr FROM sh JOIN sections ON section_id = key), "
+    "bs AS (SELECT *, 0.4 * (hybrid - min(hybrid) OVER w) / CASE WHEN max(hybrid) OVER w <> min(hybrid) OVER w THEN max(hybrid) OVER w - min(hybrid) OVER w ELSE 1 END + 0.6 * (rr - min(rr) OVER w) / CASE WHEN max(rr) OVER w <> min(rr) OVER w THEN max(rr) OVER w - min(rr) OVER w ELSE 1 END AS final FROM ln WINDOW w AS (PARTITION BY query_id)) "
+    "SELECT query_id, rank::INTEGER AS rank, key AS section_id, round(final, 6) AS final_score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY final DESC, place) AS rank FROM bs) WHERE rank <= n"
+)
+def reranked_search(spark: SparkSession, d: str) -> DataFrame:
+    """The pipeline with a reranker: one that prefers long texts, as SQL can compute that."""
+    found = search(asked(spark, d), t(spark, d, "sections"), key="section_id", embedder=DigestEmbedder(), reranker=lambda q, x: [len(s) for s in x], duplicate_ratio=1.0)
+    return found.select("query_id", "rank", "section_id", F.round("final_score", 6).alias("final_score"))
+
+
+ADDED = "\n\n## Added\n\nThis part was written into the file after the first run."
+FOLDER_SQL = CHUNKS_SQL.replace("WITH RECURSIVE d AS", f"WITH RECURSIVE files AS (SELECT doc_id, source, replace(replace(text || CASE WHEN doc_id % 10 = 1 THEN replace('{ADDED}', '\n', chr(10)) ELSE '' END, chr(13) || chr(10), chr(10)), chr(13), chr(10)) AS text FROM documents WHERE doc_id % 10 <> 0), d AS", 1).replace("FROM documents WHERE regexp_matches", "FROM files WHERE regexp_matches", 1)
+
+
+@query(f"SELECT source, section_ordinal, heading, parent_heading, category, md5(text) AS digest FROM ({FOLDER_SQL})")
+def index_folder(spark: SparkSession, d: str) -> DataFrame:
+    """The chunks in the engine's store after two runs over a folder: each document a file, of which some are changed and
+    some deleted between the runs."""
+    import os
+
+    from textloom.api import Engine
+
+    base = f"{shared_dir(spark).removeprefix('file://')}/textloom-folder-{uuid.uuid4().hex}"
+    docs = t(spark, d, "documents").where("text IS NOT NULL").select(F.concat(F.coalesce("source", F.lit("none")), F.lit("/"), F.col("doc_id").cast("string"), F.lit(".md")).alias("path"), "text", "doc_id")
+
+    def write(rows) -> None:  # noqa: ANN001
+        for r in rows:
+            path = f"{base}/docs/{r['path']}"
+            os.makedirs(os.path.dirname(path), exist_ok=True)
+            with open(path, "wb") as f:
+                f.write(r["text"].encode("utf-8"))
+
+    def remove(rows) -> None:  # noqa: ANN001
+        for r in rows:
+            os.remove(f"{base}/docs/{r['path']}")
+
+    docs.foreachPartition(write)
+    engine = Engine(spark, f"{base}/index", embedder=DigestEmbedder())
+    engine.index_documents(f"{base}/docs", "folder")
+    docs.where("doc_id % 10 = 0").foreachPartition(remove)
+    docs.where("doc_id % 10 = 1").withColumn("text", F.concat("text", F.lit(ADDED))).foreachPartition(write)
+    engine.index_documents(f"{base}/docs", "folder")
+    return engine.store.chunks("folder").select(F.replace("source", F.lit(f"{base}/docs/"), F.lit("")).alias("source"), "section_ordinal", "heading", "parent_heading", "category", F.md5("text").alias("digest"))
+
 
 @query("SELECT count(*) AS n_queries, true AS reached FROM embeddings WHERE vec_id % 20 = 0 AND embedding IS NOT NULL")
 def vector_index_recall(spark: SparkSession, d: str) -> DataFrame:
@@ -675,6 +721,55 @@ def url_join(spark: SparkSession, d: str) -> DataFrame:
     return p.select("page_id", *[crawl.join_url("url", F.lit(x)).alias(k) for k, x in links.items()])
 
 
+def answer(url: str) -> tuple[int, str, bytes]:
+    """A network of its own: a repository of 800 files, two registries, a sitemap below the first folder, and pages."""
+    import json
+    import re
+
+    if url.startswith("https://api.github.com/repos/o/r/git/trees/v2"):
+        return 200, "application/json", json.dumps({"tree": [{"type": "blob", "path": f"{('docs/a', 'docs/b', 'docs/c', 'other/d')[k % 4]}{k}{('.md', '.RST', '.py', '.md')[k % 4]}"} for k in range(800)] + [{"type": "tree", "path": "docs"}]}).encode()
+    if url.startswith("https://raw.githubusercontent.com/"):
+        return 200, "text/plain", b" " if url.endswith("docs/a8.md") else f"text of\r\n{url}".encode()
+    if url.startswith("https://registry.npmjs.org/"):
+        return 200, "application/json", json.dumps({"readme": f"npm {url[27:]}"}).encode()
+    if url.startswith("https://pypi.org/"):
+        return 200, "application/json", json.dumps({"info": {"description": f"pypi {url[17:]}"}}).encode()
+    if url == "https://site.test/docs/sitemap.xml":
+        return 200, "application/xml", "".join(f"<loc> https://site.test/{('docs', 'blog')[k % 2]}/{k // 4} </loc>" for k in range(40)).encode()
+    if m := re.fullmatch(r"https://site\.test/p(\d+)", url):
+        k = int(m[1])
+        return (404, "text/html", b"") if k % 5 == 0 else (200, "text/plain" if k % 5 == 1 else "text/html; charset=utf-8", f"<title> T{k} </title><nav>menu</nav><main><p>{'Some words of content. ' * 12}</p></main>".encode())
+    return 404, "", b""
+
+
+@query(r"""WITH f AS (SELECT i, CASE i % 4 WHEN 0 THEN 'docs/a' || i || '.md' WHEN 1 THEN 'docs/b' || i || '.RST' ELSE 'other/d' || i || '.md' END AS path FROM range(800) t(i) WHERE i % 4 <> 2 ORDER BY i LIMIT 300),
+g AS (SELECT 'github' AS kind, 'https://raw.githubusercontent.com/o/r/v2/' || path AS url FROM f WHERE i <> 8)
+SELECT kind, url, 'text of' || chr(10) || url AS content FROM g
+UNION ALL VALUES ('npm', 'https://www.npmjs.com/package/axios', 'npm axios/1.6'), ('npm', 'https://www.npmjs.com/package/left', 'npm left/latest'), ('pypi', 'https://pypi.org/project/x/', 'pypi pypi/x/json'), ('pypi', 'https://pypi.org/project/y/', 'pypi pypi/y/1.0/json')
+UNION ALL SELECT DISTINCT 'web', 'https://site.test/docs/' || (i // 4), '' FROM range(40) t(i) WHERE i % 2 = 0""")
+def remote_sources(spark: SparkSession, d: str) -> DataFrame:
+    """What URIs of four schemes name, from ``answer``: at most 300 documents of a repository, registry pages, a sitemap's URLs."""
+    uris = ["github://o/r@v2", "npm://axios@1.6", "npm://left", "pypi://x", "pypi://y@1.0", "https://site.test/docs/"]
+    out = spark.createDataFrame([], "kind string, url string, content string")
+    for uri in uris:
+        kind = remote.scheme_of(uri)
+        if kind == "github":
+            found = remote.github_files(spark, uri, answer)
+        elif kind in ("npm", "pypi"):
+            found = remote.registry_page(spark, uri, answer)
+        else:
+            found = remote.sitemap_seeds(spark, uri, answer).withColumn("content", F.lit(""))
+        out = out.unionByName(found.select(F.lit(kind).alias("kind"), "url", "content"))
+    return out
+
+
+@query("SELECT doc_id, 'https://site.test/p' || doc_id AS url, '# T' || doc_id || chr(10) || chr(10) || 'Source: https://site.test/p' || doc_id || chr(10) || chr(10) || rtrim(repeat('Some words of content. ', 12)) || chr(10) AS content FROM documents WHERE doc_id % 5 > 1")
+def fetched_pages(spark: SparkSession, d: str) -> DataFrame:
+    """One page for each document, fetched in the tasks from ``answer``; what is missing or no HTML is left out."""
+    asked_for = t(spark, d, "documents").select("doc_id", F.concat(F.lit("https://site.test/p"), F.col("doc_id").cast("string")).alias("url"))
+    return asked_for.join(remote.FetchedPages(answer).fetch(asked_for), "url").select("doc_id", "url", "content")
+
+
 # --- changes ------------------------------------------------------------------------------------------------
 
 WATCHED = f"ts IS NOT NULL AND kind IN ('modified', 'created', 'deleted', 'moved') AND {SUFFIX.format('path')} IN {SUPPORTED_SQL}"
