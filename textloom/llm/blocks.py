@@ -149,8 +149,9 @@ class Features:
     def __init__(self) -> None:
         self.bucket: dict[str, int] = {}
 
-    def __call__(self, pages: list[Page], words: pa.Array | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """(tags, bucket of each word, number of words of each line, number of lines of each page).
+    def __call__(self, pages: list[Page], words: pa.Array | None = None) -> tuple[np.ndarray, ...]:
+        """(tags of each line, buckets of the words of the distinct lines, their numbers, the distinct line of each line, number of words of each line,
+        number of lines of each page).
 
         ``words`` has ``lines.plain`` of the non-blank lines where it is known already.
         """
@@ -194,12 +195,17 @@ class Features:
             buckets.append(h)
         each = pc.list_value_length(lists).to_numpy().astype(np.int64)
         n = each[line]
-        at = np.repeat((np.cumsum(each) - each)[line] - (np.cumsum(n) - n), n) + np.arange(n.sum())
-        words = np.array(buckets, dtype=np.int64)[enc.indices.to_numpy()][at] if buckets else np.zeros(0, np.int64)
+        own_words = np.array(buckets, dtype=np.int64)[enc.indices.to_numpy()] if buckets else np.zeros(0, np.int64)
         tags[:, k + 8] = np.minimum(n, 12) / 12
         tags[:, k + 9] = np.minimum(n, 40) / 40
         tags[:, k + 10] = np.concatenate([p.share for p in pages]) if pages else 0
-        return tags, words, n, size
+        return tags, own_words, each, line, n, size
+
+
+def spread(words: np.ndarray, each: np.ndarray, line: np.ndarray) -> np.ndarray:
+    """The words of all lines, from those of the distinct lines."""
+    n = each[line]
+    return words[np.repeat((np.cumsum(each) - each)[line] - (np.cumsum(n) - n), n) + np.arange(n.sum())]
 
 
 def sigmoid(x: np.ndarray) -> np.ndarray:
@@ -222,12 +228,13 @@ class Labeller:
             self.w |= {f"x{s}": rng.normal(0, 0.15, (d, 4 * HIDDEN)), f"h{s}": rng.normal(0, 0.15, (HIDDEN, 4 * HIDDEN)), f"b{s}": np.r_[np.zeros(HIDDEN), np.ones(HIDDEN), np.zeros(2 * HIDDEN)]}
         self.w = {k: v.astype(np.float32) for k, v in self.w.items()}
 
-    def inputs(self, tags: np.ndarray, words: np.ndarray, n: np.ndarray) -> np.ndarray:
-        mean = np.zeros((len(tags), EMB), dtype=np.float32)
+    def inputs(self, tags: np.ndarray, words: np.ndarray, n: np.ndarray, line: np.ndarray) -> np.ndarray:
+        """The vector of each line; words are those of the distinct lines, n their numbers."""
+        mean = np.zeros((len(n), EMB), dtype=np.float32)
         full = n > 0
         if full.any():
             mean[full] = np.add.reduceat(self.w["emb"][words], (np.cumsum(n) - n)[full], axis=0) / np.sqrt(n[full])[:, None]
-        return np.concatenate([mean, tags], axis=1)
+        return np.concatenate([mean[line], tags], axis=1)
 
     def run(self, x: np.ndarray, side: str, keep: bool = False):  # noqa: ANN201
         """Hidden states of one direction over x (time, batch, features)."""
@@ -298,8 +305,8 @@ class Labeller:
     def probabilities(self, feats: tuple, cells: int = 1 << 15, steps: int = 256) -> np.ndarray:
         """Class probabilities of each line.  Pages of like length run together, so many that their padded lines stay
         within ``cells``."""
-        tags, words, n, size = feats
-        x = self.inputs(tags, words, n)
+        tags, words, each, line, _, size = feats
+        x = self.inputs(tags, words, each, line)
         out = np.zeros((len(x), CLASSES), np.float32)
         first = np.cumsum(size) - size
         order = np.argsort(size, kind="stable")
@@ -319,8 +326,9 @@ class Labeller:
         return out
 
     def gradient(self, feats: tuple, labels: np.ndarray, weight: np.ndarray) -> dict[str, np.ndarray]:
-        tags, words, n, size = feats
-        x = self.inputs(tags, words, n)
+        tags, words, each, line, n, size = feats
+        x = self.inputs(tags, words, each, line)
+        words = spread(words, each, line)
         p, _ = self.pad(x, size)
         back = self.backward_ready(p, size)
         hf, gf = self.run(p, "f", True)

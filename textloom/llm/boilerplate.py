@@ -108,7 +108,7 @@ def label_pages(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "ur
     def label(split: list[B.Page], words: pa.Array, make: B.Features) -> Iterator[tuple]:
         feats = make(split, words)
         prob = shared.value.probabilities(feats)
-        best, n_words, at = prob.argmax(1), np.maximum(feats[2], 1).astype(np.float64), 0
+        best, n_words, at = prob.argmax(1), np.maximum(feats[4], 1).astype(np.float64), 0
         for p in split:
             lines = [p.lines[k] for k in p.at.tolist()]
             own, pr, words = best[at : at + len(lines)], prob[at : at + len(lines), B.RESIDUE], n_words[at : at + len(lines)]

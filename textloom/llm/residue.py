@@ -59,8 +59,10 @@ BLOCKS = 6
 def masked(cores: pa.Array) -> pa.Array:
     """Core texts without what varies between copies of one template."""
     a = pc.replace_substring_regex(cores, PLACEHOLDER, " placeholdermark ")
-    for _ in range(2):  # a name that follows a name is found the second time
-        a = pc.replace_substring_regex(a, NAME, r"\1namemark")
+    a = pc.replace_substring_regex(a, NAME, r"\1namemark")
+    again = pc.fill_null(pc.match_substring_regex(a, "namemark[ ,]" + NAME.split(")")[1]), False)
+    if pc.any(again).as_py():  # a name that follows a name
+        a = pc.replace_with_mask(a, again, pc.replace_substring_regex(a.filter(again), NAME, r"\1namemark"))
     a = pc.replace_substring_regex(pc.replace_substring_regex(pc.utf8_lower(a), r"\d+", "0"), MARK, r" \1 ")
     return pc.utf8_trim_whitespace(pc.replace_substring_regex(pc.replace_substring_regex(a, NO_WORD, " "), " {2,}", " "))
 
