@@ -21,10 +21,12 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
 
-from textloom.llm.lines import plain
+from textloom.llm.lines import bytes_of, plain
 
 ARTICLE, FRAME, RESIDUE, UNKNOWN = 0, 1, 2, -1
 BUCKETS, EMB, HIDDEN, CLASSES = 1 << 13, 20, 20, 3
+#: Words whose vectors are added up together.
+CACHED = 1 << 12
 
 #: General phrases of site frames, in lower case, digits as 0; seeds of the weak labels beside recurrence.
 FRAME_SEEDS = (
@@ -125,6 +127,31 @@ TAGS = (
     r"^\W*(←|Previous|Zur|Pr[ée]c|Назад)", r"^[^\p{Ll}]*\p{Lu}[^\p{Ll}]*$", r"`", r"\{\{|\}\}|<%|%>|@@|\[\[|\]\]|\{%|%\(|\$\{|%\w+%", r":\s*$|: \d", r"\.\s+\p{L}", r",", r"\d",
 )
 N_TAGS = len(TAGS) + 11
+#: Bytes of which a line has one at least if the tag of that number matches; for ``EXACT`` only then.
+NEEDS = {0: b"#", 2: b"*", 3: b"-", 5: b"[", 6: b"]", 8: ">/»".encode(), 10: b"*", 11: b"|", 12: "(©".encode(), 13: b"0123456789", 16: b"`", 17: b"{}<>%@[]$", 18: b":", 20: b",", 21: b"0123456789"}
+EXACT = (16, 20, 21)
+
+
+def line_tags(a: pa.Array) -> np.ndarray:
+    """Which of ``TAGS`` match each line; only lines that have a needed byte meet the expression."""
+    off, data = bytes_of(a)
+    full, out = off[1:] > off[:-1], np.zeros((len(a), len(TAGS)), dtype=np.float32)
+    needs = sorted(set(NEEDS.values()))
+    has = {}
+    for part in (needs[:8], needs[8:]):
+        table = bytes(sum(1 << k for k, need in enumerate(part) if c in need) for c in range(256))
+        seen = np.zeros(len(a), np.uint8)
+        if full.any():
+            seen[full] = np.bitwise_or.reduceat(np.frombuffer(data.translate(table), np.uint8), off[:-1][full])
+        has |= {need: (seen >> k & 1).astype(bool) for k, need in enumerate(part)}
+    for k, r in enumerate(TAGS):
+        if k not in NEEDS:
+            out[:, k] = pc.match_substring_regex(a, r).to_numpy(zero_copy_only=False)
+        elif k in EXACT:
+            out[:, k] = has[NEEDS[k]]
+        elif (where := has[NEEDS[k]]).any():
+            out[where, k] = pc.match_substring_regex(a.filter(pa.array(where)), r).to_numpy(zero_copy_only=False)
+    return out
 
 
 @dataclass
@@ -149,41 +176,47 @@ class Features:
     def __init__(self) -> None:
         self.bucket: dict[str, int] = {}
 
-    def __call__(self, pages: list[Page], words: pa.Array | None = None) -> tuple[np.ndarray, ...]:
+    def __call__(self, pages: list[Page]) -> tuple[np.ndarray, ...]:
+        """``of`` the non-blank lines of pages."""
+        enc = pc.dictionary_encode(pa.array([p.lines[k] for p in pages for k in p.at.tolist()], pa.string()))
+        at, fenced, share = (np.concatenate([np.zeros(0, t), *(getattr(p, c) for p in pages)]) for c, t in (("at", np.int64), ("fenced", bool), ("share", np.float32)))
+        size, total = np.array([len(p.at) for p in pages], dtype=np.int64), np.array([len(p.lines) for p in pages], dtype=np.int64)
+        return self.of(enc.dictionary, plain(enc.dictionary), enc.indices.to_numpy(), at, fenced, share, size, total)
+
+    def of(self, lines: pa.Array, words: pa.Array, line: np.ndarray, at: np.ndarray, fenced: np.ndarray, share: np.ndarray, size: np.ndarray, total: np.ndarray) -> tuple[np.ndarray, ...]:
         """(tags of each line, buckets of the words of the distinct lines, their numbers, the distinct line of each line, number of words of each line,
         number of lines of each page).
 
-        ``words`` has ``lines.plain`` of the non-blank lines where it is known already.
+        ``lines`` and ``words`` (``lines.plain``) are distinct; each non-blank line has its place among them, its number in the page, whether it
+        is fenced code and its share; each page has the number of its non-blank lines and of all lines.
         """
-        size = np.array([len(p.at) for p in pages], dtype=np.int64)
-        # equal lines are looked at once
-        enc = pc.dictionary_encode(pc.utf8_rtrim_whitespace(pa.array([p.lines[k] for p in pages for k in p.at.tolist()], pa.string())))
-        a, line = enc.dictionary, enc.indices.to_numpy()
-        own = np.zeros((len(a), len(TAGS)), dtype=np.float32)
-        for k, r in enumerate(TAGS):
-            own[:, k] = pc.match_substring_regex(a, r).to_numpy(zero_copy_only=False)
+        # lines that differ at their ends only are looked at once
+        enc = pc.dictionary_encode(pc.utf8_rtrim_whitespace(lines))
+        a, own_line = enc.dictionary, enc.indices.to_numpy()
+        first = np.zeros(len(a), dtype=np.int64)
+        first[own_line[::-1]] = np.arange(len(own_line))[::-1]
+        line = own_line[line]
+        own = line_tags(a)
         tags = np.zeros((len(line), N_TAGS), dtype=np.float32)
         k = len(TAGS)
         tags[:, :k] = own[line]
         length = pc.utf8_length(a).to_numpy().astype(np.float32)[line]
-        at = np.concatenate([p.at for p in pages]) if pages else np.zeros(0, np.int64)
-        doc = np.repeat(np.arange(len(pages)), size)
-        total = np.repeat(np.array([max(len(p.lines), 1) for p in pages]), size)
+        doc = np.repeat(np.arange(len(size)), size)
+        total = np.repeat(np.maximum(total, 1), size)
         order = np.arange(len(line)) - np.repeat(np.cumsum(size) - size, size)
+        each = np.repeat(size, size)
         tags[:, k] = np.log1p(length) / 4
-        tags[:, k + 1] = order / np.maximum(np.repeat(size, size), 1)
+        tags[:, k + 1] = order / np.maximum(each, 1)
         tags[:, k + 2] = np.minimum(order, 10) / 10
-        tags[:, k + 3] = np.minimum(np.repeat(size, size) - order - 1, 10) / 10
-        first = np.r_[True, doc[1:] != doc[:-1]] if len(doc) else np.zeros(0, bool)
+        tags[:, k + 3] = np.minimum(each - order - 1, 10) / 10
+        begin = np.r_[True, doc[1:] != doc[:-1]] if len(doc) else np.zeros(0, bool)
         last = np.r_[doc[1:] != doc[:-1], True] if len(doc) else np.zeros(0, bool)
         gap = np.r_[0, at[1:] - at[:-1]] if len(at) else at
-        tags[:, k + 4] = first | (gap > 1)
+        tags[:, k + 4] = begin | (gap > 1)
         tags[:, k + 5] = last | np.r_[gap[1:] > 1, True] if len(at) else 0
-        tags[:, k + 6] = np.concatenate([p.fenced for p in pages]) if pages else 0
+        tags[:, k + 6] = fenced
         tags[:, k + 7] = total < 12
-        first = np.zeros(len(a), dtype=np.int64)
-        first[line[::-1]] = np.arange(len(line))[::-1]
-        lists = pc.split_pattern(plain(a) if words is None else words.take(pa.array(first)), " ")
+        lists = pc.split_pattern(words.take(pa.array(first)), " ")
         enc = pc.dictionary_encode(lists.flatten())
         if len(self.bucket) > 1_000_000:
             self.bucket.clear()
@@ -198,7 +231,7 @@ class Features:
         own_words = np.array(buckets, dtype=np.int64)[enc.indices.to_numpy()] if buckets else np.zeros(0, np.int64)
         tags[:, k + 8] = np.minimum(n, 12) / 12
         tags[:, k + 9] = np.minimum(n, 40) / 40
-        tags[:, k + 10] = np.concatenate([p.share for p in pages]) if pages else 0
+        tags[:, k + 10] = share
         return tags, own_words, each, line, n, size
 
 
@@ -232,8 +265,13 @@ class Labeller:
         """The vector of each line; words are those of the distinct lines, n their numbers."""
         mean = np.zeros((len(n), EMB), dtype=np.float32)
         full = n > 0
-        if full.any():
-            mean[full] = np.add.reduceat(self.w["emb"][words], (np.cumsum(n) - n)[full], axis=0) / np.sqrt(n[full])[:, None]
+        first, own, a = (np.cumsum(n) - n)[full], np.zeros((int(full.sum()), EMB), np.float32), 0
+        ends = first + n[full]
+        while a < len(own):  # some lines at a time, so that their words' vectors stay in the cache
+            b = max(a + 1, int(np.searchsorted(ends, first[a] + CACHED, side="right")))
+            own[a:b] = np.add.reduceat(self.w["emb"].take(words[first[a] : ends[b - 1]], axis=0), first[a:b] - first[a], axis=0)
+            a = b
+        mean[full] = own / np.sqrt(n[full])[:, None]
         return np.concatenate([mean[line], tags], axis=1)
 
     def run(self, x: np.ndarray, side: str, keep: bool = False):  # noqa: ANN201
@@ -294,12 +332,19 @@ class Labeller:
 
     def steps(self, pre: np.ndarray, wh: np.ndarray, h: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         hs = np.empty((*pre.shape[:2], HIDDEN), np.float32)
+        z = np.empty(pre.shape[1:], np.float32)
+        g = np.empty((pre.shape[1], 3 * HIDDEN), np.float32)
         for k in range(len(pre)):
-            z = pre[k] + h @ wh
-            g = sigmoid(z[:, : 3 * HIDDEN])
-            c = g[:, HIDDEN : 2 * HIDDEN] * c + g[:, :HIDDEN] * np.tanh(z[:, 3 * HIDDEN :])
-            h = g[:, 2 * HIDDEN :] * np.tanh(c)
-            hs[k] = h
+            np.matmul(h, wh, out=z)
+            z += pre[k]
+            np.clip(z[:, : 3 * HIDDEN], -30, 30, out=g)  # the sigmoid in place
+            np.negative(g, out=g)
+            np.exp(g, out=g)
+            g += 1
+            np.divide(1, g, out=g)
+            c = g[:, HIDDEN : 2 * HIDDEN] * c
+            c += g[:, :HIDDEN] * np.tanh(z[:, 3 * HIDDEN :])
+            h = np.multiply(g[:, 2 * HIDDEN :], np.tanh(c), out=hs[k])
         return hs, h, c
 
     def probabilities(self, feats: tuple, cells: int = 1 << 15, steps: int = 256) -> np.ndarray:

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from textloom.llm import blocks as B
-from textloom.llm.lines import line_keys
+from textloom.llm.lines import Lines, bytes_of, line_keys, lists_of
 from textloom.llm.repeated_lines import blocks_of, canonical_url, keyed_pages, site_of
 from textloom.llm.residue import residue_of, templates
 from textloom.plans.materialize import materialize
@@ -48,24 +48,29 @@ def shares_of(keys: np.ndarray, counts: np.ndarray, known: np.ndarray, share: np
     return np.where(counts & (known[at] == keys), share[at], 0).astype(np.float32)
 
 
-def split_pages(texts: pa.Array, sites: pa.Array, known_keys: pa.ListArray, known_shares: pa.ListArray) -> tuple[list[B.Page], pa.Array]:
-    """The pages of a batch, with the shares of their lines, and the words of their non-blank lines.
-
-    Neighbouring pages of one site are looked up together.
-    """
+def keyed_lines(texts: pa.Array, sites: pa.Array, known_keys: pa.ListArray, known_shares: pa.ListArray) -> tuple[Lines, np.ndarray]:
+    """The lines of a batch of pages and their shares; neighbouring pages of one site are looked up together."""
     own = line_keys(texts)
     end = np.cumsum(own.size)
     first = end - own.size
     site = pc.dictionary_encode(pc.fill_null(sites, "")).indices.to_numpy()
     edges = np.flatnonzero(np.r_[True, site[1:] != site[:-1], True]) if len(site) else np.zeros(1, np.int64)
     share = np.zeros(len(own.key), np.float32)
+    size = pc.fill_null(pc.list_value_length(known_keys), 0).to_numpy(zero_copy_only=False)
+    stop = np.cumsum(size)
+    ks, ss = (x.flatten().to_numpy(zero_copy_only=False) for x in (known_keys, known_shares))
     for p, q in zip(edges[:-1].tolist(), edges[1:].tolist()):
-        a, b = first[p], end[q - 1]
-        ks, ss = (np.zeros(0) if x.values is None else x.values.to_numpy(zero_copy_only=False) for x in (known_keys[p], known_shares[p]))
-        share[a:b] = shares_of(own.key[a:b], own.counts[a:b], ks, ss)
-    out = [B.split_page(t, share[a:b], own.fenced[a:b]) for t, a, b in zip(texts.to_pylist(), first.tolist(), end.tolist())]
-    full = np.concatenate([p.at + a for p, a in zip(out, first.tolist())]) if out else np.zeros(0, np.int64)
-    return out, own.words.take(pa.array(own.at[full]))
+        if size[p]:
+            a, b, u, v = first[p], end[q - 1], stop[p] - size[p], stop[p]
+            share[a:b] = shares_of(own.key[a:b], own.counts[a:b], ks[u:v], ss[u:v])
+    return own, share
+
+
+def split_pages(texts: pa.Array, *known: pa.Array) -> list[B.Page]:
+    """The pages of a batch, with the shares of their lines."""
+    own, share = keyed_lines(texts, *known)
+    end = np.cumsum(own.size)
+    return [B.split_page(t, share[a:b], own.fenced[a:b]) for t, a, b in zip(texts.to_pylist(), (end - own.size).tolist(), end.tolist())]
 
 
 def choose_sample(pages: DataFrame, id_col: str, url_col: str, max_pages: int, per_site: int) -> DataFrame:
@@ -81,7 +86,7 @@ def fit_labeller(keyed: DataFrame, known: DataFrame) -> B.Labeller:
     """The labeller, from the pages whose texts ``keyed`` carries."""
     own = keyed.where("t IS NOT NULL").join(known, F.col("site") == F.col("s"), "left").select("site", "u", "i", "t", F.col("known.key").alias("k"), F.col("known.share").alias("sh"))
     got = own.toArrow().combine_chunks()
-    pages = split_pages(*(got[c].combine_chunks() for c in ("t", "site", "k", "sh")))[0] if got.num_rows else []
+    pages = split_pages(*(got[c].combine_chunks() for c in ("t", "site", "k", "sh"))) if got.num_rows else []
     order = sorted(range(got.num_rows), key=lambda r: (got["site"][r].as_py(), got["u"][r].as_py(), str(got["i"][r].as_py())))
     return B.fit([pages[r] for r in order])
 
@@ -105,39 +110,46 @@ def label_pages(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "ur
     kind = dict(pages.dtypes)[id_col]
     names = ["i", "frame", "n_article", "n_residue", "tmpl", "n", "text", "sure"]
 
-    def label(split: list[B.Page], words: pa.Array, make: B.Features) -> Iterator[tuple]:
-        feats = make(split, words)
+    def label(make: B.Features, texts: pa.Array, *known: pa.Array) -> tuple[pa.ListArray, np.ndarray, np.ndarray, list[str | None], list[float]]:
+        own, share = keyed_lines(texts, *known)
+        stripped = [x.strip() for x in own.lines.to_pylist()]
+        blank, article = (np.array(x, dtype=bool) for x in ([not x for x in stripped], [B.fixed_article(x) for x in stripped]))
+        full = np.flatnonzero(~blank[own.at])
+        doc, line, share = np.repeat(np.arange(len(texts)), own.size)[full], own.at[full], share[full]
+        at = full - (np.cumsum(own.size) - own.size)[doc]
+        feats = make.of(own.lines, own.words, line, at, own.fenced[full], share, np.bincount(doc, minlength=len(texts)), own.size)
         prob = shared.value.probabilities(feats)
-        best, n_words, at = prob.argmax(1), np.maximum(feats[4], 1).astype(np.float64), 0
-        for p in split:
-            lines = [p.lines[k] for k in p.at.tolist()]
-            own, pr, words = best[at : at + len(lines)], prob[at : at + len(lines), B.RESIDUE], n_words[at : at + len(lines)]
-            at += len(lines)
-            fixed = p.fenced | np.array([B.fixed_article(x.strip()) for x in lines], dtype=bool)
-            free = np.flatnonzero(~fixed)
-            body = free[own[free] != B.FRAME]
-            if not len(body) and len(free):
-                body = free[p.share[free] == 0]
-                body = body if len(body) else free[pr[free] == pr[free].max()]
-            words = words[body]
-            art = own[body] == B.ARTICLE
-            core = [lines[k].strip() for k in body.tolist()]
-            mean = float((pr[body] * words).sum() / words.sum()) if words.sum() else 0.0
-            yield p.at[(own == B.FRAME) & ~fixed].astype(np.int32), int(words[art].sum()), int(words[~art].sum()), "\n".join(core) if core else None, mean
+        best, pr, words = prob.argmax(1), prob[:, B.RESIDUE], np.maximum(feats[4], 1).astype(np.float64)
+        free = ~(own.fenced[full] | article[line])
+        body = free & (best != B.FRAME)
+        end = np.cumsum(feats[5])
+        some = lambda mask: np.bincount(doc[mask], minlength=len(texts))
+        for d in np.flatnonzero((some(free) > 0) & (some(body) == 0)).tolist():
+            own_free = end[d] - feats[5][d] + np.flatnonzero(free[end[d] - feats[5][d] : end[d]])
+            rest = own_free[share[own_free] == 0]
+            body[rest if len(rest) else own_free[pr[own_free] == pr[own_free].max()]] = True
+        frame = free & (best == B.FRAME)
+        in_doc, n = doc[body], some(body)
+        n_words, n_art = (np.bincount(doc[m], words[m], len(texts)) for m in (body, body & (best == B.ARTICLE)))
+        mean, first = np.zeros(len(texts)), (np.cumsum(n) - n)[n > 0]
+        if len(in_doc):
+            mean[n > 0] = np.add.reduceat(pr[body] * words[body], first) / n_words[n > 0]
+        core, a = [stripped[k] for k in line[body].tolist()], np.cumsum(n) - n
+        cores = ["\n".join(core[p : p + q]) if q else None for p, q in zip(a.tolist(), n.tolist())]
+        return lists_of(some(frame), at[frame].astype(np.int32), pa.int32()), n_art.astype(np.int32), (n_words - n_art).astype(np.int32), cores, mean.tolist()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         make = B.Features()
         for batch in batches:
-            total = np.cumsum([t.count("\n") + 1 for t in batch.column(1).to_pylist()])
+            off, data = bytes_of(batch.column(1))
+            total = np.searchsorted(np.flatnonzero(np.frombuffer(data, np.uint8) == 10), off[1:]) + np.arange(1, batch.num_rows + 1)
             a = 0
             while a < batch.num_rows:
                 b = max(a + 1, int(np.searchsorted(total, (total[a - 1] if a else 0) + LINES, side="right")))
                 part = batch.slice(a, b - a)
-                frame, n_art, n_res, core, mean = zip(*label(*split_pages(*part.columns[1:]), make))
-                rest = (n_art, n_res, *templates(list(core), mean))
-                offsets = pa.array(np.r_[0, np.cumsum([len(f) for f in frame])].astype(np.int32))
+                frame, n_art, n_res, core, mean = label(make, *part.columns[1:])
                 kinds = (pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.string(), pa.bool_())
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(frame), pa.int32())), *(pa.array(x, k) for x, k in zip(rest, kinds))], names=names)
+                yield pa.RecordBatch.from_arrays([part.column(0), frame, *(pa.array(x, k) for x, k in zip((n_art, n_res, *templates(core, mean)), kinds))], names=names)
                 a = b
 
     kept = pages.where(F.col(content_col).isNotNull() & F.col(content_col).rlike(r"\S")).select(F.col(id_col).alias("i"), site_of(F.coalesce(F.col(url_col), F.lit(""))).alias("site"), F.col(content_col).alias("t"))

@@ -40,6 +40,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from textloom.llm import blocks as B
+from textloom.llm.lines import by_kind, bytes_of, mapped, squeezed
 from textloom.llm.shingles import mix
 from textloom.plans.materialize import materialize
 from textloom.plans.tables import table
@@ -48,6 +49,9 @@ from textloom.plans.tables import table
 PLACEHOLDER = r"(?i)\{\{.*?\}\}|\{%.*?%\}|<%.*?%>|@@.*?@@|\[\[.*?\]\]|%\([\w.]+\)s|%[\w.]{2,}%|[$#]?\{[\w.]+\}|\[(?:your|insert) [^\]]*\]|<[\w.]+ goes here>|\b__[\w.]+?__"
 NAME = r"(\p{L}[ ,])[\p{Lu}\p{Lt}\p{Lo}]\p{L}{3,}"
 MARK, NO_WORD = r"([{}%<>@\[\]$#])", r"[^\p{L}\p{N}{}%<>@\[\]$# ]+"
+#: Bytes for ``masked_ascii``: marks stay; capital letters are 3, other letters 2, spaces and commas 1.
+MARKED = mapped(b"{}%<>@[]$#")
+KINDS = bytes(3 if 65 <= c <= 90 else 2 if 97 <= c <= 122 else 1 if c in b" ," else 0 for c in range(256))
 #: Slots of the counts that order words.
 SLOTS = 1 << 16
 #: Bits of the bitmap of keys.
@@ -58,29 +62,66 @@ BLOCKS = 6
 
 def masked(cores: pa.Array) -> pa.Array:
     """Core texts without what varies between copies of one template."""
+    if cores.null_count:
+        valid = pc.is_valid(cores).to_numpy(zero_copy_only=False)
+        return masked(cores.drop_null()).take(pa.array(np.cumsum(valid) - 1, mask=~valid))
+    return by_kind(cores, masked_ascii, masked_any)
+
+
+def replaced(a: pa.Array, where: str, pattern: str, by: str) -> pa.Array:
+    """The strings with each match of ``pattern`` replaced; ``where`` matches in all strings that have one."""
+    hit = pc.match_substring_regex(a, where)
+    return pc.replace_with_mask(a, hit, pc.replace_substring_regex(a.filter(hit), pattern, by)) if pc.any(hit).as_py() else a
+
+
+def masked_ascii(cores: pa.Array) -> pa.Array:
+    """``masked`` for texts of ASCII, by their bytes: every word of four letters or more that begins with a capital one after a letter and a
+    space or comma is a name, whether a name comes before it or not."""
+    a = replaced(cores, r"[{<\[%]|@@|__", PLACEHOLDER, " placeholdermark ")
+    off, data = bytes_of(replaced(a, MARK, MARK, r" \1 "))
+    kind = np.frombuffer(data.translate(KINDS), np.uint8)
+    at = np.flatnonzero(kind == 3)
+    text = np.searchsorted(off, at, side="right")
+    inside = (at - 2 >= off[text - 1]) & (at + 3 < off[text])
+    at, end = at[inside], off[text[inside]]
+    name = (kind[at - 2] >= 2) & (kind[at - 1] == 1) & (kind[at + 1] >= 2) & (kind[at + 2] >= 2) & (kind[at + 3] >= 2)
+    at, end = at[name], end[name]
+    others = np.r_[np.flatnonzero(kind < 2), len(kind)]
+    size = np.minimum(others[np.searchsorted(others, at)], end) - at
+    x = np.frombuffer(bytearray(data.translate(MARKED)), np.uint8)
+    x[np.repeat(at - (np.cumsum(size) - size), size) + np.arange(size.sum())] = 1
+    return pc.replace_substring(squeezed(off, x), "\1", "namemark")
+
+
+def masked_any(cores: pa.Array) -> pa.Array:
+    """``masked`` by regular expressions, for all letters."""
     a = pc.replace_substring_regex(cores, PLACEHOLDER, " placeholdermark ")
     a = pc.replace_substring_regex(a, NAME, r"\1namemark")
     again = pc.fill_null(pc.match_substring_regex(a, "namemark[ ,]" + NAME.split(")")[1]), False)
     if pc.any(again).as_py():  # a name that follows a name
         a = pc.replace_with_mask(a, again, pc.replace_substring_regex(a.filter(again), NAME, r"\1namemark"))
-    a = pc.replace_substring_regex(pc.replace_substring_regex(pc.utf8_lower(a), r"\d+", "0"), MARK, r" \1 ")
+    a = replaced(replaced(pc.utf8_lower(a), r"\d", r"\d+", "0"), MARK, MARK, r" \1 ")
     return pc.utf8_trim_whitespace(pc.replace_substring_regex(pc.replace_substring_regex(a, NO_WORD, " "), " {2,}", " "))
 
 
 def signatures(doc: np.ndarray, ids: np.ndarray, n_texts: int) -> np.ndarray:
-    """64-bit SimHash of the words of each text, from ``word_ids``; 0 for a text without words."""
+    """64-bit SimHash of the words of each text, from ``word_ids``; 0 for a text without words.
+
+    The bits are counted in bytes, eight to a number, over stretches of at most 255 words of a text.
+    """
     n = np.bincount(doc, minlength=n_texts)
     out = np.zeros(n_texts, dtype=np.uint64)
-    full, end = np.flatnonzero(n), np.cumsum(n)
-    a = 0
-    while a < len(full):  # some texts at a time, as the bits of a word take 64 bytes
-        b = max(a + 1, int(np.searchsorted(end[full], (end[full[a - 1]] if a else 0) + 200_000, side="right")))
-        some = full[a:b]
-        low = end[some[0]] - n[some[0]]
-        bits = np.unpackbits(mix(ids[low : end[some[-1]]]).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-        on = np.add.reduceat(bits, end[some] - n[some] - low, axis=0, dtype=np.int32) * 2 > n[some][:, None]
-        out[some] = np.packbits(on, axis=1, bitorder="little").view(np.uint64).ravel()
-        a = b
+    full = np.flatnonzero(n)
+    if not len(full):
+        return out
+    parts = -(-n[full] // 255)
+    number = np.arange(parts.sum()) - np.repeat(np.cumsum(parts) - parts, parts)
+    start = np.repeat((np.cumsum(n) - n)[full], parts) + 255 * number
+    first, h = np.cumsum(parts) - parts, mix(ids)
+    for k in range(8):  # byte j of ``some`` counts bit 8 j + k
+        some = np.add.reduceat((h >> np.uint64(k)) & np.uint64(0x0101010101010101), start).view(np.uint8).reshape(-1, 8)
+        on = np.add.reduceat(some, first, axis=0, dtype=np.int64) * 2 > n[full][:, None]
+        out[full] |= np.ascontiguousarray(on).view(np.uint64).ravel() << np.uint64(k)
     return out
 
 
